@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_dedupe"]
+MODULES = ["q_functions", "q_dedupe"]
 
 
 def load_all():
