@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_functions", "q_dedupe"]
+MODULES = ["q_functions", "q_dedupe", "q_stored"]
 
 
 def load_all():

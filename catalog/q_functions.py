@@ -200,7 +200,7 @@ def _(spark, sf):
 
 
 @query("normalize_source", f"""
-  SELECT position, left(sha256(CASE WHEN cu <> '' THEN cu ELSE title || '|' END), 36) AS id, cu AS url, coalesce(url, '') AS original_url,
+  SELECT position, left(sha256(CASE WHEN cu <> '' THEN cu ELSE {sql_clean_plaintext('title')} || '||' || {sql_clean_plaintext('full_text')} END), 36) AS id, cu AS url, coalesce(url, '') AS original_url,
     {sql_clean_plaintext('title')} AS title, {sql_clean_plaintext('publisher')} AS publisher, date_published,
     date_published AS date_published_actual, date_confidence, source_type, trust_tier, false AS is_curated_flag,
     sha256({sql_clean_plaintext('full_text')}) AS clean_text_hash

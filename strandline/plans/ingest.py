@@ -32,7 +32,7 @@ def normalize_source(df: DataFrame, as_of: Column) -> DataFrame:
     published = F.col("date_published")
     out = df.withColumns({"_canon": canon, "_body": text.clean_plaintext(body), "_title": title, "_raw": body})
     out = out.withColumns({
-        "id": urls.source_id(F.col("_canon"), F.concat_ws("|", "_title", "_canon")),
+        "id": urls.source_id(F.col("_canon"), F.concat_ws("|", "_title", "_canon", "_body")),
         "original_url": raw_url, "canonical_url": F.col("_canon"), "final_url": F.coalesce(_opt(df, "final_url"), F.col("_canon")),
         "publisher": text.clean_plaintext(F.coalesce(F.nullif(_opt(df, "publisher"), e), F.lit("Unknown"))),
         "author": text.clean_plaintext(F.coalesce(_opt(df, "author"), e)),
