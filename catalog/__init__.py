@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_functions", "q_dedupe", "q_stored", "q_analysis"]
+MODULES = ["q_functions", "q_dedupe", "q_stored", "q_analysis", "q_reports", "q_io"]
 
 
 def load_all():

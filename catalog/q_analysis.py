@@ -321,7 +321,7 @@ def _(spark, sf):
   FROM sources""", ["sources"])
 def _(spark, sf):
     c = F.col("c")
-    return sources(spark, sf).withColumn("c", taxonomy.default_context(F.col("source_type"))).select(
+    return sources(spark, sf).withColumn("c", taxonomy.default_context("source_type")).select(
         "position", c["exploitability"].alias("exploitability"), c["confirmed_impact"].alias("confirmed_impact"),
         c["required_access"].alias("required_access"), c["known_exploits"].alias("known_exploits"),
         F.when(c["limitations"].isNotNull(), F.size(c["limitations"])).alias("limitations"))

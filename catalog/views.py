@@ -33,7 +33,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def pick(index: Column, values: list[str]) -> Column:
     """values[index], by a literal array."""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index % len(values)).cast("int") + 1)
+    return F.element_at(rules.lit_array(values), F.pmod(index, F.lit(len(values))).cast("int") + 1)
 
 
 def sql_list(values) -> str:
@@ -127,7 +127,7 @@ def tagged(spark: SparkSession, sf: str) -> DataFrame:
     """Sources with tags by the test rules."""
     s = sources(spark, sf)
     s = s.withColumn("_text", rules.lower_text(F.col("title"), F.lit(""), F.col("full_text")))
-    return s.withColumn("tags", rules.labels(F.col("_text"), TEST_TAGS)).drop("_text")
+    return s.withColumn("tags", rules.labels("_text", TEST_TAGS)).drop("_text")
 
 
 cte("tagged", f"""

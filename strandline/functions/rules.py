@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from functools import reduce
-from operator import and_, or_
+from operator import and_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,61 +25,101 @@ def lower_present(*parts: Column) -> Column:
     return F.lower(F.concat_ws(" ", *[F.when(p != "", p) for p in parts]))
 
 
-def has_phrase(text: Column, phrase: str, whole_word: bool = False) -> Column:
-    if whole_word:
-        return text.rlike(r"(?<!\w)" + re.escape(phrase) + r"(?!\w)")
-    return text.contains(phrase)
+def sql_str(v: str) -> str:
+    """A SQL string literal."""
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_lit(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return str(v).lower()
+    if isinstance(v, (list, tuple)):
+        return "array(" + ", ".join(map(sql_lit, v)) + ")" if v else "cast(array() as array<string>)"
+    return sql_str(v) if isinstance(v, str) else str(v)
+
+
+def lit_array(values) -> Column:
+    """A literal array from one expression: cheap to build however long the list is."""
+    return F.expr(sql_lit(list(values)))
+
 
+def lit_map(table: dict) -> Column:
+    return F.expr("map(" + ", ".join(f"{sql_lit(k)}, {sql_lit(v)}" for k, v in table.items()) + ")")
 
-def any_phrase(text: Column, phrases, whole_word: bool = False) -> Column:
-    return reduce(or_, [has_phrase(text, p, whole_word) for p in phrases], F.lit(False))
 
+# Phrase rules take the text as a column *name* or as a Column.  A name compiles to one chain
+# of ``contains`` inside whole-stage codegen; a Column goes through a higher-order function.
+Text = Column | str
 
-def all_phrases(text: Column, phrases, whole_word: bool = False) -> Column:
-    return reduce(and_, [has_phrase(text, p, whole_word) for p in phrases], F.lit(True))
+
+def sql_any(text: str, phrases, whole_word: bool = False) -> str:
+    if not phrases:
+        return "false"
+    if whole_word:
+        pattern = "(?<!\\w)(?:" + "|".join(re.escape(p) for p in phrases) + ")(?!\\w)"
+        return f"({text} RLIKE {sql_str(pattern)})"
+    return "(" + " OR ".join(f"contains({text}, {sql_str(p)})" for p in phrases) + ")"
+
+
+def any_phrase(text: Text, phrases, whole_word: bool = False) -> Column:
+    if isinstance(text, str):
+        return F.expr(sql_any(text, phrases, whole_word))
+    if not phrases:
+        return F.lit(False)
+    if whole_word:
+        return text.rlike(r"(?<!\w)(?:" + "|".join(re.escape(p) for p in phrases) + r")(?!\w)")
+    return F.exists(lit_array(phrases), lambda p: F.contains(text, p))
 
 
-def phrase_match(text: Column, any_of=(), required=(), none_of=(), whole_word: bool = False) -> Column:
-    out = all_phrases(text, required, whole_word)
+def phrase_match(text: Text, any_of=(), required=(), none_of=(), whole_word: bool = False) -> Column:
+    tests = [any_phrase(text, [p], whole_word) for p in required]
     if any_of:
-        out = out & any_phrase(text, any_of, whole_word)
+        tests.append(any_phrase(text, any_of, whole_word))
     if none_of:
-        out = out & ~any_phrase(text, none_of, whole_word)
-    return out
+        tests.append(~any_phrase(text, none_of, whole_word))
+    return reduce(and_, tests) if tests else F.lit(True)
 
 
-def phrase_count(text: Column, phrases, cap: int, weight: int, whole_word: bool = False) -> Column:
+def phrase_count(text: Text, phrases, cap: int, weight: int, whole_word: bool = False) -> Column:
     """Distinct phrases present, capped, times ``weight``."""
-    hits = reduce(lambda a, b: a + b,
-                  [has_phrase(text, p, whole_word).cast("int") for p in dict.fromkeys(phrases)],
-                  F.lit(0))
-    return F.least(hits, F.lit(cap)) * weight
+    phrases = list(dict.fromkeys(phrases))
+    if isinstance(text, str):
+        hits = " + ".join(f"int({sql_any(text, [p], whole_word)})" for p in phrases) or "0"
+        return F.expr(f"least({hits}, {cap}) * {weight}")
+    hit = (lambda p: F.contains(text, p)) if not whole_word else (
+        lambda p: F.regexp_like(text, F.concat(F.lit(r"(?<!\w)\Q"), p, F.lit(r"\E(?!\w)"))))
+    return F.least(F.size(F.filter(lit_array(phrases), hit)), F.lit(cap)) * weight
 
 
-def labels(text: Column, rules: dict, whole_word: bool = False) -> Column:
+def labels(text: Text, rules: dict, whole_word: bool = False) -> Column:
     """Names of the rules with a phrase in ``text``, in rule order."""
+    if isinstance(text, str):
+        cases = ", ".join(f"CASE WHEN {sql_any(text, ps, whole_word)} THEN {sql_str(n)} END" for n, ps in rules.items())
+        return F.expr(f"array_compact(array({cases}))")
     return F.array_compact(F.array(*[
         F.when(any_phrase(text, phrases, whole_word), F.lit(name)) for name, phrases in rules.items()]))
 
 
-def first_label(text: Column, rules, whole_word: bool = False) -> Column:
+def first_label(text: Text, rules, whole_word: bool = False) -> Column:
     """Name of the first matching rule of [(name, phrases)], or null."""
+    if isinstance(text, str):
+        whens = " ".join(f"WHEN {sql_any(text, ps, whole_word)} THEN {sql_str(n)}" for n, ps in rules)
+        return F.expr(f"CASE {whens} ELSE cast(NULL AS string) END")
     return F.coalesce(*[F.when(any_phrase(text, phrases, whole_word), F.lit(name))
                         for name, phrases in rules], F.lit(None).cast("string"))
 
 
 def lookup(c: Column, table: dict, default=None) -> Column:
     """Map-literal lookup with a default."""
-    value = F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), c)
+    value = F.element_at(lit_map(table), c)
     return value if default is None else F.coalesce(value, F.lit(default))
 
 
 def lookup_array(c: Column, table: dict) -> Column:
     """Map-literal lookup of string arrays; unknown keys give an empty array."""
-    args = []
-    for key, values in table.items():
-        args += [F.lit(key), F.array(*[F.lit(v) for v in values])]
-    return F.coalesce(F.element_at(F.create_map(*args), c), F.array().cast("array<string>"))
+    return F.coalesce(F.element_at(lit_map(table), c), F.array().cast("array<string>"))
 
 
 def or_default(arr: Column, value: str) -> Column:
@@ -90,16 +130,16 @@ def vocab_intersect(arr: Column, vocab, limit: int = 8) -> Column:
     """Values of the vocabulary, lower-cased with ``-`` as ``_``, distinct, first ``limit``."""
     empty = F.array().cast("array<string>")
     norm = F.transform(F.coalesce(arr, empty), lambda v: F.replace(F.lower(v), F.lit("-"), F.lit("_")))
-    return F.slice(F.array_intersect(norm, F.array(*[F.lit(v) for v in vocab])), 1, limit)
+    return F.slice(F.array_intersect(norm, lit_array(vocab)), 1, limit)
 
 
 def pick_one(value: Column, vocab, fallback: str = "unknown") -> Column:
     v = F.replace(F.lower(F.coalesce(value, F.lit(""))), F.lit("-"), F.lit("_"))
-    return F.when(v.isin(list(vocab)), v).otherwise(F.lit(fallback))
+    return F.when(F.array_contains(lit_array(vocab), v), v).otherwise(F.lit(fallback))
 
 
 def enum_exact(value: Column, vocab, fallback: str = "unknown") -> Column:
-    return F.when(value.isin(list(vocab)), value).otherwise(F.lit(fallback))
+    return F.when(F.array_contains(lit_array(vocab), value), value).otherwise(F.lit(fallback))
 
 
 def jaccard(a: Column, b: Column, both_empty: float = 1.0) -> Column:

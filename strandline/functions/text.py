@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from strandline.functions.rules import lit_array
+
 # Java's \s is ASCII only; this class also covers the Unicode spaces.
 WS = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 # ASCII word boundaries, independent of the JVM's Unicode rules for \b.
@@ -187,7 +189,7 @@ def normalize_title(c: Column) -> Column:
 def title_tokens(c: Column, stopwords, min_length: int) -> Column:
     """Distinct lower-case alphanumeric tokens, at least ``min_length`` long, no stop words."""
     words = F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+")
-    stop = F.array(*[F.lit(w) for w in sorted(set(stopwords)) if len(w) >= min_length])
+    stop = lit_array(sorted(w for w in set(stopwords) if len(w) >= min_length))
     return F.array_distinct(
         F.filter(words, lambda w: (F.length(w) >= min_length) & ~F.array_contains(stop, w)))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from strandline import vocab
+from strandline.functions.rules import lit_array, lit_map
 
 ABSOLUTE = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#\s]+"
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]+)"
@@ -40,7 +41,7 @@ def canonical_url(url: Column, params=tuple(vocab.TRACKING_PARAMS), *, lower: bo
     base = F.regexp_replace(base, r"(?i)^(http://[^/]+):80(/|$)", "$1$2")
     query = F.when(full.contains("?"),
                    F.regexp_replace(full, r"(?s)^[^?]*\?", "")).otherwise(F.lit(""))
-    drop = F.array(*[F.lit(p) for p in params])
+    drop = lit_array(params)
     kept = F.array_join(
         F.filter(F.split(query, "&"),
                  lambda p: ~F.array_contains(drop, F.substring_index(p, "=", 1))), "&")
@@ -109,9 +110,8 @@ def safety_class(status: Column) -> Column:
 def lookup_publisher(url: Column, table: dict[str, str] | None = None) -> Column:
     """Known host -> publisher name, else the host, else ``Unknown``."""
     table = vocab.DOMAIN_PUBLISHERS if table is None else table
-    pairs = [F.lit(x) for kv in table.items() for x in kv]
     h = bare_host(url)
-    return F.coalesce(F.element_at(F.create_map(*pairs), h), h, F.lit("Unknown"))
+    return F.coalesce(F.element_at(lit_map(table), h), h, F.lit("Unknown"))
 
 
 def infer_publisher(publisher: Column, url: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,8 +44,8 @@ def metric_rows(scalars: dict[str, str], arrays: dict[str, str]) -> Column:
 
     parts = [F.array(*[pair(m, F.col(c)) for m, c in scalars.items()])] if scalars else []
     for metric, col in arrays.items():
-        parts.append(F.transform(F.coalesce(F.col(col), F.array().cast("array<string>")),
-                                 lambda v, m=metric: pair(m, v)))
+        values = F.coalesce(F.col(col), F.array().cast("array<string>"))
+        parts.append(F.transform(values, partial(pair, metric)))
     return F.filter(F.concat(*parts), lambda x: present(x["key"]))
 
 
@@ -107,7 +109,7 @@ def spine(df: DataFrame, column: str, values: list[str]) -> DataFrame:
 
 def crosstab(df: DataFrame, rows: str, columns: str, values: list[str]) -> DataFrame:
     """Dense counts with one column per fixed value."""
-    return df.groupBy(rows).pivot(columns, values).agg(F.count("*")).na.fill(0)
+    return df.groupBy(rows).pivot(columns, values).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def crosstab_filled(df: DataFrame, rows: str, row_values: list[str], columns: str, values: list[str]) -> DataFrame:

@@ -102,7 +102,7 @@ def validity_gate(df: DataFrame, denied=tuple(vocab.DENIED_PUBLISHERS)) -> DataF
             F.coalesce(F.nullif(_col(df, "date_confidence"), F.lit("")), conf))}).drop("_hard"))
 
 
-def signal_score(t: Column, signals: dict, whole_word: bool = False) -> Column:
+def signal_score(t: str, signals: dict, whole_word: bool = False) -> Column:
     return (rules.phrase_count(t, signals["high"], 5, 14, whole_word)
             + rules.phrase_count(t, signals["medium"], 3, 8, whole_word)
             + rules.phrase_count(t, signals["low"], 2, 3, whole_word))
@@ -113,8 +113,8 @@ def ai_relevance(df: DataFrame, ai=None, cyber=None, *, whole_word: bool = False
     characters of the text by definition."""
     sample = rules.lower_present(F.col("title"), _col(df, "summary"), F.substring("full_text", 1, 2000))
     out = df.withColumn("_sample", sample)
-    out = out.withColumn("ai_relevance_score", signal_score(F.col("_sample"), ai or vocab.AI_SIGNALS, whole_word)) \
-        .withColumn("cyber_relevance_score", signal_score(F.col("_sample"), cyber or vocab.CYBER_SIGNALS, whole_word))
+    out = out.withColumn("ai_relevance_score", signal_score("_sample", ai or vocab.AI_SIGNALS, whole_word)) \
+        .withColumn("cyber_relevance_score", signal_score("_sample", cyber or vocab.CYBER_SIGNALS, whole_word))
     bonus = F.least(F.lit(15), F.floor(F.col("cyber_relevance_score") * 0.15 + 0.5).cast("int"))
     return (out.drop("_sample")
             .withColumn("ai_specificity_score", F.least(F.lit(100), F.col("ai_relevance_score") + bonus))
@@ -137,9 +137,9 @@ def source_type_rules(df: DataFrame, text_rules=None, tag_types=None) -> DataFra
     norm = F.transform(tags, lambda t: F.lower(F.regexp_replace(F.replace(t, F.lit("-"), F.lit("_")), r"\s+", "_")))
     known = F.filter(norm, lambda t: t.isin(list(tag_types)))
     by_tag = rules.lookup(F.get(known, F.lit(0)), tag_types)
-    t = F.col("_sample")
-    by_text = F.coalesce(*[F.when(rules.phrase_match(t, any_of=a, none_of=n), F.lit(name))
-                           for name, a, n in (text_rules or vocab.TEXT_TYPE_RULES)])
+    by_text = F.expr("CASE " + " ".join(
+        f"WHEN {rules.sql_any('_sample', a)} AND NOT {rules.sql_any('_sample', n)} THEN {rules.sql_str(name)}"
+        for name, a, n in (text_rules or vocab.TEXT_TYPE_RULES)) + " END")
     out = df.withColumn("_sample", sample).withColumn("typing", F.coalesce(
         decision(F.when(st.isin(vocab.ALL_SOURCE_TYPES), st), "high", "existing"),
         decision(rules.lookup(st, vocab.LEGACY_SOURCE_TYPES), "medium", "legacy_map"),
@@ -267,7 +267,7 @@ def validation_split(df: DataFrame) -> DataFrame:
 def quick_tags(df: DataFrame, tag_rules: dict | None = None) -> DataFrame:
     t = rules.lower_text(F.col("title"), _col(df, "summary"), F.col("full_text"))
     return (df.withColumn("_text", t)
-            .withColumn("tags", rules.labels(F.col("_text"), tag_rules or vocab.QUICK_TAG_RULES)).drop("_text"))
+            .withColumn("tags", rules.labels("_text", tag_rules or vocab.QUICK_TAG_RULES)).drop("_text"))
 
 
 def eligibility(df: DataFrame, as_of: Column, window: tuple[Column, Column] | None = None) -> DataFrame:
@@ -300,7 +300,7 @@ TAGGED = "struct<tag:string,framework_ref:string,confidence:string>"
 def understand_fallback(df: DataFrame, keywords=None) -> DataFrame:
     """Deterministic understanding columns for rows not yet stamped with the current version."""
     out = df.withColumn("_text", rules.lower_text(F.col("title"), F.col("full_text")))
-    guess = rules.first_label(F.col("_text"), keywords or vocab.CATEGORY_KEYWORDS)
+    guess = rules.first_label("_text", keywords or vocab.CATEGORY_KEYWORDS)
     title, pub = F.coalesce("title", F.lit("")), F.coalesce(F.nullif(F.col("publisher"), F.lit("")), F.lit("unknown"))
     empty = F.array().cast(NO_TAGS)
     return out.withColumns({
@@ -408,11 +408,11 @@ def _validated_tags(arr: Column, group: str, limit: int) -> Column:
     rows = [r for r in vocab.registry_rows() if r[1] == group]
 
     def table(i: int) -> Column:
-        return F.create_map(*[x for r in rows for x in (F.lit(r[0]), F.lit(r[i]).cast("string"))])
+        return rules.lit_map({r[0]: r[i] for r in rows}).cast("map<string,string>")
 
     frame, ref, tactic, hint = (table(i) for i in (2, 3, 4, 5))
-    names = [r[0] for r in rows]
-    known = F.filter(F.coalesce(arr, F.array().cast(f"array<{LANDED_TAG}>")), lambda t: t["tag"].isin(names))
+    names = rules.lit_array([r[0] for r in rows])
+    known = F.filter(F.coalesce(arr, F.array().cast(f"array<{LANDED_TAG}>")), lambda t: F.array_contains(names, t["tag"]))
     return F.slice(F.transform(known, lambda t: F.struct(
         t["tag"].alias("tag"),
         F.coalesce(F.element_at(hint, t["tag"]), t["category_candidate"]).alias("category_candidate"),
@@ -447,13 +447,13 @@ def migrate_legacy_tags(df: DataFrame) -> DataFrame:
     Rows at the current taxonomy version are left alone; unknown tags are dropped and a
     tag already in its new group is not added again.
     """
-    groups = {g: [r[0] for r in vocab.registry_rows() if r[1] == g]
+    groups = {g: rules.lit_array([r[0] for r in vocab.registry_rows() if r[1] == g])
               for g in ("ai_framework_tag", "attack_mapping", "governance_tag")}
     new = F.coalesce(_col(df, "taxonomy_version"), F.lit("")) >= vocab.TAXONOMY_VERSION
 
     def moved(target: Column, group: str) -> Column:
         have = F.transform(target, lambda t: t["tag"])
-        fresh = F.filter("framework_tags", lambda t: t["tag"].isin(groups[group]) & ~F.array_contains(have, t["tag"]))
+        fresh = F.filter("framework_tags", lambda t: F.array_contains(groups[group], t["tag"]) & ~F.array_contains(have, t["tag"]))
         first = F.filter(fresh, lambda t, i: F.array_position(F.transform(fresh, lambda x: x["tag"]), t["tag"]) == i + 1)
         return F.concat(target, first)
 
@@ -461,7 +461,7 @@ def migrate_legacy_tags(df: DataFrame) -> DataFrame:
         "attack_mappings": F.when(new, F.col("attack_mappings")).otherwise(moved(F.col("attack_mappings"), "attack_mapping")),
         "governance_tags": F.when(new, F.col("governance_tags")).otherwise(moved(F.col("governance_tags"), "governance_tag")),
         "framework_tags": F.when(new, F.col("framework_tags")).otherwise(
-            F.filter("framework_tags", lambda t: t["tag"].isin(groups["ai_framework_tag"])))})
+            F.filter("framework_tags", lambda t: F.array_contains(groups["ai_framework_tag"], t["tag"])))})
 
 
 def tags_by_category(df: DataFrame, registry_df: DataFrame) -> DataFrame:

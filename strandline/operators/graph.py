@@ -101,3 +101,28 @@ def summarize_clusters(clustered: DataFrame) -> DataFrame:
         F.count("*").alias("total_clusters"), F.count_if(F.col("size") > 1).alias("multi_source_clusters"),
         F.count_if(F.col("size") == 1).alias("singleton_clusters"),
         F.coalesce(F.max("size"), F.lit(0)).alias("largest_cluster"))
+
+
+def event_clusters(rows: DataFrame, keys: list[list[str]], titles: DataFrame | None = None, *,
+                   hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Records of one event: equal on one of ``keys`` (tried as separate edge sets), or linked by
+    ``titles`` (a, b) pairs.  Returns (position, event), event being the smallest position.
+
+    Rows equal on a key are linked to the key's first position: a star instead of all pairs.
+    """
+    parts = []
+    for cols in keys:
+        named = rows.select("position", *cols)
+        for c in cols:
+            named = named.where(F.coalesce(F.col(c), F.lit("")) != "")
+        firsts = named.groupBy(*cols).agg(F.min("position").alias("b"), F.count("*").alias("n")).where("n > 1")
+        star = lookup_join(named, cut_lineage(firsts, "event-keys"), cols, count_col="n", hot_rows=hot_rows)
+        parts.append(star.where("position <> b").select(F.col("position").alias("a"), "b"))
+    if titles is not None:
+        parts.append(titles.select("a", "b"))
+    edges = parts[0]
+    for p in parts[1:]:
+        edges = edges.unionByName(p)
+    comp = connected_components(edges, hot_rows=hot_rows).select(F.col("node").alias("position"), "component")
+    return rows.select("position").join(comp, "position", "left").select(
+        "position", F.coalesce("component", "position").alias("event"))

@@ -7,12 +7,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline import vocab
+from strandline.functions.rules import lit_map
 
 
 def priority_rank(c: Column, order: list[str] | None = None) -> Column:
     """Position in the priority order; unknown values come last."""
     order = order or vocab.PRIORITY_ORDER
-    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for i, p in enumerate(order) for x in (p, i)]), c),
+    return F.coalesce(F.element_at(lit_map({p: i for i, p in enumerate(order)}), c),
                       F.lit(len(order)))
 
 

@@ -116,42 +116,37 @@ BANDS = [(85, "must_read"), (70, "high"), (50, "medium"), (30, "low")]
 FEED_BANDS = [(80, "must_read"), (65, "high"), (45, "medium"), (25, "low")]
 
 
-def term_points(term: tuple, context: str = "source_type_context") -> Column:
-    """Points of one rule-table term."""
+def term_sql(term: tuple, context: str = "source_type_context") -> str:
+    """Points of one rule-table term as a SQL expression."""
     kind = term[0]
     if kind == "fixed":
-        return F.lit(term[1])
+        return str(term[1])
     name = term[1]
-    c = F.col(name[1:]) if name.startswith("@") else F.col(f"{context}.{name}")
-    n = F.coalesce(F.size(c), F.lit(0)) if kind in ("count", "filled", "fewer") else None
+    c = name[1:] if name.startswith("@") else f"{context}.{name}"
+    n = f"coalesce(size({c}), 0)"
     if kind == "value":
-        return rules.lookup(F.coalesce(c, F.lit("")), term[2], 0)
+        return f"CASE {c} " + " ".join(f"WHEN {rules.sql_str(k)} THEN {v}" for k, v in term[2].items()) + " ELSE 0 END"
     if kind == "flag":
         # Text counts as set when non-empty; booleans when true.
-        is_set = F.coalesce(~c.cast("string").isin("", "false"), F.lit(False))
-        return F.when(is_set, F.lit(term[2])).otherwise(F.lit(term[3]))
+        return f"CASE WHEN string({c}) NOT IN ('', 'false') THEN {term[2]} ELSE {term[3]} END"
     if kind == "count":
-        return F.least(F.lit(term[3]), n * term[2] + term[4])
+        return f"least({term[3]}, greatest({n}, 0) * {term[2]} + {term[4]})"
     if kind == "filled":
-        return F.when(n > 0, F.lit(term[2])).otherwise(F.lit(term[3]))
+        return f"CASE WHEN {n} > 0 THEN {term[2]} ELSE {term[3]} END"
     if kind == "fewer":
-        return F.greatest(F.lit(0), F.lit(term[2]) - n)
+        return f"greatest(0, {term[2]} - greatest({n}, 0))"
     if kind == "any":
-        wanted = F.array(*[F.lit(v) for v in term[2]])
-        return F.when(F.coalesce(F.arrays_overlap(c, wanted), F.lit(False)), F.lit(term[3])).otherwise(F.lit(term[4]))
+        return f"CASE WHEN arrays_overlap({c}, {rules.sql_lit(term[2])}) THEN {term[3]} ELSE {term[4]} END"
     if kind == "in":
-        return F.when(c.isin(term[2]), F.lit(term[3])).otherwise(F.lit(term[4]))
+        return f"CASE WHEN {c} IN ({', '.join(map(rules.sql_str, term[2]))}) THEN {term[3]} ELSE {term[4]} END"
     raise ValueError(kind)
 
 
 def score_type(terms: dict[str, list[tuple]] | None = None) -> Column:
     """Type-specific points, each type capped; unlisted types get the default."""
-    st = F.col("source_type")
-    out = None
-    for name, parts in (terms or TYPE_TERMS).items():
-        total = F.least(F.lit(TYPE_CAP), reduce(lambda a, b: a + b, [term_points(t) for t in parts]))
-        out = F.when(st == name, total) if out is None else out.when(st == name, total)
-    return out.otherwise(F.lit(TYPE_DEFAULT))
+    whens = " ".join(f"WHEN {rules.sql_str(name)} THEN least({TYPE_CAP}, {' + '.join(map(term_sql, parts))})"
+                     for name, parts in (terms or TYPE_TERMS).items())
+    return F.expr(f"CASE source_type {whens} ELSE {TYPE_DEFAULT} END")
 
 
 def _size(df: DataFrame, *names: str) -> Column:

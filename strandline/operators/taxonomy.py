@@ -66,26 +66,17 @@ def context_fields() -> dict[str, str]:
 CONTEXT_TYPE = "struct<" + ",".join(f"{n}:{t}" for n, t in context_fields().items()) + ">"
 
 
-def _literal(value, typ: str) -> Column:
-    if value is None:
-        return F.lit(None).cast(typ)
-    return F.array().cast(A) if isinstance(value, list) else F.lit(value)
-
-
-def default_context(source_type: Column) -> Column:
-    """The type's default context; fields of other types are null."""
+def default_context(source_type: str) -> Column:
+    """The default context of the type in column ``source_type``; fields of other types are null."""
     fields = []
     for name, typ in context_fields().items():
-        by_value: dict = {}
+        by_value: dict[str, list[str]] = {}
         for st, shape in DEFAULT_CONTEXT.items():
             if name in shape:
-                by_value.setdefault(repr(shape[name]), (shape[name], []))[1].append(st)
-        c = None
-        for value, types in by_value.values():
-            cond = source_type.isin(types)
-            c = F.when(cond, _literal(value, typ)) if c is None else c.when(cond, _literal(value, typ))
-        fields.append(c.otherwise(F.lit(None).cast(typ)).alias(name))
-    return F.struct(*fields)
+                by_value.setdefault(rules.sql_lit(shape[name]), []).append(rules.sql_str(st))
+        whens = " ".join(f"WHEN {source_type} IN ({', '.join(types)}) THEN {value}" for value, types in by_value.items())
+        fields.append(f"'{name}', CASE {whens} ELSE cast(NULL AS {typ}) END")
+    return F.expr("named_struct(" + ", ".join(fields) + ")")
 
 
 def _has(df: DataFrame, name: str, typ: str) -> Column:
@@ -107,7 +98,7 @@ def rawfact_taxonomy(df: DataFrame) -> DataFrame:
     """Columns rawfact_tags, sector, geography, technology, impact_*, operational_relevance, novelty,
     source_type_context."""
     st = F.coalesce("source_type", F.lit(U))
-    t = F.col("_text")
+    t = "_text"
     out = df.withColumn("_text", rules.lower_text(F.col("title"), F.col("full_text")))
     novelty = (F.when(rules.any_phrase(t, vocab.NOVELTY_NEW), F.lit("new_tactic"))
                .when(rules.any_phrase(t, vocab.NOVELTY_SCALE), F.lit("known_tactic_new_scale")).otherwise(F.lit(U)))
@@ -120,7 +111,7 @@ def rawfact_taxonomy(df: DataFrame) -> DataFrame:
         "impact_scope": F.lit(U), "impact_severity": F.lit(U),
         "operational_relevance": rules.lookup(st, vocab.TYPE_RELEVANCE, "medium"),
         "novelty": novelty,
-        "source_type_context": default_context(st),
+        "source_type_context": default_context("source_type"),
         "rawfact_taxonomy_reason": F.concat(F.lit("Deterministic fallback: source_type="), st)}).drop("_text")
 
 
@@ -152,10 +143,10 @@ def rawfact_validate(df: DataFrame, raw: str) -> DataFrame:
 def feed_taxonomy(df: DataFrame) -> DataFrame:
     """The older variant: no caps, type-based tags, scope and severity, other impact phrases."""
     st = F.coalesce("source_type", F.lit(U))
-    t = F.col("_text")
+    t = "_text"
     out = df.withColumn("_text", rules.lower_text(F.col("title"), F.col("full_text")))
     type_tags = rules.lookup_array(st, vocab.FEED_TYPE_TAGS)
-    cve = F.when((st == "vulnerability") & t.contains("cve"), F.array(F.lit("cve"))).otherwise(F.array().cast(A))
+    cve = F.when((st == "vulnerability") & F.col(t).contains("cve"), F.array(F.lit("cve"))).otherwise(F.array().cast(A))
     novelty = (F.when(rules.any_phrase(t, vocab.NOVELTY_NEW), F.lit("new_tactic"))
                .when(rules.any_phrase(t, vocab.FEED_NOVELTY_SCALE), F.lit("known_tactic_new_scale"))
                .otherwise(F.lit("known_tactic")))
@@ -175,7 +166,7 @@ def analytics_taxonomy(df: DataFrame) -> DataFrame:
     """Chart-ready columns from tags, technology, category, type and text.  Needs the rawfact columns."""
     st = F.coalesce("source_type", F.lit(U))
     cat = F.coalesce("category", F.lit(vocab.FALLBACK_CATEGORY))
-    t = F.col("_text")
+    t = "_text"
     ctx = F.col("source_type_context")
     out = df.withColumn("_text", rules.lower_text(F.col("title"), F.col("full_text")))
     names = F.concat(_tag_names(df, "framework_tags"), _tag_names(df, "attack_mappings"), F.col("rawfact_tags"))
