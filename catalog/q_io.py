@@ -32,10 +32,10 @@ def landed(spark, sf):
 
 
 cte("landed", """SELECT doc_id, source, left(split_part(text, chr(10), 1), 140) AS title, 'https://' || source || '.example.org/' || doc_id AS url,
-  TIMESTAMP '2024-01-01' + to_hours(((doc_id * 11) % 10800)::INT) AS at, text FROM documents""")
+  TIMESTAMP '2024-01-01' + to_hours(((doc_id * 11) % 10800)::INT) AS landed_at, text FROM documents""")
 
 
-@query("scan_json_records", "SELECT title, url, source AS publisher, at AS date_published, sha256(text) AS text_hash FROM landed", ["landed"])
+@query("scan_json_records", "SELECT title, url, source AS publisher, landed_at AS date_published, sha256(text) AS text_hash FROM landed", ["landed"])
 def _(spark, sf):
     """Files of one JSON array each, 50 items per file."""
     item = F.to_json(F.struct("title", "url", F.col("source").alias("publisher"), F.date_format("at", ISO).alias("published_at"), "text"))
@@ -54,39 +54,45 @@ def _cdata(c):
     return F.concat(F.lit("<![CDATA["), c, F.lit("]]>"))
 
 
+def write_xml(spark, df, root: str, by: str, pack, line) -> str:
+    """One XML file per value of ``by`` and id range, with the items in id order."""
+    path = scratch_path(spark, "xml")
+    packs = df.groupBy(by, pack.alias("pack")).agg(F.array_sort(F.collect_list(F.struct("doc_id", line.alias("line")))).alias("items"))
+    body = F.concat(F.lit(f"<{root}>"), F.array_join(F.transform("items", lambda i: i["line"]), ""), F.lit(f"</{root}>"))
+    packs.select(by, "pack", body.alias("value")).write.partitionBy(by, "pack").text(path)
+    return path
+
+
 @query("scan_feed_xml", f"""SELECT title, url, date_published FROM (
-    SELECT {XML_TITLE} AS title, url, at AS date_published, 'rss' AS kind, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS o FROM landed
-    UNION ALL SELECT {XML_TITLE}, url, at, 'atom', row_number() OVER (PARTITION BY source ORDER BY doc_id) FROM landed) WHERE o <= 50 AND title <> ''""", ["landed"])
+    SELECT {XML_TITLE} AS title, url, landed_at AS date_published, k, row_number() OVER (PARTITION BY source, doc_id // 1600, k ORDER BY doc_id) AS o
+    FROM landed, (VALUES ('rss'), ('atom')) kinds(k)) WHERE o <= 20 AND title <> ''""", ["landed"])
 def _(spark, sf):
-    """Every source lands as one RSS and one Atom file; the first 50 items of a file count."""
-    d = landed(spark, sf).repartition("source").sortWithinPartitions("source", "doc_id")
+    """Every source lands as RSS and Atom files; the first 20 items of each file count."""
     out = []
-    for kind, line in (
-        ("rss", F.concat(F.lit("<item><title>"), _cdata(F.col("title")), F.lit("</title><link>"), "url", F.lit("</link><pubDate>"),
-                         F.date_format("at", "E, dd MMM yyyy HH:mm:ss"), F.lit(" GMT</pubDate></item>"))),
-        ("atom", F.concat(F.lit("<entry><title>"), _cdata(F.col("title")), F.lit('</title><link href="'), "url", F.lit('"/><published>'),
-                          F.date_format("at", ISO), F.lit("</published></entry>")))):
-        path = scratch_path(spark, kind)
-        d.select("source", line.alias("value")).write.partitionBy("source").text(path)
-        out.append(scans.feed(spark, path, kind).select("title", "url", "date_published"))
+    for kind, root, line in (
+        ("rss", "channel", F.concat(F.lit("<item><title>"), _cdata(F.col("title")), F.lit("</title><link>"), F.col("url"), F.lit("</link><pubDate>"),
+                                    F.date_format("at", "E, dd MMM yyyy HH:mm:ss"), F.lit(" GMT</pubDate></item>"))),
+        ("atom", "feed", F.concat(F.lit("<entry><title>"), _cdata(F.col("title")), F.lit('</title><link href="'), F.col("url"), F.lit('"/><published>'),
+                                  F.date_format("at", ISO), F.lit("</published></entry>")))):
+        path = write_xml(spark, landed(spark, sf), root, "source", F.expr("doc_id div 1600"), line)
+        out.append(scans.feed(spark, path, kind, 20).select("title", "url", "date_published"))
     return out[0].unionByName(out[1])
 
 
-@query("scan_paper_entries", r"""SELECT trim(regexp_replace(title, '\s+', ' ', 'g')) AS title, 'https://arxiv.org/abs/' || doc_id AS url, at AS date_published FROM landed""", ["landed"])
+@query("scan_paper_entries", r"""SELECT trim(regexp_replace(title, '\s+', ' ', 'g')) AS title, 'https://arxiv.org/abs/' || doc_id AS url, landed_at AS date_published FROM landed""", ["landed"])
 def _(spark, sf):
     """Two query labels that overlap in every third paper."""
     d = landed(spark, sf).withColumn("label", F.explode(F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a")))))
     line = F.concat(F.lit("<entry><id>http://arxiv.org/abs/"), F.col("doc_id").cast("string"), F.lit("</id><title>"), _cdata(F.col("title")),
                     F.lit("</title><published>"), F.date_format("at", ISO), F.lit("</published><summary>s</summary></entry>"))
-    path = scratch_path(spark, "papers")
-    d.select("label", line.alias("value")).write.partitionBy("label").text(path)
+    path = write_xml(spark, d, "feed", "label", F.expr("doc_id div 100"), line)
     return scans.paper_entries(spark, path).select("title", "url", "date_published")
 
 
 VULN_TERMS = ["tion", "elle"]
 
 
-@query("scan_vuln_json", f"""SELECT 'CVE-2024-' || (10000 + doc_id) AS cve_id, 'CVE-2024-' || (10000 + doc_id) || ': ' || left(text, 140) AS title, at AS date_published
+@query("scan_vuln_json", f"""SELECT 'CVE-2024-' || (10000 + doc_id) AS cve_id, 'CVE-2024-' || (10000 + doc_id) || ': ' || left(text, 140) AS title, landed_at AS date_published
   FROM landed WHERE {sql_any('lower(text)', VULN_TERMS)}""", ["landed"])
 def _(spark, sf):
     """Responses of 20 entries each; every fourth response is landed twice."""
@@ -103,7 +109,7 @@ def _(spark, sf):
 @query("scan_curated_sheets", f"""
   SELECT 'curated-' || left(sha256(t || '|' || url || '|' || t), 24) AS id, url, d AS date_published, sheet AS sheet_category,
     CASE sheet WHEN 'Security of AI' THEN 80 ELSE 75 END AS ai_specificity_score, source || '.example.org' AS publisher
-  FROM (SELECT *, {sql_clean_plaintext('title')} AS t, CASE doc_id % 2 WHEN 0 THEN 'Security of AI' ELSE 'AI-Enabled Threats' END AS sheet, date_trunc('day', at) AS d FROM landed)
+  FROM (SELECT *, {sql_clean_plaintext('title')} AS t, CASE doc_id % 2 WHEN 0 THEN 'Security of AI' ELSE 'AI-Enabled Threats' END AS sheet, date_trunc('day', landed_at) AS d FROM landed)
   WHERE t <> '' AND doc_id % 5 <> 0""", ["landed"])
 def _(spark, sf):
     """Two sheets: one dates its rows by serial day, the other by ISO text; every fifth row has no date."""
@@ -121,7 +127,7 @@ def _(spark, sf):
 
 @query("scan_discovery_results", f"""
   SELECT url, CASE WHEN trim(title) = '' THEN url ELSE title END AS title, {sql_map('h', HOSTS, 'h')} AS publisher, 'low' AS date_confidence, true AS recent FROM (
-    SELECT url, 'Page ' || page_id AS title, {SQL_HOST.format(u='url')} AS h, row_number() OVER (PARTITION BY url ORDER BY page_id) AS o FROM pages) WHERE o = 1""")
+    SELECT url, 'Page ' || page_id AS title, regexp_replace({SQL_HOST.format(u='url')}, '^www\\.', '') AS h, row_number() OVER (PARTITION BY url ORDER BY page_id) AS o FROM pages) WHERE o = 1""")
 def _(spark, sf):
     found = table(spark, sf, "pages").select("url", F.concat(F.lit("Page "), F.col("page_id").cast("string")).alias("title"),
                                              (F.lit("2025-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("page_id").cast("int"))).alias("found_at"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,57 +16,74 @@ WS = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 B0, B1 = r"(?<!\w)", r"(?!\w)"
 
 # --- fixed values: ordered (pattern, replacement) rules -----------------------
+# Consecutive rules are grouped under a guard, a cheap test without which none of the
+# group's patterns can match: a required substring, one of several in the lower-cased text
+# ("lower:"), "non-ascii", or a regex ("regex:").
 PLAINTEXT_RULES = [
-    (r"(?i)<script[\s\S]*?</script>", " "),
-    (r"(?i)<style[\s\S]*?</style>", " "),
-    (r"<[^>]+>", " "),
-    (r"&nbsp;", " "),
-    (r"&amp;", "&"),
-    (r"&lt;", "<"),
-    (r"&gt;", ">"),
-    (r"&#x2F;", "/"),
-    (r"&#39;", "'"),
-    (r"&quot;", '"'),
-    (r"&apos;", "'"),
-    (r"&mdash;", " \u2014 "),
-    (r"&ndash;", " \u2013 "),
-    (r"&ldquo;|&rdquo;", '"'),
-    (r"&lsquo;|&rsquo;", "'"),
-    (r"&hellip;", "..."),
-    (r"&bull;", " "),
-    (r"&middot;", " "),
-    (r"&#\d+;", " "),
-    (r"&[a-zA-Z]+;", " "),
-    (r"[\u00a0\u202f\u2007\u2000-\u200b\u2028\u2029\ufeff]", " "),
-    (r"[\u00ad\u200c-\u200f]", ""),
-    (r"\$\$[\s\S]{0,1200}?\$\$", " "),
-    (r"\\\[[\s\S]{0,1200}?\\\]", " "),
-    (r"\\\([\s\S]{0,400}?\\\)", " "),
-    (r"\$(?=[^$\n]*\\[a-zA-Z])[^$\n]{0,300}?\$", " "),
-    (r"\\(?:textbf|textit|emph|text|mathbf|mathrm|mathit|mathcal|mathbb|mathsf|operatorname"
-     r"|hat|tilde|bar|vec)\{([^{}]{0,100})\}", "$1"),
-    (r"\\(?:cite|ref|label|footnote|section|subsection|paragraph|caption)\{[^{}]{0,100}\}", " "),
-    (r"\\[a-zA-Z]+(?:\[[^\]]{0,50}\])?", " "),
-    (r"(?<!\w)\{|\}(?!\w)", " "),
-    (r"~", " "),
-    (r"`{3}[^\n]*\n?", " "),
-    (r"`([^`\n]+)`", "$1"),
-    (r"(?m)^#{1,6}" + WS + "+", ""),
-    (r"\*{2,3}([^*\n]+)\*{2,3}", "$1"),
-    (r"_{2}([^_\n]+)_{2}", "$1"),
-    (r"\*([^*\n]+)\*", "$1"),
-    (r"\[([^\]]+)\]\([^)]+\)", "$1"),
-    (r"!\[[^\]]*\]\([^)]+\)", " "),
-    (r"(?i)" + B0 + r"The post .{5,120} appeared first on .{3,80}\." + WS + "*", " "),
-    (r"(?i)" + B0 + r"Continue reading\.{0,3}" + WS + "*\u00bb?" + WS + "*", " "),
-    (r"(?i)" + B0 + r"Read (the full story|more)\.{0,3}" + WS + "*\u00bb?" + WS + "*", " "),
-    (r"(?i)" + B0 + r"Subscribe (to|now).{0,60}\." + WS + "*", " "),
-    (r"(?i)" + B0 + r"Click here to .{5,80}\." + WS + "*", " "),
-    (r"(?i)" + B0 + r"(View|See) (full|original) (article|post|story).{0,30}\." + WS + "*", " "),
-    (r"[\u00a9\u00ae\u2122\u00b0]", " "),
-    (r"[-=_|*~]{4,}", " "),
-    (r"[ \t]+", " "),
-    (r"\n{3,}", "\n\n"),
+    ("<", [
+        (r"(?i)<script[\s\S]*?</script>", " "),
+        (r"(?i)<style[\s\S]*?</style>", " "),
+        (r"<[^>]+>", " "),
+    ]),
+    ("&", [
+        (r"&nbsp;", " "),
+        (r"&amp;", "&"),
+        (r"&lt;", "<"),
+        (r"&gt;", ">"),
+        (r"&#x2F;", "/"),
+        (r"&#39;", "'"),
+        (r"&quot;", '"'),
+        (r"&apos;", "'"),
+        (r"&mdash;", " \u2014 "),
+        (r"&ndash;", " \u2013 "),
+        (r"&ldquo;|&rdquo;", '"'),
+        (r"&lsquo;|&rsquo;", "'"),
+        (r"&hellip;", "..."),
+        (r"&bull;", " "),
+        (r"&middot;", " "),
+        (r"&#\d+;", " "),
+        (r"&[a-zA-Z]+;", " "),
+    ]),
+    ("non-ascii", [
+        (r"[\u00a0\u202f\u2007\u2000-\u200b\u2028\u2029\ufeff]", " "),
+        (r"[\u00ad\u200c-\u200f]", ""),
+    ]),
+    ("$$", [(r"\$\$[\s\S]{0,1200}?\$\$", " ")]),
+    ("\\", [
+        (r"\\\[[\s\S]{0,1200}?\\\]", " "),
+        (r"\\\([\s\S]{0,400}?\\\)", " "),
+        (r"\$(?=[^$\n]*\\[a-zA-Z])[^$\n]{0,300}?\$", " "),
+        (r"\\(?:textbf|textit|emph|text|mathbf|mathrm|mathit|mathcal|mathbb|mathsf|operatorname"
+         r"|hat|tilde|bar|vec)\{([^{}]{0,100})\}", "$1"),
+        (r"\\(?:cite|ref|label|footnote|section|subsection|paragraph|caption)\{[^{}]{0,100}\}", " "),
+        (r"\\[a-zA-Z]+(?:\[[^\]]{0,50}\])?", " "),
+    ]),
+    ("regex:[{}]", [(r"(?<!\w)\{|\}(?!\w)", " ")]),
+    ("~", [(r"~", " ")]),
+    ("`", [
+        (r"`{3}[^\n]*\n?", " "),
+        (r"`([^`\n]+)`", "$1"),
+    ]),
+    ("#", [(r"(?m)^#{1,6}" + WS + "+", "")]),
+    ("**", [(r"\*{2,3}([^*\n]+)\*{2,3}", "$1")]),
+    ("__", [(r"_{2}([^_\n]+)_{2}", "$1")]),
+    ("*", [(r"\*([^*\n]+)\*", "$1")]),
+    ("](", [
+        (r"\[([^\]]+)\]\([^)]+\)", "$1"),
+        (r"!\[[^\]]*\]\([^)]+\)", " "),
+    ]),
+    ("lower:the post |continue reading|read the full|read more|subscribe |click here|view full|view original|see full|see original", [
+        (r"(?i)" + B0 + r"The post .{5,120} appeared first on .{3,80}\." + WS + "*", " "),
+        (r"(?i)" + B0 + r"Continue reading\.{0,3}" + WS + "*\u00bb?" + WS + "*", " "),
+        (r"(?i)" + B0 + r"Read (the full story|more)\.{0,3}" + WS + "*\u00bb?" + WS + "*", " "),
+        (r"(?i)" + B0 + r"Subscribe (to|now).{0,60}\." + WS + "*", " "),
+        (r"(?i)" + B0 + r"Click here to .{5,80}\." + WS + "*", " "),
+        (r"(?i)" + B0 + r"(View|See) (full|original) (article|post|story).{0,30}\." + WS + "*", " "),
+    ]),
+    ("non-ascii", [(r"[\u00a9\u00ae\u2122\u00b0]", " ")]),
+    (None, [(r"[-=_|*~]{4,}", " ")]),
+    ("regex:\t|  ", [(r"[ \t]+", " ")]),
+    ("\n\n\n", [(r"\n{3,}", "\n\n")]),
 ]
 TITLE_RULES = [
     (r"<[^>]+>", " "),
@@ -109,14 +127,43 @@ def apply_rules(c: Column, rules) -> Column:
     return reduce(lambda acc, r: F.regexp_replace(acc, r[0], r[1]), rules, c)
 
 
+def _guard(c: Column, guard: str) -> Column:
+    if guard == "non-ascii":
+        return F.octet_length(c) != F.length(c)
+    if guard.startswith("regex:"):
+        return c.rlike(guard[len("regex:"):])
+    if guard.startswith("lower:"):
+        phrases = guard[len("lower:"):].split("|")
+        hit = lambda low: reduce(or_, [F.contains(low, F.lit(p)) for p in phrases])
+        return F.get(F.transform(F.array(F.lower(c)), hit), F.lit(0))
+    return F.contains(c, F.lit(guard))
+
+
+def _in_lambda(c: Column, body) -> Column:
+    """Evaluate ``body`` as a one-element lambda.  Dozens of inlined regex calls make a generated
+    method too large for the JIT (and, for several columns, for the JVM); a lambda body is not
+    inlined, and the regex engine dominates its cost anyway."""
+    return F.get(F.transform(F.array(F.coalesce(c, F.lit(""))), body), F.lit(0))
+
+
+def guarded(c: Column, groups) -> Column:
+    """Apply the rule groups in order, each only where its guard holds."""
+    def step(acc: Column, group) -> Column:
+        guard, rules = group
+        if guard is None:
+            return apply_rules(acc, rules)
+        return _in_lambda(acc, lambda x: F.when(_guard(x, guard), apply_rules(x, rules)).otherwise(x))
+    return reduce(step, groups, c)
+
+
 def clean_plaintext(c: Column) -> Column:
     """The long cleaner: markup, entities, LaTeX, Markdown, feed boilerplate, spacing."""
-    return js_trim(apply_rules(F.coalesce(c, F.lit("")), PLAINTEXT_RULES))
+    return js_trim(guarded(F.coalesce(c, F.lit("")), PLAINTEXT_RULES))
 
 
 def clean_text(c: Column) -> Column:
     """The short cleaner for titles and names."""
-    return js_trim(apply_rules(F.coalesce(c, F.lit("")), TITLE_RULES))
+    return _in_lambda(c, lambda x: js_trim(apply_rules(x, TITLE_RULES)))
 
 
 def xml_text(c: Column) -> Column:

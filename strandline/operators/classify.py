@@ -451,17 +451,20 @@ def migrate_legacy_tags(df: DataFrame) -> DataFrame:
               for g in ("ai_framework_tag", "attack_mapping", "governance_tag")}
     new = F.coalesce(_col(df, "taxonomy_version"), F.lit("")) >= vocab.TAXONOMY_VERSION
 
+    old = F.col("_old")
+
     def moved(target: Column, group: str) -> Column:
         have = F.transform(target, lambda t: t["tag"])
-        fresh = F.filter("framework_tags", lambda t: F.array_contains(groups[group], t["tag"]) & ~F.array_contains(have, t["tag"]))
+        fresh = F.filter(old, lambda t: F.array_contains(groups[group], t["tag"]) & ~F.array_contains(have, t["tag"]))
         first = F.filter(fresh, lambda t, i: F.array_position(F.transform(fresh, lambda x: x["tag"]), t["tag"]) == i + 1)
         return F.concat(target, first)
 
-    return df.withColumns({
+    # The old tags get their own name: inside a lambda a replaced column's name would mean the new one.
+    return df.withColumn("_old", F.col("framework_tags")).withColumns({
         "attack_mappings": F.when(new, F.col("attack_mappings")).otherwise(moved(F.col("attack_mappings"), "attack_mapping")),
         "governance_tags": F.when(new, F.col("governance_tags")).otherwise(moved(F.col("governance_tags"), "governance_tag")),
-        "framework_tags": F.when(new, F.col("framework_tags")).otherwise(
-            F.filter("framework_tags", lambda t: F.array_contains(groups["ai_framework_tag"], t["tag"])))})
+        "framework_tags": F.when(new, old).otherwise(
+            F.filter(old, lambda t: F.array_contains(groups["ai_framework_tag"], t["tag"])))}).drop("_old")
 
 
 def tags_by_category(df: DataFrame, registry_df: DataFrame) -> DataFrame:
