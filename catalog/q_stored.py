@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from catalog.registry import cte, query
 from catalog.q_functions import sql_clean_plaintext
-from catalog.views import (AS_OF, TEST_TAGS, as_of, pick, sources, sql_canonical_url, sql_list, sql_map, sql_pick, table,
+from catalog.views import (AS_OF, TEST_TAGS, as_of, pick, sources, sql_canonical_url, sql_labels, sql_list, sql_map, sql_pick, table,
                            tagged)
 from strandline import vocab
 from strandline.functions import text, times, urls
-from strandline.operators import classify, filters, joins, rank
+from strandline.operators import aggregate, classify, filters, joins
 from strandline.plans import ingest
 
 LO, HI = "2024-06-01 00:00:00", "2024-09-01 00:00:00"
@@ -314,6 +314,15 @@ def _(spark, sf):
     return ingested(spark, sf).select("position", "stage")
 
 
+@query("flagship_top_tags", f"""
+  SELECT t AS key, count(*) AS count FROM (SELECT unnest({sql_labels("lower(c.title || '  ' || c.full_text)", TEST_TAGS)}) AS t
+    FROM ing_all i JOIN ing_clean c USING (position) WHERE i.stage = 'stored') GROUP BY t ORDER BY count DESC, key LIMIT 10""", [*NO_WINDOW, "ing_clean"])
+def _(spark, sf):
+    """Clean, deduplicate, accept, validate and tag all records, then the ten most frequent tags."""
+    stored = ingested(spark, sf, None).where("stage = 'stored'")
+    return aggregate.top_n(aggregate.count_by_array(stored, "tags"), 10)
+
+
 @query("ingest_no_window", "SELECT position, stage FROM ing_all", NO_WINDOW)
 def _(spark, sf):
     return ingested(spark, sf, None).select("position", "stage")

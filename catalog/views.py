@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from catalog.registry import cte
 from strandline import vocab
 from strandline.functions import rules
+from strandline.runtime import spread
 
 AS_OF = "2025-03-01 00:00:00"
 CONFIDENCES = ["exact", "exact", "estimated", "low", "none"]
@@ -27,8 +28,13 @@ ATTACK_TAGS = [r for r in vocab.registry_rows() if r[1] == "attack_mapping"]
 GOVERNANCE_TAGS = [r for r in vocab.registry_rows() if r[1] == "governance_tag"]
 
 
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A driver table; the text tables are spread over the cores when they come as one split."""
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df, TEXT_KEYS[name]) if name in TEXT_KEYS else df
 
 
 def pick(index: Column, values: list[str]) -> Column:

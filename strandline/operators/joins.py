@@ -80,6 +80,7 @@ def citation_coverage(sections: DataFrame, rows: DataFrame, *, hot_rows: int = H
     ``rows``: id, title, feed_priority.
     """
     high = rows.where(F.col("feed_priority").isin("must_read", "high")).select("id", F.lower(F.coalesce("title", F.lit(""))).alias("t"))
+    high = cut_lineage(high, "coverage-high")
     call = sections.select(F.explode("evidence").alias("e"))
     cited = call.select(F.regexp_replace("e.evidence_id", "^raw_", "").alias("id"),
                         F.col("e.evidence_id").startswith("raw_").alias("raw")).where("raw").select("id")

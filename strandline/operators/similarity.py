@@ -10,8 +10,9 @@ a large group of copies is one set.
 A token that is in more than ``hot_rows`` prefixes would still pair too many sets.
 Pairs whose first common token is hot share only hot tokens (they sort last), so
 they are found through the first *two* common tokens instead, which lie in prefixes
-one longer.  Pairs that need to share a single token only are a 1-token set inside a
-2-token set; there is one such 1-token set per token, so that join is linear.
+one longer.  Pairs for which one shared token is enough are small (sizes p + q <= (1+t)/t)
+and every two of them under one token are results; at t = 0.35 that is a 1-token set
+inside 2-token sets, of which there is one per token.
 """
 
 from __future__ import annotations
@@ -77,17 +78,27 @@ def similar_sets(sets: DataFrame, block: list[str], *, threshold: float, min_sha
     double = double.withColumn("key", F.concat_ws(" ", "t1", "t2")).drop("t1", "t2")
     out = out.unionByName(_pair_up(double, threshold, min_shared, depth=2))
 
-    if min_shared <= 1 and threshold <= 0.5:
-        one = ordered.where("n = 1").select("block", F.col("set_id").alias("one"), F.col("toks")[0].alias("key"))
-        one = one.join(hot_b, ["block", "key"], "left_semi")
-        two = ordered.where("n = 2").select("block", F.col("set_id").alias("two"), F.explode("toks").alias("key"))
-        small = one.join(two, ["block", "key"]).select(
-            F.least("one", "two").alias("set_a"), F.greatest("one", "two").alias("set_b"),
-            F.lit(1).alias("shared"), F.lit(0.5).alias("similarity"))
-        out = out.unionByName(small)
+    # Pairs that share exactly one token: any two sets of sizes p and q with p + q within the
+    # limit that hold the hot token.  Sizes are joined size by size, so only results are formed.
+    limit = math.floor((1 + threshold) / threshold + 1e-9)
+    if min_shared <= 1:
+        single = ordered.where(F.col("n") < limit).select("set_id", "block", "n", "toks", F.explode("toks").alias("key")) \
+            .join(hot_b, ["block", "key"], "left_semi")
+        for p in range(1, limit // 2 + 1):
+            for q in range(max(p, 2), limit - p + 1):
+                out = out.unionByName(_share_one(single.where(F.col("n") == p), single.where(F.col("n") == q), p, q))
     return out
 
 
+def _share_one(left: DataFrame, right: DataFrame, p: int, q: int) -> DataFrame:
+    a = left.select("block", "key", F.col("set_id").alias("a"), F.col("toks").alias("ta"))
+    b = right.select("block", "key", F.col("set_id").alias("b"), F.col("toks").alias("tb"))
+    order = F.col("a") < F.col("b") if p == q else F.lit(True)
+    pairs = a.join(b, ["block", "key"]).where(order & (F.size(F.array_intersect("ta", "tb")) == 1))
+    return pairs.select(F.least("a", "b").alias("set_a"), F.greatest("a", "b").alias("set_b"), F.lit(1).alias("shared"),
+                        F.lit(1 / (p + q - 1)).alias("similarity"))
+
+
 def _pair_up(keys: DataFrame, threshold: float, min_shared: int, depth: int = 1) -> DataFrame:
     cols = ["set_id", "n", "toks", "pos"]
     a = keys.select("block", "key", *[F.col(c).alias(f"a_{c}") for c in cols])
