@@ -57,12 +57,12 @@ def sql_clean_text(expr: str) -> str:
 
 @query("clean_plaintext", f"SELECT page_id, {sql_clean_plaintext('html')} AS clean_text FROM pages")
 def _(spark, sf):
-    return pages(spark, sf).select("page_id", text.clean_plaintext(F.col("html")).alias("clean_text"))
+    return pages(spark, sf).select("page_id", text.clean_plaintext("html").alias("clean_text"))
 
 
 @query("clean_text", f"SELECT page_id, {sql_clean_text('html')} AS clean_text FROM pages")
 def _(spark, sf):
-    return pages(spark, sf).select("page_id", text.clean_text(F.col("html")).alias("clean_text"))
+    return pages(spark, sf).select("page_id", text.clean_text("html").alias("clean_text"))
 
 
 @query("clean_sources", f"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.registry import cte, query
-from catalog.q_functions import sql_clean_plaintext
+from catalog.q_functions import sql_clean_plaintext, sql_clean_text
 from catalog.views import (AS_OF, TEST_TAGS, as_of, pick, sources, sql_canonical_url, sql_labels, sql_list, sql_map, sql_pick, table,
                            tagged)
 from strandline import vocab
@@ -336,6 +336,36 @@ def _(spark, sf):
     return ingest.funnel_counts(ingested(spark, sf))
 
 
+cte("lay_clean", f"""
+  SELECT position, id, url, ct AS title, cf AS full_text, {ING_QUALITY} AS quality_score,
+    trim(regexp_replace(regexp_replace(lower(ct), '[^\\w\\s]', '', 'g'), '\\s+', ' ', 'g')) AS norm
+  FROM (SELECT *, {sql_clean_text('title')} AS ct, {sql_clean_plaintext('full_text')} AS cf FROM sources)""", ["sources"])
+cte("lay_ranked", f"""
+  SELECT *, row_number() OVER (ORDER BY quality_score DESC, position) AS rk,
+    list_filter([CASE WHEN coalesce(url, '') <> '' THEN 'u:' || {sql_canonical_url('url', vocab.DEDUPE_PARAMS)} END,
+      CASE WHEN norm <> '' THEN 't:' || norm END, CASE WHEN length(full_text) > 200 THEN 'h:' || sha256(full_text) END], lambda x: x IS NOT NULL) AS keys,
+    list_distinct(list_filter(regexp_split_to_array(lower(title), '[^a-z0-9]+'),
+      lambda x: length(x) > 2 AND NOT list_contains({sql_list(vocab.DEDUPE_STOPWORDS)}, x))) AS tokens FROM lay_clean""", ["lay_clean"])
+cte("lay_walk", """SELECT 0::BIGINT AS rk, []::VARCHAR[] AS seen, false AS kept UNION ALL
+  SELECT r.rk, CASE WHEN list_has_any(w.seen, r.keys) THEN w.seen ELSE list_concat(w.seen, r.keys) END, NOT list_has_any(w.seen, r.keys)
+  FROM lay_walk w JOIN lay_ranked r ON r.rk = w.rk + 1""", ["lay_ranked"])
+cte("lay_kept", "SELECT position, tokens, row_number() OVER (ORDER BY r.rk) AS k FROM lay_ranked r JOIN lay_walk w USING (rk) WHERE w.kept", ["lay_walk"])
+cte("lay_near", """SELECT a.k AS better, b.k AS worse FROM (SELECT k, tokens, unnest(tokens) AS t FROM lay_kept) a JOIN (SELECT k, tokens, unnest(tokens) AS t FROM lay_kept) b
+  ON a.t = b.t AND a.k < b.k GROUP BY a.k, b.k HAVING count(*) >= 3 AND count(*) / (any_value(len(a.tokens)) + any_value(len(b.tokens)) - count(*)) >= 0.85""", ["lay_kept"])
+cte("lay_rows", "SELECT t.k, t.position, coalesce(list(p.better) FILTER (p.better IS NOT NULL), []) AS nb FROM lay_kept t LEFT JOIN lay_near p ON p.worse = t.k GROUP BY t.k, t.position",
+    ["lay_kept", "lay_near"])
+cte("lay_walk2", """SELECT 0::BIGINT AS k, []::BIGINT[] AS keepers, false AS kept UNION ALL
+  SELECT r.k, CASE WHEN list_has_any(w.keepers, r.nb) THEN w.keepers ELSE list_append(w.keepers, r.k) END, NOT list_has_any(w.keepers, r.nb)
+  FROM lay_walk2 w JOIN lay_rows r ON r.k = w.k + 1""", ["lay_rows"])
+
+
+@query("cleaning_layer", """SELECT position, 'exact_duplicate' AS reason FROM lay_ranked JOIN lay_walk USING (rk) WHERE NOT kept
+  UNION ALL SELECT position, 'near_duplicate_title' FROM lay_rows JOIN lay_walk2 USING (k) WHERE NOT kept""", ["lay_walk", "lay_walk2"])
+def _(spark, sf):
+    _kept, removed = ingest.cleaning_layer(sources(spark, sf))
+    return removed.select("position", "reason")
+
+
 @query("backfill_runs", """SELECT d - INTERVAL 2 HOUR AS start_utc, d + INTERVAL 22 HOUR AS end_utc, count(*) AS raw, count_if(stage = 'stored')::BIGINT AS saved
   FROM (SELECT *, date_trunc('day', date_published + INTERVAL 2 HOUR) AS d FROM ing_all WHERE date_published IS NOT NULL) GROUP BY d""", NO_WINDOW)
 def _(spark, sf):

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from strandline.functions.rules import lit_array
+from strandline.functions.rules import lit_array, sql_any, sql_str
 
 # Java's \s is ASCII only; this class also covers the Unicode spaces.
 WS = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
@@ -127,43 +126,48 @@ def apply_rules(c: Column, rules) -> Column:
     return reduce(lambda acc, r: F.regexp_replace(acc, r[0], r[1]), rules, c)
 
 
-def _guard(c: Column, guard: str) -> Column:
+def _sql_rules(x: str, rules) -> str:
+    return reduce(lambda acc, r: f"regexp_replace({acc}, {sql_str(r[0])}, {sql_str(r[1])})", rules, x)
+
+
+def _sql_guard(x: str, guard: str) -> str:
     if guard == "non-ascii":
-        return F.octet_length(c) != F.length(c)
+        return f"octet_length({x}) <> length({x})"
     if guard.startswith("regex:"):
-        return c.rlike(guard[len("regex:"):])
+        return f"{x} RLIKE {sql_str(guard[len('regex:'):])}"
     if guard.startswith("lower:"):
-        phrases = guard[len("lower:"):].split("|")
-        hit = lambda low: reduce(or_, [F.contains(low, F.lit(p)) for p in phrases])
-        return F.get(F.transform(F.array(F.lower(c)), hit), F.lit(0))
-    return F.contains(c, F.lit(guard))
+        return f"transform(array(lower({x})), l -> {sql_any('l', guard[len('lower:'):].split('|'))})[0]"
+    return f"contains({x}, {sql_str(guard)})"
+
+
+def sql_guarded(text: str, groups) -> str:
+    """Apply the rule groups in order, each only where its guard holds.
 
+    Every group is a one-element lambda: dozens of inlined regex calls make a generated
+    method too large for the JIT (and, for several columns, for the JVM); a lambda body is
+    not inlined, and the regex engine dominates its cost anyway.
+    """
+    for guard, rules in groups:
+        body = _sql_rules("x", rules)
+        text = (f"transform(array({text}), x -> CASE WHEN {_sql_guard('x', guard)} THEN {body} ELSE x END)[0]"
+                if guard is not None else _sql_rules(text, rules))
+    return text
 
-def _in_lambda(c: Column, body) -> Column:
-    """Evaluate ``body`` as a one-element lambda.  Dozens of inlined regex calls make a generated
-    method too large for the JIT (and, for several columns, for the JVM); a lambda body is not
-    inlined, and the regex engine dominates its cost anyway."""
-    return F.get(F.transform(F.array(F.coalesce(c, F.lit(""))), body), F.lit(0))
 
+TRIM_RULES = [(f"^{WS}+|{WS}+$", "")]
 
-def guarded(c: Column, groups) -> Column:
-    """Apply the rule groups in order, each only where its guard holds."""
-    def step(acc: Column, group) -> Column:
-        guard, rules = group
-        if guard is None:
-            return apply_rules(acc, rules)
-        return _in_lambda(acc, lambda x: F.when(_guard(x, guard), apply_rules(x, rules)).otherwise(x))
-    return reduce(step, groups, c)
 
+def clean_plaintext(text: str) -> Column:
+    """The long cleaner: markup, entities, LaTeX, Markdown, feed boilerplate, spacing.
 
-def clean_plaintext(c: Column) -> Column:
-    """The long cleaner: markup, entities, LaTeX, Markdown, feed boilerplate, spacing."""
-    return js_trim(guarded(F.coalesce(c, F.lit("")), PLAINTEXT_RULES))
+    ``text`` is a column name or SQL expression; nulls clean to an empty string.
+    """
+    return F.expr(_sql_rules(sql_guarded(f"coalesce({text}, '')", PLAINTEXT_RULES), TRIM_RULES))
 
 
-def clean_text(c: Column) -> Column:
+def clean_text(text: str) -> Column:
     """The short cleaner for titles and names."""
-    return _in_lambda(c, lambda x: js_trim(apply_rules(x, TITLE_RULES)))
+    return F.expr(f"transform(array(coalesce({text}, '')), x -> {_sql_rules('x', TITLE_RULES + TRIM_RULES)})[0]")
 
 
 def xml_text(c: Column) -> Column:

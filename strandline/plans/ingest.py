@@ -15,47 +15,47 @@ def _opt(df: DataFrame, name: str, typ: str = "string") -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast(typ)
 
 
+def _sql(df: DataFrame, name: str, default: str = "''") -> str:
+    """An optional text column as SQL, with empty text as the default's trigger."""
+    return f"coalesce(nullif({name}, ''), {default})" if name in df.columns else default
+
+
 def normalize_source(df: DataFrame, as_of: Column) -> DataFrame:
     """Raw items to the record schema with defaults.
 
     ``has_actual_date`` tells an explicitly null ``date_published_actual`` from an absent one.
     """
-    e = F.lit("")
-    raw_url = F.coalesce(_opt(df, "url"), e)
-    canon = urls.canonical_url(urls.upgrade_http(raw_url))
-    body = F.coalesce(*[F.nullif(_opt(df, c), e) for c in ("full_text", "content", "summary")], e)
-    title = text.clean_plaintext(F.coalesce(_opt(df, "title"), e))
+    raw_url = F.coalesce(_opt(df, "url"), F.lit(""))
+    body = _sql(df, "full_text", _sql(df, "content", _sql(df, "summary")))
     given = _opt(df, "date_published_actual", "timestamp_ntz")
-    has_actual = _opt(df, "has_actual_date", "boolean") if "has_actual_date" in df.columns else given.isNotNull()
-    tier = F.coalesce(F.nullif(_opt(df, "trust_tier"), e), F.lit("unknown"))
+    has_actual = F.coalesce("has_actual_date", F.lit(False)) if "has_actual_date" in df.columns else given.isNotNull()
+    tier = F.expr(_sql(df, "trust_tier", "'unknown'"))
     tags = F.coalesce(_opt(df, "tags", "array<string>"), F.array().cast("array<string>"))
     published = F.col("date_published")
-    out = df.withColumns({"_canon": canon, "_body": text.clean_plaintext(body), "_title": title, "_raw": body})
-    out = out.withColumns({
+    out = df.withColumns({
+        "original_url": raw_url, "_canon": urls.canonical_url(urls.upgrade_http(raw_url)), "raw_text": F.expr(body),
+        "_body": text.clean_plaintext(body), "_title": text.clean_plaintext(_sql(df, "title")),
+        "publisher": text.clean_plaintext(_sql(df, "publisher", "'Unknown'")), "author": text.clean_plaintext(_sql(df, "author")),
+        "summary": text.clean_plaintext(_sql(df, "summary")), "raw_html": F.expr(_sql(df, "raw_html"))})
+    return out.withColumns({
         "id": urls.source_id(F.col("_canon"), F.concat_ws("|", "_title", "_canon", "_body")),
-        "original_url": raw_url, "canonical_url": F.col("_canon"), "final_url": F.coalesce(_opt(df, "final_url"), F.col("_canon")),
-        "publisher": text.clean_plaintext(F.coalesce(F.nullif(_opt(df, "publisher"), e), F.lit("Unknown"))),
-        "author": text.clean_plaintext(F.coalesce(_opt(df, "author"), e)),
-        "date_published_actual": F.when(F.coalesce(has_actual, F.lit(False)), given).otherwise(published),
+        "url": F.col("_canon"), "canonical_url": F.col("_canon"), "final_url": F.coalesce(_opt(df, "final_url"), F.col("_canon")),
+        "title": F.col("_title"), "full_text": F.col("_body"),
+        "date_published_actual": F.when(has_actual, given).otherwise(published),
         "date_discovered": F.coalesce(_opt(df, "date_discovered", "timestamp_ntz"), as_of), "date_collected": as_of,
         "date_confidence": F.coalesce(_opt(df, "date_confidence"),
                                       F.when(published.isNotNull(), F.lit("exact")).otherwise(F.lit("none"))),
-        "source_type": F.coalesce(F.nullif(_opt(df, "source_type"), e), F.lit("unknown")),
-        "trust_tier": tier,
+        "source_type": F.expr(_sql(df, "source_type", "'unknown'")), "trust_tier": tier,
         "is_curated": F.coalesce(_opt(df, "is_curated", "boolean"), (tier == "curated") | F.array_contains(tags, "curated")),
-        "raw_html": F.coalesce(_opt(df, "raw_html"), e), "raw_text": F.col("_raw"),
-        "summary": text.clean_plaintext(F.coalesce(_opt(df, "summary"), e)),
         "content_hash": F.coalesce(_opt(df, "content_hash"), text.content_hash(F.col("_title"), F.col("_canon"), F.col("_body"))),
-        "clean_text_hash": F.sha2("_body", 256)})
-    return out.withColumns({"url": F.col("_canon"), "title": F.col("_title"), "full_text": F.col("_body")}) \
-        .drop("_canon", "_title", "_body", "_raw")
+        "clean_text_hash": F.sha2("_body", 256)}).drop("_canon", "_title", "_body")
 
 
 def normalize_sample(df: DataFrame) -> DataFrame:
     """The sample loader's variant: id from title and URL, URL case kept, first row per id."""
     url = urls.canonical_url_sample(F.coalesce("url", F.lit("")))
     title = F.coalesce("title", F.lit(""))
-    body = text.clean_plaintext(F.coalesce(_opt(df, "text"), F.lit("")))
+    body = text.clean_plaintext(_sql(df, "text"))
     out = df.select(
         F.substring(F.sha2(F.concat_ws("|", title, url), 256), 1, 36).alias("id"), url.alias("url"), F.trim(title).alias("title"),
         urls.infer_publisher(F.col("publisher"), F.col("url")).alias("publisher"),
@@ -67,19 +67,20 @@ def normalize_sample(df: DataFrame) -> DataFrame:
 
 def clean_sources(df: DataFrame) -> DataFrame:
     """Add cleaned columns to rows not stamped with the current cleaning version."""
-    raw = F.coalesce(F.nullif(_opt(df, "raw_text"), F.lit("")), F.col("full_text"), F.lit(""))
     done = F.coalesce(_opt(df, "cleaning_version") == vocab.CLEANING_VERSION, F.lit(False))
-    plain = text.unfenced(raw)
-    clean = text.clean_plaintext(F.when(plain != "", plain).otherwise(raw))
-    blocks_t = "array<struct<language:string,content:string>>"
+    df = df.withColumn("_raw", F.expr(_sql(df, "raw_text", _sql(df, "full_text"))))
+    df = df.withColumn("_plain", text.unfenced(F.col("_raw")))
+    raw = F.col("_raw")
+    df = df.withColumn("_clean", text.clean_plaintext("CASE WHEN _plain <> '' THEN _plain ELSE _raw END"))
     new = {
-        "clean_text": clean, "full_text": clean, "title": text.clean_text(F.col("title")), "raw_text": raw,
-        "publisher": text.clean_text(_opt(df, "publisher")), "author": text.clean_text(_opt(df, "author")),
-        "extracted_code_blocks": text.code_blocks(raw).cast(blocks_t), "extracted_iocs": text.iocs(raw)}
+        "clean_text": F.col("_clean"), "full_text": F.col("_clean"), "title": text.clean_text(_sql(df, "title")), "raw_text": raw,
+        "publisher": text.clean_text(_sql(df, "publisher")), "author": text.clean_text(_sql(df, "author")),
+        "extracted_code_blocks": text.code_blocks(raw).cast("array<struct<language:string,content:string>>"),
+        "extracted_iocs": text.iocs(raw)}
     if "summary" in df.columns:
-        new["summary"] = text.clean_plaintext(F.col("summary"))
+        new["summary"] = text.clean_plaintext("summary")
     cols = {n: F.when(done, F.col(n)).otherwise(c) if n in df.columns else F.when(~done, c) for n, c in new.items()}
-    return df.withColumns(cols).withColumn("cleaning_version", F.lit(vocab.CLEANING_VERSION))
+    return df.withColumns({**cols, "cleaning_version": F.lit(vocab.CLEANING_VERSION)}).drop("_raw", "_plain", "_clean")
 
 
 def cleaning_layer(df: DataFrame, *, threshold: float = 0.85, skip_near: bool = False):

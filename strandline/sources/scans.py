@@ -96,7 +96,7 @@ def curated_sheets(spark: SparkSession, sheets: dict[str, str]) -> DataFrame:
     raw = reduce(DataFrame.unionByName, parts)
     date = F.when(F.col("Published").rlike(r"^\d+(\.\d+)?$"), times.serial_date(F.col("Published").try_cast("double"))) \
         .otherwise(times.parse_date(F.col("Published")))
-    clean = {c.lower(): text.clean_plaintext(F.col(c)) for c in ("Title", "URL", "Summary", "Content")}
+    clean = {c.lower(): text.clean_plaintext(c) for c in ("Title", "URL", "Summary", "Content")}
     rows = raw.select(*[c.alias(n) for n, c in clean.items()], date.alias("date_published"), "sheet_category", "tags",
                       "ai_specificity_score", "category", "_order")
     rows = rows.where((F.col("title") != "") & (F.col("url") != "") & F.col("date_published").isNotNull())
