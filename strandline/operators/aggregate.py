@@ -130,9 +130,12 @@ def top_crosstab(df: DataFrame, array: str, n: int, categories: list[str] | None
 
 
 def stacked_months(monthly: DataFrame) -> DataFrame:
-    """Dense month x key series.  Both spines are bounded: calendar months and vocabulary keys."""
-    grid = monthly.select("month").distinct().join(F.broadcast(monthly.select("key").distinct()), F.lit(True))
-    return grid.join(monthly, ["month", "key"], "left").na.fill(0, ["count"])
+    """Dense month x key series with zeros: a pivot over the keys and back.
+
+    Spark finds the keys itself and refuses more than ``spark.sql.pivotMaxValues`` of them.
+    """
+    wide = monthly.groupBy("month").pivot("key").agg(F.sum("count")).na.fill(0)
+    return wide.unpivot("month", [c for c in wide.columns if c != "month"], "key", "count")
 
 
 def labeled_counts(counts: DataFrame, labels: dict[str, str]) -> DataFrame:

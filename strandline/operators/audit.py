@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from strandline import vocab
 from strandline.functions import text
-from strandline.operators.skew import HOT_ROWS
+from strandline.functions.rules import lit_array
+from strandline.operators.joins import small_table
 
 STRUCTURAL = ["title", "section_divider", "appendix"]
 UNCITED = [*STRUCTURAL, "conclusion"]
@@ -32,10 +33,11 @@ def row_audit(df: DataFrame, key: str, checks: list[tuple[str, str, Column]]) ->
 
 def audit_totals(df: DataFrame, key: str, issues: DataFrame) -> DataFrame:
     """Passed and failed record counts; a record fails when an error-level check fails."""
-    bad = issues.where("severity = 'error'").select(key).distinct().agg(F.count("*").alias("failed"))
-    total = df.agg(F.count("*").alias("total"))
-    return total.join(bad, F.lit(True)).select((F.col("total") - F.col("failed")).alias("passed"), "failed",
-                                               (F.col("failed") == 0).alias("overall_pass"))
+    bad = issues.where("severity = 'error'").select(key).distinct()
+    marks = df.select(F.lit(1).alias("total"), F.lit(0).alias("failed")).unionByName(
+        bad.select(F.lit(0).alias("total"), F.lit(1).alias("failed")))
+    return (marks.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.coalesce(F.sum("failed"), F.lit(0)).alias("failed"))
+            .select((F.col("total") - F.col("failed")).alias("passed"), "failed", (F.col("failed") == 0).alias("overall_pass")))
 
 
 def section_checks() -> list[tuple[str, str, Column]]:
@@ -104,16 +106,13 @@ def audit_numbers(texts: DataFrame) -> DataFrame:
 def audit_phrases(texts: DataFrame, phrases: DataFrame | list[str] | None = None) -> DataFrame:
     """(section_id, field, phrase) for each filler phrase a field contains.
 
-    A list is compiled to one narrow expression; a phrase table is joined (and broadcast
-    by Spark when its size allows).
+    The phrases, a list or a small table, become a literal array: one narrow pass, no join.
     """
     phrases = vocab.FILLER_PHRASES if phrases is None else phrases
-    low = texts.withColumn("_low", F.lower("text"))
     if isinstance(phrases, DataFrame):
-        hits = low.join(phrases.select("phrase"), F.col("_low").contains(F.col("phrase")))
-        return hits.select("section_id", "field", "phrase")
-    found = F.array_compact(F.array(*[F.when(F.col("_low").contains(p), F.lit(p)) for p in phrases]))
-    return low.select("section_id", "field", F.explode(found).alias("phrase"))
+        phrases = [r["phrase"] for r in small_table(phrases.select("phrase").distinct())]
+    found = F.filter(lit_array(phrases), lambda p: F.contains(F.col("_low"), p))
+    return texts.withColumn("_low", F.lower("text")).select("section_id", "field", F.explode(found).alias("phrase"))
 
 
 def audit_all(parts: dict[str, DataFrame]) -> DataFrame:

@@ -7,23 +7,30 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.functions.rules import sql_lit
 from strandline.operators.skew import HOT_ROWS, lookup_join
 from strandline.runtime import cut_lineage
 
 
-def first_rule(df: DataFrame, rule_table: DataFrame, text: Column, value: str, default: str,
-               max_rules: int = 10_000) -> DataFrame:
+def small_table(df: DataFrame, max_rows: int = 10_000) -> list:
+    """Rows of a rule table on the driver, after checking that it is small."""
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        raise ValueError(f"a rule table is limited to {max_rows} rows")
+    return rows
+
+
+def first_rule(df: DataFrame, rule_table: DataFrame, text: Column, value: str, default: str) -> DataFrame:
     """First rule (lowest rule_no) of (rule_no, match, <value>) whose ``match`` occurs in ``text``.
 
-    The rule table is aggregated to one checked-size array row, so this is a narrow
-    expression over the rows instead of a rows x rules join.
+    The rule table becomes a literal array, so this is a narrow expression over the rows
+    instead of a rows x rules join.
     """
-    if rule_table.limit(max_rules + 1).count() > max_rules:
-        raise ValueError(f"a rule table is limited to {max_rules} rules")
-    packed = rule_table.agg(F.array_sort(F.collect_list(F.struct("rule_no", "match", F.col(value).alias("v")))).alias("_rules"))
-    hit = F.filter("_rules", lambda r: F.col("_text").contains(r["match"]))
-    out = df.withColumn("_text", text).join(F.broadcast(packed), F.lit(True), "left")
-    return out.withColumn(value, F.coalesce(F.get(hit, F.lit(0))["v"], F.lit(default))).drop("_rules", "_text")
+    rules_ = sorted((r["rule_no"], r["match"], r[value]) for r in small_table(rule_table))
+    packed = F.expr("array(" + ", ".join(f"struct({sql_lit(m)} AS m, {sql_lit(v)} AS v)" for _n, m, v in rules_) + ")")
+    hit = F.filter(packed, lambda r: F.contains(F.col("_text"), r["m"]))
+    return (df.withColumn("_text", text).withColumn(value, F.coalesce(F.get(hit, F.lit(0))["v"], F.lit(default)))
+            .drop("_text"))
 
 
 def union_connectors(parts: dict[str, DataFrame], only: list[str] | None = None) -> DataFrame:

@@ -47,4 +47,5 @@ def synthesis_counts(df: DataFrame, claims: DataFrame) -> DataFrame:
                    F.count_distinct(F.when(F.col("is_multi_source"), F.col("cluster_id"))).alias("clusters"))
     said = claims.agg(F.count_if(F.col("kind") == "insight").alias("insights"),
                       F.count_if(F.col("kind") == "early_signal").alias("early_signals"))
-    return whole.join(said, F.lit(True))
+    both = whole.unionByName(said, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
