@@ -89,4 +89,5 @@ def test_shared_dir(spark):
     assert shared_dir(FakeSession("hdfs://x/ck/", "yarn")) == "hdfs://x/ck"
     with pytest.raises(RuntimeError):
         shared_dir(FakeSession(None, "yarn"))
-    assert shared_dir(spark).startswith("/tmp/spark-")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    assert shared_dir(spark) == named.rstrip("/") if named else shared_dir(spark).startswith("/tmp/spark-")
