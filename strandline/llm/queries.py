@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandline.llm import bpe
+from strandline.llm import bpe, decontam, licenses, linededup, pii, quality, simhash
 from strandline.llm.common import table
 
 QUERIES: dict = {}
@@ -28,3 +29,40 @@ def tokenizer_paths() -> dict[str, str]:
 @query("op1_bpe")
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), **tokenizer_paths(), digests=True)
+
+
+@query("op2_simhash")
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=4, width=4)
+
+
+@query("op4_decontaminate")
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "item_id", "n_windows", "matched", "coverage", "kind")
+
+
+@query("op6_quality")
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_documents(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op8_licenses")
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    named = F.transform("licenses", lambda x: F.concat_ws(":", x["license"], x["start"].cast("string"), x["end"].cast("string")))
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join(F.array_distinct(F.transform("licenses", lambda x: x["license"])), ",").alias("licenses"),
+                        F.array_join(named, ",").alias("spans"), F.array_join("sentences", ",").alias("sentence_ids"))
+
+
+@query("op9_lines", linededup.ORACLE)
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text", F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
+    return linededup.remove_boilerplate(docs, removed="n_removed")
+
+
+@query("op10_pii")
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.digest(pii.find(docs, pii.train(docs)))
