@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import bpe, decontam, licenses, linededup, pii, quality, simhash
+from strandline.llm import bpe, decontam, licenses, linededup, pii, quality, reshard, simhash
 from strandline.llm.common import table
 
 QUERIES: dict = {}
@@ -66,3 +66,10 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pii.digest(pii.find(docs, pii.train(docs)))
+
+
+@query("op7_reshard")
+def op7_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = reshard.reshard_by_bytes(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"), "old_shard")
