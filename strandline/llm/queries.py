@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import bpe, decontam, licenses, linededup, pii, quality, reshard, simhash
+from strandline.llm import ann, bpe, decontam, licenses, linededup, pii, quality, reshard, simhash
 from strandline.llm.common import table
 
 QUERIES: dict = {}
@@ -73,3 +73,9 @@ def op7_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = reshard.reshard_by_bytes(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                          F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
+@query("op3_ann")
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
