@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import ann, bpe, decontam, licenses, linededup, pii, quality, reshard, simhash
+from strandline.llm import ann, bpe, decontam, licenses, linededup, pii, quality, reshard, simhash, warc
 from strandline.llm.common import table
 
 QUERIES: dict = {}
@@ -79,3 +79,15 @@ def op7_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return ann.search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
+@query("op5_warc", """
+SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+       CASE WHEN octet_length(encode(coalesce(html, ''))) >= 1000 AND page_id < max(page_id) OVER (PARTITION BY html)
+            THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN octet_length(encode(coalesce(html, ''))) >= 1000 AND page_id < max(page_id) OVER (PARTITION BY html)
+            THEN max(page_id) OVER (PARTITION BY html) END AS refers_to
+FROM pages
+""")
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -19,10 +19,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import cut_lineage, int64_bits, sorted_groups
+from strandline.llm.common import cut_lineage, int64_bits, row_key, sorted_groups
 from strandline.operators.graph import connected_components
 
 BITS = 64
@@ -70,14 +70,14 @@ def fingerprint(text: str | None, width: int = 4) -> int:
     return int(sum(1 << i for i in np.flatnonzero(2 * ones > n).tolist()))
 
 
-def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 4) -> DataFrame:
-    """(``key``, fp) for every row; fp holds the 64 bits as a signed long.  A null text counts as empty."""
+def fingerprints(docs: DataFrame, *, keys: list[str], text: str = "text", width: int = 4) -> DataFrame:
+    """The ``keys`` (longs) and fp for every row; fp holds the 64 bits as a signed long.  A null text counts as empty."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [int64_bits(fingerprint(t, width)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
-    return (docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-            .mapInArrow(run, "id long, fp long").withColumnRenamed("id", key))
+            fps = [int64_bits(fingerprint(t, width)) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fps, pa.int64())], [*keys, "fp"])
+    return (docs.select(F.col(text).cast("string").alias("text"), *[F.col(k).cast("long").alias(k) for k in keys])
+            .mapInArrow(run, ", ".join(f"`{k}` long" for k in keys) + ", fp long"))
 
 
 # ---- BK-trees ---------------------------------------------------------------------------------------
@@ -184,10 +184,10 @@ def links(fps: DataFrame, radius: int = 4, *, blocks: int | None = None, block_r
     return tasks.repartition(*keys).sortWithinPartitions(*keys, "fp").mapInArrow(run, "a long, b long").distinct()
 
 
-def components(prints: DataFrame, radius: int = 4, *, key: str = "doc_id") -> DataFrame:
-    """``prints`` (``key``, fp) with component_id: the smallest key reachable over links of at most ``radius``
-    differing bits.  Rows with a null key take part; a component of null keys only has a null id."""
-    groups = cut_lineage(prints.groupBy("fp").agg(F.min(key).alias("least")), "simhash-groups")
+def components(prints: DataFrame, order: Column, radius: int = 4) -> DataFrame:
+    """``prints`` with component_id: the smallest ``order`` reachable over links of at most ``radius`` differing
+    bits of fp (nulls are passed over; a component of nulls only has a null id)."""
+    groups = cut_lineage(prints.groupBy("fp").agg(F.min(order).alias("least")), "simhash-groups")
     joined = connected_components(cut_lineage(links(groups.select("fp"), radius), "simhash-links"))
     named = groups.join(joined.withColumnRenamed("node", "fp"), "fp", "left") \
         .select("fp", "least", F.coalesce("component", "fp").alias("component"))
@@ -203,6 +203,22 @@ def near_duplicates(docs: DataFrame, *, radius: int = 4, key: str = "doc_id", te
     texts share a fingerprint, hence a component; an empty table gives no rows.  Only ``key`` and
     ``text`` are read, so other columns cannot clash.
     """
-    prints = cut_lineage(fingerprints(docs, key=key, text=text, width=width), "simhash-prints")
+    prints = cut_lineage(fingerprints(docs, keys=[key], text=text, width=width), "simhash-prints")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return components(prints, radius, key=key).select(key, hexed, "component_id")
+    return components(prints, F.col(key), radius).select(key, hexed, "component_id")
+
+
+def keep_one(docs: DataFrame, *, radius: int = 4, key: str = "doc_id", text: str = "text", width: int = 4) -> DataFrame:
+    """One row of each component, with all columns: the smallest key (null keys last), then the smallest text hash.
+
+    Of rows equal in key and text one stays.  Texts without words are one component."""
+    last = (1 << 63) - 1
+    k = row_key(F.col(text).cast("string"))
+    marked = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(key).cast("long"), F.lit(last)).alias("k"),
+                         k["a"].alias("ka"), k["b"].alias("kb"))
+    prints = cut_lineage(fingerprints(marked.select("k", "ka", "kb", F.col("row")[text].alias("_text")), keys=["k", "ka", "kb"],
+                                      text="_text", width=width), "simhash-prints")
+    found = components(prints, F.struct("k", "ka", "kb"), radius)
+    chosen = found.where(F.struct("k", "ka", "kb") == F.col("component_id")).select("k", "ka", "kb").distinct()
+    again = F.row_number().over(Window.partitionBy("k", "ka", "kb").orderBy("k"))
+    return marked.join(chosen, ["k", "ka", "kb"], "left_semi").withColumn("again", again).where("again = 1").select("row.*")
