@@ -10,7 +10,6 @@ The solver sees at most (shards x FILES x BLOCKS) block sizes, whatever the numb
 
 from __future__ import annotations
 
-import heapq
 from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,50 +28,33 @@ PART = "shard int, file int"
 def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]]) -> list[list[int]]:
     """flow[i][j] >= 0 with row sums ``supply`` and column sums at most ``capacity`` at the least total cost.
 
-    Successive shortest paths with potentials; there are only as many nodes as shards."""
+    Successive shortest paths, each found by relaxing edges until nothing changes (a path back over a flow has a
+    negative cost); there are only as many nodes as shards."""
     n, m = len(supply), len(capacity)
     if sum(supply) > sum(capacity):
         raise ValueError("the new shards have less room than the old ones hold")
     flow = [[0] * m for _ in range(n)]
     left, room = list(supply), list(capacity)
-    up, down = [0] * n, [min(cost[i][j] for i in range(n)) if n else 0 for j in range(m)]
     while any(left):
         dist: dict[tuple[int, int], int] = {(0, i): 0 for i in range(n) if left[i]}
         came: dict[tuple[int, int], tuple[int, int]] = {}
-        heap = [(0, node) for node in dist]
-        heapq.heapify(heap)
-        done: set[tuple[int, int]] = set()
-        end = None
-        while heap:
-            d, node = heapq.heappop(heap)
-            if node in done:
-                continue
-            done.add(node)
-            side, k = node
-            if side == 1 and room[k]:
-                end = node
-                break
-            steps = ([((1, j), cost[k][j] + up[k] - down[j]) for j in range(m)] if side == 0
-                     else [((0, i), -cost[i][k] - up[i] + down[k]) for i in range(n) if flow[i][k]])
-            for to, c in steps:
-                if d + c < dist.get(to, 1 << 62):
-                    dist[to], came[to] = d + c, node
-                    heapq.heappush(heap, (d + c, to))
-        far = dist[end]
-        for side, k in done:
-            if side == 0:
-                up[k] += dist[(0, k)] - far
-            else:
-                down[k] += dist[(1, k)] - far
+        changed = True
+        while changed:
+            changed = False
+            for (side, k), d in list(dist.items()):
+                steps = ([((1, j), cost[k][j]) for j in range(m)] if side == 0
+                         else [((0, i), -cost[i][k]) for i in range(n) if flow[i][k]])
+                for to, c in steps:
+                    if d + c < dist.get(to, 1 << 62):
+                        dist[to], came[to], changed = d + c, (side, k), True
+        end = min((d, node) for node, d in dist.items() if node[0] == 1 and room[node[1]])[1]
         path = [end]
         while path[-1] in came:
             path.append(came[path[-1]])
         path.reverse()
-        amount = min(left[path[0][1]], room[end[1]])
-        for a, b in zip(path, path[1:]):
-            if a[0] == 1:
-                amount = min(amount, flow[b[1]][a[1]])
-        for a, b in zip(path, path[1:]):
+        steps = list(zip(path, path[1:]))
+        amount = min([left[path[0][1]], room[end[1]], *(flow[b[1]][a[1]] for a, b in steps if a[0] == 1)])
+        for a, b in steps:
             if a[0] == 0:
                 flow[a[1]][b[1]] += amount
             else:
