@@ -49,7 +49,7 @@ cte("gate_in", f"""
       CASE WHEN n >= 50 AND n < 200 THEN 'minimal_text' END, CASE WHEN regexp_matches(title, '^https?://') THEN 'title_is_url' END,
       CASE WHEN lower(title) IN ('untitled', 'no title') THEN 'generic_title' END,
       CASE WHEN s <> '' AND (length(s) - length(regexp_replace(s, '[^\\x00-\\x7F]', '', 'g'))) / length(s) > 0.3 THEN 'possible_non_english' END], lambda x: x IS NOT NULL) AS soft
-  FROM (SELECT *, length(full_text) AS n, array_to_string(list_filter([title, left(full_text, 500)], lambda x: x <> ''), ' ') AS s FROM tagged)""", ["tagged"])
+  FROM (SELECT *, length(full_text) AS n, array_to_string(list_filter([title, full_text], lambda x: x <> ''), ' ') AS s FROM tagged)""", ["tagged"])
 cte("gate", f"""
   SELECT *, hard IS NOT NULL AS hard_fail, CASE WHEN hard IS NOT NULL THEN [hard] ELSE soft END AS filter_flags,
     hard IS NULL AND NOT list_has_any(soft, ['short_text', 'title_is_url']) AS is_valid,
@@ -79,7 +79,7 @@ def _sql_signals(signals: dict) -> str:
 cte("relevance", f"""
   SELECT *, least(100, ai + least(15, floor(cyber * 0.15 + 0.5)::INT))::INT AS spec
   FROM (SELECT position, {_sql_signals(vocab.AI_SIGNALS)}::INT AS ai, {_sql_signals(vocab.CYBER_SIGNALS)}::INT AS cyber
-        FROM (SELECT position, lower(array_to_string(list_filter([title, left(full_text, 2000)], lambda x: x <> ''), ' ')) AS s FROM sources))""", ["sources"])
+        FROM (SELECT position, lower(array_to_string(list_filter([title, full_text], lambda x: x <> ''), ' ')) AS s FROM sources))""", ["sources"])
 SQL_TIER = "CASE WHEN spec >= 40 THEN 'core' WHEN spec >= 20 THEN 'adjacent' WHEN spec >= 10 THEN 'peripheral' ELSE 'off_topic' END"
 
 
@@ -109,7 +109,7 @@ cte("typed", f"""
       WHEN (contains(s, 'elle') OR contains(s, 'tion')) AND NOT contains(s, 'und ') THEN ['text_signal', 'low', 'research_finding']
       WHEN contains(s, 'und') OR contains(s, 'der') THEN ['text_signal', 'low', 'ecosystem_signal'] ELSE ['fallback', 'low', 'unknown'] END AS d
   FROM (SELECT *, CASE position % 3 WHEN 0 THEN source_type WHEN 1 THEN 'novel_type' END AS st, list_filter(tags, lambda x: x IN ('the', 'los')) AS t,
-          lower(array_to_string(list_filter([title, left(full_text, 3000)], lambda x: x <> ''), ' ')) AS s FROM tagged)""", ["tagged"])
+          lower(array_to_string(list_filter([title, full_text], lambda x: x <> ''), ' ')) AS s FROM tagged)""", ["tagged"])
 
 
 @query("source_type_rules", "SELECT position, d[3] AS source_type, d[2] AS source_type_confidence, d[1] AS source_type_reason FROM typed", ["typed"])
@@ -298,9 +298,9 @@ def _or(lst: str, default: str) -> str:
 
 
 cte("rawfact", f"""
-  SELECT *, list_filter(all_t, lambda x, i: list_position(all_t, x) = i)[1:10] AS rawfact_tags,
-    {_or(sql_labels('low', vocab.SECTOR_RULES) + '[1:5]', 'cross_sector')} AS sector, {sql_labels('low', vocab.GEOGRAPHY_RULES)}[1:5] AS geography,
-    {sql_labels('low', vocab.TECHNOLOGY_RULES)}[1:8] AS technology, {_or(sql_labels('low', vocab.IMPACT_TYPE_RULES), 'security')} AS impact_types,
+  SELECT *, list_filter(all_t, lambda x, i: list_position(all_t, x) = i) AS rawfact_tags,
+    {_or(sql_labels('low', vocab.SECTOR_RULES), 'cross_sector')} AS sector, {sql_labels('low', vocab.GEOGRAPHY_RULES)} AS geography,
+    {sql_labels('low', vocab.TECHNOLOGY_RULES)} AS technology, {_or(sql_labels('low', vocab.IMPACT_TYPE_RULES), 'security')} AS impact_types,
     {sql_map('source_type', vocab.TYPE_RELEVANCE, "'medium'")} AS operational_relevance,
     CASE WHEN {sql_any('low', vocab.NOVELTY_NEW)} THEN 'new_tactic' WHEN {sql_any('low', vocab.NOVELTY_SCALE)} THEN 'known_tactic_new_scale' ELSE 'unknown' END AS novelty
   FROM (SELECT *, lower(title || ' ' || full_text) AS low, list_concat(list_concat(tags, list_transform(framework_tags, lambda x: x.tag)),
@@ -366,13 +366,13 @@ cte("analytics", f"""
       CASE WHEN source_type = 'adversary_adoption_signal' THEN 'adversary_ai_adoption' END, CASE WHEN source_type = 'trust_boundary_shift' THEN 'trust_boundary_failure' END,
       CASE WHEN source_type = 'infrastructure_dependency_signal' THEN 'dependency_growth' END, CASE WHEN source_type = 'governance_signal' THEN 'governance_pressure' END,
       CASE WHEN source_type = 'research_finding' AND status <> 'research_only' THEN 'research_to_threat_pipeline' END], lambda x: x IS NOT NULL) AS themes
-  FROM (SELECT *, list_filter(v, lambda x, i: list_position(v, x) = i)[1:6] AS av, list_filter(sf, lambda x, i: list_position(sf, x) = i)[1:6] AS su,
+  FROM (SELECT *, list_filter(v, lambda x, i: list_position(v, x) = i) AS av, list_filter(sf, lambda x, i: list_position(sf, x) = i) AS su,
       {sql_map('category', vocab.CATEGORY_LAYERS, "['unknown']")} AS ai_layer, {sql_map('category', vocab.CATEGORY_CLUSTERS, "['unknown']")} AS signal_clusters,
-      {_or(sql_labels('low', vocab.ANALYTICS_IMPACT_RULES), 'unknown')}[1:5] AS a_impact,
+      {_or(sql_labels('low', vocab.ANALYTICS_IMPACT_RULES), 'unknown')} AS a_impact,
       CASE WHEN source_type = 'research_finding' AND {sql_any('low', vocab.POC_PHRASES)} THEN 'proof_of_concept' ELSE {sql_map('source_type', vocab.TYPE_STATUS, "'unknown'")} END AS status
     FROM (SELECT *, list_filter(list_transform(list_concat(list_concat(list_transform(framework_tags, lambda x: x.tag), list_transform(attack_mappings, lambda x: x.tag)), rawfact_tags),
             lambda x: replace(lower(x), '-', '_')), lambda x: list_contains({_V}, x)) AS v, {_SURF} AS sf FROM rawfact))""", ["rawfact"])
-ANALYTICS = "(SELECT * EXCLUDE (themes), CASE WHEN len(themes) > 0 THEN themes[1:5] ELSE ['unknown'] END AS recurring_themes FROM analytics)"
+ANALYTICS = "(SELECT * EXCLUDE (themes), CASE WHEN len(themes) > 0 THEN themes ELSE ['unknown'] END AS recurring_themes FROM analytics)"
 
 
 @query("analytics_taxonomy", f"""SELECT position, array_to_string(attack_vectors, '|') AS attack_vectors, array_to_string(attack_surface, '|') AS attack_surface,
@@ -465,8 +465,8 @@ def _(spark, sf):
     return fed(spark, sf).select("position", "feed_score", "feed_priority")
 
 
-CARD = """left(title, 80) AS evidence_card_title, source_summary AS short_summary, array_to_string(main_claims[1:3], '|') AS key_facts,
-  array_to_string(important_numbers[1:5], '|') AS numbers_statistics"""
+CARD = """left(title, 80) AS evidence_card_title, source_summary AS short_summary, array_to_string(main_claims, '|') AS key_facts,
+  array_to_string(important_numbers, '|') AS numbers_statistics"""
 
 
 def _cards(df):

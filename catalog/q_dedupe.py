@@ -246,10 +246,12 @@ def _(spark, sf):
     return dedupe.dedupe_last(sources(spark, sf)).select("position", "id")
 
 
-@query("duplicate_rank", """SELECT position, row_number() OVER (PARTITION BY title ORDER BY position) > 1 AS seen_before
-  FROM sources""", ["sources"])
+@query("duplicate_rank", """SELECT position, k IS NOT NULL AND row_number() OVER (PARTITION BY k ORDER BY position) > 1 AS seen_before
+  FROM (SELECT position, CASE WHEN position % 7 <> 0 THEN title END AS k FROM sources)""", ["sources"])
 def _(spark, sf):
-    return dedupe.duplicate_rank(sources(spark, sf), "title").select("position", "seen_before")
+    """Every seventh key is missing."""
+    keyed = sources(spark, sf).withColumn("k", F.when(F.col("position") % 7 != 0, F.col("title")))
+    return dedupe.duplicate_rank(keyed, "k").select("position", "seen_before")
 
 
 @query("content_hash", "SELECT position, sha256(title || '|' || coalesce(url, '') || '|' || full_text) AS content_hash FROM sources",

@@ -252,7 +252,7 @@ def _(spark, sf):
 @query("detect_language", r"""
   SELECT position, CASE WHEN s = '' THEN 'unknown' WHEN (length(s) - length(regexp_replace(s, '[^\x00-\x7F]', '', 'g'))) / length(s) > 0.3
     THEN 'non_english' ELSE 'en' END AS language
-  FROM (SELECT position, array_to_string(list_filter([title, left(full_text, 500)], lambda x: x <> ''), ' ') AS s FROM sources)""", ["sources"])
+  FROM (SELECT position, array_to_string(list_filter([title, full_text], lambda x: x <> ''), ' ') AS s FROM sources)""", ["sources"])
 def _(spark, sf):
     lang = text.detect_language(F.col("title"), F.lit(None).cast("string"), F.col("full_text"))
     return sources(spark, sf).select("position", lang.alias("language"))
@@ -314,11 +314,11 @@ def _(spark, sf):
     return sources(spark, sf).select("position", rules.pick_one(shouted, vocab.SOURCE_TYPES).alias("picked"))
 
 
-@query("vocab_intersect", f"""SELECT position, array_to_string(list_filter(list_transform(tags, lambda x: lower(x)), lambda x: x IN ('the', 'elle', 'que'))[1:2], '|') AS kept
+@query("vocab_intersect", f"""SELECT position, array_to_string(list_filter(list_transform(tags, lambda x: lower(x)), lambda x: x IN ('the', 'elle', 'que')), '|') AS kept
   FROM tagged""", ["tagged"])
 def _(spark, sf):
     up = F.transform("tags", F.upper)
-    return tagged(spark, sf).select("position", F.array_join(rules.vocab_intersect(up, ["the", "elle", "que"], 2), "|").alias("kept"))
+    return tagged(spark, sf).select("position", F.array_join(rules.vocab_intersect(up, ["the", "elle", "que"]), "|").alias("kept"))
 
 
 @query("array_set_ops", """SELECT position, array_to_string(list_sort(list_distinct(list_concat(list_concat(tags, list_transform(framework_tags, lambda x: x.tag)),
@@ -429,11 +429,11 @@ def _(spark, sf):
 
 @query("day_windows", """
   SELECT event_type, day::DATE AS day, day - INTERVAL 8 HOUR AS start_utc, day + INTERVAL 16 HOUR AS end_utc
-  FROM (SELECT event_type, unnest(generate_series(lo, least(hi, lo + INTERVAL 9 DAY), INTERVAL 1 DAY)) AS day
+  FROM (SELECT event_type, unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS day
         FROM (SELECT event_type, min(ts)::DATE::TIMESTAMP AS lo, max(ts)::DATE::TIMESTAMP AS hi FROM events GROUP BY event_type))""")
 def _(spark, sf):
     spans = events(spark, sf).groupBy("event_type").agg(F.to_date(F.min("ts")).alias("lo"), F.to_date(F.max("ts")).alias("hi"))
-    return times.day_windows(spans, "lo", "hi", 10).select("event_type", "day", "start_utc", "end_utc")
+    return times.day_windows(spans, "lo", "hi").select("event_type", "day", "start_utc", "end_utc")
 
 
 @query("week_chunks", """

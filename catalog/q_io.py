@@ -171,7 +171,7 @@ def _(spark, sf):
     sinks.create_keyed(rows, path, "id", 8)
     new = rows.where("position % 3 = 0").select("id", F.lit("enriched").alias("category"), F.when(
         F.col("position") % 2 == 0, F.lit(vocab.TAXONOMY_VERSION)).otherwise(F.lit("taxonomy-v5.0")).alias("taxonomy_version"))
-    sinks.update_by_key(new.where(F.col("taxonomy_version") == vocab.TAXONOMY_VERSION), path, "id", ["category"], 8)
+    sinks.enrichment_update(new.unionByName(new), path, ["category"], 8)
     return spark.read.parquet(path).select("id", "category")
 
 
@@ -180,7 +180,9 @@ def _(spark, sf):
     path = scratch_path(spark, "keyed")
     rows = valued(spark, sf)
     sinks.replace_by_key(rows, path, "id", 8)
-    sinks.replace_by_key(rows.where("position % 3 = 0").withColumn("value", F.lit("second")), path, "id", 8)
+    # The second batch holds every key twice; the one with the smaller value is stored.
+    again = rows.where("position % 3 = 0").withColumn("value", F.explode(F.array(F.lit("third"), F.lit("second"))))
+    sinks.replace_by_key(again, path, "id", 8, order=[F.asc("value")])
     return spark.read.parquet(path).select("id", "value")
 
 
@@ -217,7 +219,7 @@ def _(spark, sf):
 
 
 @query("run_log", """SELECT 'run-' || strftime(d, '%Y-%m-%d') AS run_id, CASE WHEN n % 3 = 0 THEN 'failed' ELSE 'success' END AS status, CASE WHEN n % 3 = 0 THEN NULL ELSE n END AS source_count
-  FROM (SELECT date_trunc('day', ts) AS d, count(*) AS n FROM events GROUP BY 1) ORDER BY d DESC LIMIT 10""")
+  FROM (SELECT date_trunc('day', ts) AS d, count(*) AS n FROM events GROUP BY 1) ORDER BY d DESC""")
 def _(spark, sf):
     """One run per day of the events: a running row and, an hour later, its outcome."""
     days = events(spark, sf).groupBy(F.to_date("ts").alias("d")).agg(F.count("*").alias("n"))
@@ -231,12 +233,12 @@ def _(spark, sf):
     path = scratch_path(spark, "runs")
     for part in (started, ended):
         part.drop("d", "n").write.mode("append").parquet(path)
-    return sinks.latest_runs(spark.read.parquet(path), 10).select("run_id", "status", "source_count")
+    return sinks.latest_runs(spark.read.parquet(path)).select("run_id", "status", "source_count")
 
 
 # --- landed JSON -----------------------------------------------------------------
 @query("enrichment_validate", f"""
-  SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'incident' ELSE 'unknown' END AS source_type, CASE WHEN length(text) > 600 THEN left(text, 600) || '…' ELSE text END AS source_summary,
+  SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'incident' ELSE 'unknown' END AS source_type, text AS source_summary,
     'prompt_injection:LLM01:high' AS framework_tags, 'phishing:Initial Access' AS attack_mappings, CASE WHEN doc_id % 2 = 0 THEN 'llm_threats' ELSE '' END AS candidates FROM documents""")
 def _(spark, sf):
     """Landed results with a bad type, tags of the wrong group and unknown categories."""
@@ -256,7 +258,7 @@ def _(spark, sf):
 
 
 @query("rawfact_validate", """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'sector' ELSE 'unknown' END AS impact_scope, 'medium' AS operational_relevance, 'new_tactic' AS novelty,
-  array_to_string(string_split(text, ' ')[1:5], '|') AS sector FROM documents""")
+  array_to_string(string_split(text, ' '), '|') AS sector FROM documents""")
 def _(spark, sf):
     from strandline.operators import taxonomy
     doc = F.col("doc_id")
@@ -267,7 +269,7 @@ def _(spark, sf):
 
 
 @query("analytics_validate", """SELECT doc_id, 'prompt_injection|jailbreak' AS attack_vectors, 'growing' AS maturity, CASE WHEN doc_id % 2 = 0 THEN 'low' ELSE 'medium' END AS analytics_confidence,
-  left(text, 200) AS analytics_reason FROM documents""")
+  text AS analytics_reason FROM documents""")
 def _(spark, sf):
     from strandline.operators import taxonomy
     doc = F.col("doc_id")
@@ -279,13 +281,14 @@ def _(spark, sf):
 
 
 @query("migrate_legacy_tags", """SELECT doc_id, CASE WHEN new THEN 'prompt_injection|phishing|nist_map|made_up' ELSE 'prompt_injection' END AS framework_tags,
-  CASE WHEN new THEN '' ELSE 'phishing' END AS attack_mappings, CASE WHEN new THEN '' ELSE 'nist_map' END AS governance_tags FROM (SELECT doc_id, doc_id % 4 = 0 AS new FROM documents)""")
+  CASE WHEN new THEN '' ELSE 'phishing' END AS attack_mappings, CASE WHEN new THEN '' ELSE 'nist_map' END AS governance_tags FROM (SELECT doc_id, doc_id % 4 IN (0, 3) AS new FROM documents)""")
 def _(spark, sf):
     tag = lambda n: F.struct(F.lit(n).alias("tag"), F.lit("high").alias("confidence"))
     none = F.array().cast("array<struct<tag:string,confidence:string>>")
     rows = table(spark, sf, "documents").select("doc_id", F.array(*[tag(n) for n in ("prompt_injection", "phishing", "nist_map", "made_up")]).alias("framework_tags"),
                                                 none.alias("attack_mappings"), none.alias("governance_tags"),
-                                                F.when(F.col("doc_id") % 4 == 0, F.lit(vocab.TAXONOMY_VERSION)).otherwise(F.lit("taxonomy-v5.1")).alias("taxonomy_version"))
+                                                F.when(F.col("doc_id") % 4 == 0, F.lit(vocab.TAXONOMY_VERSION)).when(F.col("doc_id") % 4 == 3, F.lit("taxonomy-v10.0"))
+                                                .otherwise(F.lit("taxonomy-v5.1")).alias("taxonomy_version"))
     m = classify.migrate_legacy_tags(rows)
     return m.select("doc_id", *[F.array_join(F.transform(c, lambda t: t["tag"]), "|").alias(c) for c in ("framework_tags", "attack_mappings", "governance_tags")])
 
@@ -352,5 +355,6 @@ def _(spark, sf):
 @query("stream_run_metrics", "SELECT sum(c)::BIGINT AS input_rows FROM (SELECT count(*) AS c FROM events)")
 def _(spark, sf):
     out = scratch_path(spark, "stream")
-    q = streams.drain(event_stream(spark, sf), scratch_path(spark, "ck"), out=out)
-    return streams.run_metrics(spark, q).agg(F.sum("input_rows").alias("input_rows"))
+    metrics = scratch_path(spark, "metrics")
+    streams.drain(event_stream(spark, sf), scratch_path(spark, "ck"), streams.counted_batch(metrics, streams.append_batch(out)))
+    return streams.run_metrics(spark, metrics).agg(F.sum("input_rows").alias("input_rows"))

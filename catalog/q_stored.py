@@ -35,7 +35,7 @@ cte("prioritised", f"""SELECT * EXCLUDE (category), ((position * 37) % 101)::INT
 
 @query("list_sources", f"""SELECT position, id, date_published FROM tagged
   WHERE date_published >= TIMESTAMP '{LO}' AND date_published < TIMESTAMP '{HI}' AND publisher ILIKE '%SRC%' AND list_contains(tags, 'the')
-  ORDER BY date_published DESC, id LIMIT 1000""", ["tagged"])
+  ORDER BY date_published DESC, id""", ["tagged"])
 def _(spark, sf):
     return filters.list_sources(tagged(spark, sf), start=ntz(LO), end=ntz(HI), publisher="SRC", tag="the").select(
         "position", "id", "date_published")
@@ -43,30 +43,30 @@ def _(spark, sf):
 
 @query("archive_query", f"""SELECT position, id FROM tagged
   WHERE date_published >= TIMESTAMP '{LO}' AND publisher ILIKE '%src%' AND source_type = 'incident' AND trust_tier = 'primary' AND list_contains(tags, 'the')
-  ORDER BY date_published DESC, id LIMIT 500""", ["tagged"])
+  ORDER BY date_published DESC, id""", ["tagged"])
 def _(spark, sf):
     return filters.list_sources(tagged(spark, sf), start=ntz(LO), publisher="src", source_type="incident", trust_tier="primary",
-                                tag="the", limit=500).select("position", "id")
+                                tag="the").select("position", "id")
 
 
 SQL_AS_OF_END = f"(date_trunc('day', TIMESTAMP '{AS_OF}' + INTERVAL 2 HOUR) - INTERVAL 2 HOUR)"
 
 
 @query("period_query", f"""SELECT position, id, date_published FROM sources
-  WHERE date_published >= {SQL_AS_OF_END} - INTERVAL 90 DAY AND date_published < {SQL_AS_OF_END} ORDER BY date_published DESC, id LIMIT 3000""", ["sources"])
+  WHERE date_published >= {SQL_AS_OF_END} - INTERVAL 90 DAY AND date_published < {SQL_AS_OF_END} ORDER BY date_published DESC, id""", ["sources"])
 def _(spark, sf):
     return filters.period_query(sources(spark, sf), as_of(), "quarterly").select("position", "id", "date_published")
 
 
 @query("daily_query", f"""SELECT position, id, date_published FROM sources
-  WHERE date_published >= {SQL_AS_OF_END} - INTERVAL 1 DAY AND date_published < {SQL_AS_OF_END} ORDER BY date_published DESC, id LIMIT 1000""", ["sources"])
+  WHERE date_published >= {SQL_AS_OF_END} - INTERVAL 1 DAY AND date_published < {SQL_AS_OF_END} ORDER BY date_published DESC, id""", ["sources"])
 def _(spark, sf):
-    return filters.period_query(sources(spark, sf), as_of(), "daily", 1000).select("position", "id", "date_published")
+    return filters.period_query(sources(spark, sf), as_of(), "daily").select("position", "id", "date_published")
 
 
 @query("horizon_load", f"""SELECT position, id FROM sources
   WHERE date_confidence <> 'none' AND date_published > TIMESTAMP '{AS_OF}' - INTERVAL 365 DAY AND date_published >= TIMESTAMP '{LO}'
-    AND date_published < TIMESTAMP '{HI}' AND category IN ('llm_threats', 'agentic_ai_threats') ORDER BY date_published DESC, id LIMIT 5000""", ["sources"])
+    AND date_published < TIMESTAMP '{HI}' AND category IN ('llm_threats', 'agentic_ai_threats') ORDER BY date_published DESC, id""", ["sources"])
 def _(spark, sf):
     flagged = classify.eligibility(sources(spark, sf), as_of())
     return filters.horizon_load(flagged, ntz(LO), ntz(HI), categories=["llm_threats", "agentic_ai_threats"]).select("position", "id")
@@ -131,7 +131,7 @@ def _(spark, sf):
     return filters.list_reports(reports(spark, sf), ["deck_id", "generated_at"], 1)
 
 
-@query("list_reports", "SELECT deck_id, generated_at, source_count FROM reports ORDER BY generated_at DESC, deck_id LIMIT 10", ["reports"])
+@query("list_reports", "SELECT deck_id, generated_at, source_count FROM reports ORDER BY generated_at DESC, deck_id", ["reports"])
 def _(spark, sf):
     return filters.list_reports(reports(spark, sf), ["deck_id", "generated_at", "source_count"])
 

@@ -126,11 +126,21 @@ def or_default(arr: Column, value: str) -> Column:
     return F.when(F.size(arr) > 0, arr).otherwise(F.array(F.lit(value)))
 
 
-def vocab_intersect(arr: Column, vocab, limit: int = 8) -> Column:
-    """Values of the vocabulary, lower-cased with ``-`` as ``_``, distinct, first ``limit``."""
+def first_items(arr: Column, n: int | None) -> Column:
+    """The first ``n`` items, or all."""
+    return arr if n is None else F.slice(arr, 1, n)
+
+
+def first_chars(c: Column, n: int | None) -> Column:
+    """The first ``n`` characters, or all."""
+    return c if n is None else F.substring(c, 1, n)
+
+
+def vocab_intersect(arr: Column, vocab, limit: int | None = None) -> Column:
+    """Values of the vocabulary, lower-cased with ``-`` as ``_``, distinct; all, or the first ``limit``."""
     empty = F.array().cast("array<string>")
     norm = F.transform(F.coalesce(arr, empty), lambda v: F.replace(F.lower(v), F.lit("-"), F.lit("_")))
-    return F.slice(F.array_intersect(norm, lit_array(vocab)), 1, limit)
+    return first_items(F.array_intersect(norm, lit_array(vocab)), limit)
 
 
 def pick_one(value: Column, vocab, fallback: str = "unknown") -> Column:

@@ -245,9 +245,11 @@ def title_tokens(c: Column, stopwords, min_length: int) -> Column:
         F.filter(words, lambda w: (F.length(w) >= min_length) & ~F.array_contains(stop, w)))
 
 
-def detect_language(title: Column, summary: Column, text: Column, share: float = 0.3) -> Column:
-    """``non_english`` when more than ``share`` of the sample is outside ASCII."""
-    parts = [F.when(p != "", p) for p in (title, summary, F.substring(text, 1, 500))]
+def detect_language(title: Column, summary: Column, text: Column, share: float = 0.3, max_chars: int | None = None) -> Column:
+    """``non_english`` when more than ``share`` of title, summary and text is outside ASCII.  The whole text
+    counts, or its first ``max_chars`` characters."""
+    body = text if max_chars is None else F.substring(text, 1, max_chars)
+    parts = [F.when(p != "", p) for p in (title, summary, body)]
     sample = F.concat_ws(" ", *parts)
     ascii_len = F.length(F.regexp_replace(sample, r"[^\x00-\x7F]", ""))
     n = F.length(sample)

@@ -88,9 +88,9 @@ def age_band(ts: Column, as_of: Column) -> Column:
     return F.coalesce(age, F.lit(0))
 
 
-def day_windows(df: DataFrame, start: str, end: str, max_days: int = 14) -> DataFrame:
-    """One row per local calendar day of each input row's [start, end] dates, first ``max_days``."""
-    last = F.least(F.col(end), F.date_add(F.col(start), max_days - 1))
+def day_windows(df: DataFrame, start: str, end: str, max_days: int | None = None) -> DataFrame:
+    """One row per local calendar day of each input row's [start, end] dates; all, or the first ``max_days``."""
+    last = F.col(end) if max_days is None else F.least(F.col(end), F.date_add(F.col(start), max_days - 1))
     day = df.withColumn("day", F.explode(F.sequence(F.col(start), last)))
     begin = F.col("day").cast("timestamp_ntz") - hours(LOCAL_HOURS)
     return day.withColumn("start_utc", begin).withColumn("end_utc", begin + days(1))

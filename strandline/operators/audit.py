@@ -11,6 +11,7 @@ from strandline import vocab
 from strandline.functions import text
 from strandline.functions.rules import lit_array
 from strandline.operators.joins import small_table
+from strandline.operators.skew import hot_join
 
 STRUCTURAL = ["title", "section_divider", "appendix"]
 UNCITED = [*STRUCTURAL, "conclusion"]
@@ -71,8 +72,9 @@ def claim_checks(resolved: Column) -> list[tuple[str, str, Column]]:
 
 def with_resolved(claims: DataFrame, known_ids: DataFrame) -> DataFrame:
     """Flag claims with at least one evidence id of ``known_ids`` (evidence_id)."""
-    hit = (claims.select("claim_id", F.explode("supporting_ids").alias("evidence_id"))
-           .join(known_ids, "evidence_id", "left_semi").select("claim_id").distinct().withColumn("resolved", F.lit(True)))
+    cited = claims.select("claim_id", F.explode("supporting_ids").alias("evidence_id"))
+    hit = (hot_join(cited, known_ids.select("evidence_id").distinct(), ["evidence_id"], how="left_semi").select("claim_id").distinct()
+           .withColumn("resolved", F.lit(True)))
     return claims.join(hit, "claim_id", "left").withColumn("resolved", F.coalesce("resolved", F.lit(False)))
 
 

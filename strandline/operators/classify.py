@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandline import vocab
 from strandline.functions import rules, text, times, urls
 from strandline.functions.rules import blank, flags, ladder, points, text_length
-from strandline.operators.skew import lookup_join
+from strandline.operators.skew import hot_join
 
 REVIEW_FLAGS = ["missing_publisher", "possible_non_english", "date_before_2020", "minimal_text", "no_publish_date"]
 BLOCKING_FLAGS = ["missing_title", "missing_url", "unsafe_url", "duplicate_id", "duplicate_content"]
@@ -108,10 +108,9 @@ def signal_score(t: str, signals: dict, whole_word: bool = False) -> Column:
             + rules.phrase_count(t, signals["low"], 2, 3, whole_word))
 
 
-def ai_relevance(df: DataFrame, ai=None, cyber=None, *, whole_word: bool = False) -> DataFrame:
-    """Two dictionary scores, their combination and a tier.  The rule reads the first 2,000
-    characters of the text by definition."""
-    sample = rules.lower_present(F.col("title"), _col(df, "summary"), F.substring("full_text", 1, 2000))
+def ai_relevance(df: DataFrame, ai=None, cyber=None, *, whole_word: bool = False, max_chars: int | None = None) -> DataFrame:
+    """Two dictionary scores, their combination and a tier, over the whole text or its first ``max_chars`` characters."""
+    sample = rules.lower_present(F.col("title"), _col(df, "summary"), rules.first_chars(F.col("full_text"), max_chars))
     out = df.withColumn("_sample", sample)
     out = out.withColumn("ai_relevance_score", signal_score("_sample", ai or vocab.AI_SIGNALS, whole_word)) \
         .withColumn("cyber_relevance_score", signal_score("_sample", cyber or vocab.CYBER_SIGNALS, whole_word))
@@ -122,12 +121,13 @@ def ai_relevance(df: DataFrame, ai=None, cyber=None, *, whole_word: bool = False
                 (40, "core"), (20, "adjacent"), (10, "peripheral")], "off_topic")))
 
 
-def source_type_rules(df: DataFrame, text_rules=None, tag_types=None) -> DataFrame:
-    """Typing decision: existing > legacy name > connector > first tag > first text rule > unknown."""
+def source_type_rules(df: DataFrame, text_rules=None, tag_types=None, *, max_chars: int | None = None) -> DataFrame:
+    """Typing decision: existing > legacy name > connector > first tag > first text rule > unknown.  Text rules read
+    the whole text, or its first ``max_chars`` characters."""
     st, connector = F.col("source_type"), F.coalesce(_col(df, "connector_id"), F.lit(""))
     tags = F.coalesce(_col(df, "tags", NO_TAGS), F.array().cast(NO_TAGS))
     tag_types = tag_types or vocab.TAG_SOURCE_TYPES
-    sample = rules.lower_present(F.col("title"), _col(df, "summary"), F.substring("full_text", 1, 3000))
+    sample = rules.lower_present(F.col("title"), _col(df, "summary"), rules.first_chars(F.col("full_text"), max_chars))
 
     def decision(value: Column, confidence: str, method: str) -> Column:
         return F.when(value.isNotNull(), F.struct(value.alias("type"), F.lit(confidence).alias("confidence"),
@@ -220,10 +220,11 @@ def type_change_stats(df: DataFrame) -> DataFrame:
 
 
 def join_known(df: DataFrame, known: DataFrame) -> DataFrame:
-    """duplicate_of by stored id, else by stored content hash.  ``known``: (kind, value), distinct."""
+    """duplicate_of by stored id, else by stored content hash; null ids and hashes are never known.
+    ``known``: (kind, value), distinct.  Boilerplate shares one content hash, so hot hashes are looked up apart."""
     ids = known.where("kind = 'id'").select(F.col("value").alias("id"), F.lit(True).alias("_by_id"))
     hashes = known.where("kind = 'content_hash'").select(F.col("value").alias("content_hash"), F.lit(True).alias("_by_hash"))
-    out = df.join(ids, "id", "left").join(hashes, "content_hash", "left")
+    out = hot_join(df.join(ids, "id", "left"), hashes, ["content_hash"], how="left")
     return (out.withColumn("duplicate_kind", F.when(F.col("_by_id"), F.lit("duplicate_id"))
                            .when(F.col("_by_hash"), F.lit("duplicate_content")))
             .withColumn("duplicate_of", F.when(F.col("_by_id"), F.col("id")).when(F.col("_by_hash"), F.col("content_hash")))
@@ -404,7 +405,7 @@ LANDED = (f"source_type string, source_summary string, framework_tags array<{LAN
           "key_entities array<string>, important_numbers array<string>")
 
 
-def _validated_tags(arr: Column, group: str, limit: int) -> Column:
+def _validated_tags(arr: Column, group: str, limit: int | None, evidence_chars: int | None) -> Column:
     rows = [r for r in vocab.registry_rows() if r[1] == group]
 
     def table(i: int) -> Column:
@@ -413,32 +414,41 @@ def _validated_tags(arr: Column, group: str, limit: int) -> Column:
     frame, ref, tactic, hint = (table(i) for i in (2, 3, 4, 5))
     names = rules.lit_array([r[0] for r in rows])
     known = F.filter(F.coalesce(arr, F.array().cast(f"array<{LANDED_TAG}>")), lambda t: F.array_contains(names, t["tag"]))
-    return F.slice(F.transform(known, lambda t: F.struct(
+    return rules.first_items(F.transform(known, lambda t: F.struct(
         t["tag"].alias("tag"),
         F.coalesce(F.element_at(hint, t["tag"]), t["category_candidate"]).alias("category_candidate"),
         F.element_at(frame, t["tag"]).alias("framework"), F.element_at(ref, t["tag"]).alias("framework_ref"),
         F.coalesce(F.element_at(tactic, t["tag"]), t["tactic"], F.lit("")).alias("tactic"),
-        F.substring(text.js_trim(F.coalesce(t["evidence"], F.lit(""))), 1, 300).alias("evidence"),
-        rules.enum_exact(t["confidence"], ["high", "medium", "low"], "medium").alias("confidence"))), 1, limit)
+        rules.first_chars(text.js_trim(F.coalesce(t["evidence"], F.lit(""))), evidence_chars).alias("evidence"),
+        rules.enum_exact(t["confidence"], ["high", "medium", "low"], "medium").alias("confidence"))), limit)
 
 
-def enrichment_validate(df: DataFrame, raw: str, fallback_type: str = "source_type") -> DataFrame:
-    """Parse landed JSON results in column ``raw`` and keep only what the vocabularies allow."""
+def enrichment_validate(df: DataFrame, raw: str, fallback_type: str = "source_type", *, limits: dict[str, int] | None = None) -> DataFrame:
+    """Parse landed JSON results in column ``raw`` and keep only what the vocabularies allow.
+
+    ``limits`` may cap a list (by its column) or a text (source_summary, evidence: characters); nothing is cut
+    without it.
+    """
+    most = (limits or {}).get
     out = df.withColumn("_r", F.from_json(raw, LANDED))
     empty = F.array().cast(NO_TAGS)
     st = F.col("_r.source_type")
     summary = F.col("_r.source_summary")
     return out.withColumns({
         "source_type": F.when(st.isin(vocab.ALL_SOURCE_TYPES), st).otherwise(F.coalesce(_col(df, fallback_type), F.lit("unknown"))),
-        "source_summary": F.when(F.length(summary) > 600, F.concat(F.substring(summary, 1, 600), F.lit("…"))).otherwise(summary),
-        "framework_tags": _validated_tags(F.col("_r.framework_tags"), "ai_framework_tag", 5),
-        "attack_mappings": _validated_tags(F.col("_r.attack_mappings"), "attack_mapping", 5),
-        "governance_tags": _validated_tags(F.col("_r.governance_tags"), "governance_tag", 3),
-        "category_candidates": F.slice(F.filter(F.coalesce("_r.category_candidates", F.array().cast(f"array<{CANDIDATE}>")),
-                                                lambda c: c["category"].isin(vocab.CATEGORIES)), 1, 3),
-        "main_claims": F.slice(F.coalesce("_r.main_claims", empty), 1, 5),
-        "key_entities": F.slice(F.coalesce("_r.key_entities", empty), 1, 10),
-        "important_numbers": F.slice(F.coalesce("_r.important_numbers", empty), 1, 5)}).drop("_r")
+        "source_summary": summary if most("source_summary") is None else F.when(
+            F.length(summary) > most("source_summary"), F.concat(F.substring(summary, 1, most("source_summary")), F.lit("…"))).otherwise(summary),
+        "framework_tags": _validated_tags(F.col("_r.framework_tags"), "ai_framework_tag", most("framework_tags"), most("evidence")),
+        "attack_mappings": _validated_tags(F.col("_r.attack_mappings"), "attack_mapping", most("attack_mappings"), most("evidence")),
+        "governance_tags": _validated_tags(F.col("_r.governance_tags"), "governance_tag", most("governance_tags"), most("evidence")),
+        "category_candidates": rules.first_items(F.filter(F.coalesce("_r.category_candidates", F.array().cast(f"array<{CANDIDATE}>")),
+                                                          lambda c: c["category"].isin(vocab.CATEGORIES)), most("category_candidates")),
+        **{c: rules.first_items(F.coalesce(f"_r.{c}", empty), most(c)) for c in ("main_claims", "key_entities", "important_numbers")}}).drop("_r")
+
+
+def version_number(c: Column) -> Column:
+    """The numbers of a name such as ``taxonomy-v6.0`` as an array that compares number by number; none: empty."""
+    return F.transform(F.regexp_extract_all(c, F.lit("[0-9]+"), F.lit(0)), lambda p: p.cast("bigint"))
 
 
 def migrate_legacy_tags(df: DataFrame) -> DataFrame:
@@ -449,7 +459,7 @@ def migrate_legacy_tags(df: DataFrame) -> DataFrame:
     """
     groups = {g: rules.lit_array([r[0] for r in vocab.registry_rows() if r[1] == g])
               for g in ("ai_framework_tag", "attack_mapping", "governance_tag")}
-    new = F.coalesce(_col(df, "taxonomy_version"), F.lit("")) >= vocab.TAXONOMY_VERSION
+    new = version_number(F.coalesce(_col(df, "taxonomy_version"), F.lit(""))) >= version_number(F.lit(vocab.TAXONOMY_VERSION))
 
     old = F.col("_old")
 

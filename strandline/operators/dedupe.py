@@ -46,11 +46,12 @@ def duplicate_rank(df: DataFrame, key: str, position: str = "position") -> DataF
     """Flag every row that repeats an earlier row's key.
 
     Only the first position per key is needed, so this is a partial aggregate and a
-    lookup, not a window over a possibly hot key.
+    lookup, not a window over a possibly hot key.  A null key repeats nothing.
     """
-    firsts = df.groupBy(key).agg(F.min(position).alias("_first"), F.count("*").alias("_n"))
-    return (lookup_join(df, firsts, [key], count_col="_n")
-            .withColumn("seen_before", F.col(position) > F.col("_first")).drop("_first"))
+    firsts = (df.where(F.col(key).isNotNull()).groupBy(key)
+              .agg(F.min(position).alias("_first"), F.count("*").alias("_n")))
+    return (lookup_join(df, cut_lineage(firsts, "duplicate-first"), [key], count_col="_n", how="left")
+            .withColumn("seen_before", F.coalesce(F.col(position) > F.col("_first"), F.lit(False))).drop("_first"))
 
 
 def quality_score(tier: Column, full_text: Column, published: Column, confidence: Column,

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from strandline import vocab
 from strandline.functions import rules
 from strandline.operators import aggregate, rank
+from strandline.operators.dedupe import first_per_key
+from strandline.operators.skew import hot_join
 
 EMPTY = "array<string>"
 
@@ -63,7 +65,7 @@ def dossier_index(items: DataFrame, metrics: DataFrame) -> DataFrame:
     raw = items.select("evidence_id", F.lit("rawfact").alias("citation_type"), F.col("title").alias("label"), "publisher")
     agg = metrics.select(F.col("analytics_id").alias("evidence_id"), F.lit("analytics").alias("citation_type"),
                          F.col("metric").alias("label"), F.lit(None).cast("string").alias("publisher")).distinct()
-    return raw.unionByName(agg).dropDuplicates(["evidence_id"])
+    return first_per_key(raw.unionByName(agg), ["evidence_id"], [F.asc("citation_type"), F.asc("label"), F.asc("publisher")])
 
 
 def fallback_insights(df: DataFrame, k: int = 3) -> DataFrame:
@@ -92,8 +94,8 @@ def fallback_overview(df: DataFrame) -> DataFrame:
 
 def insight_audit(claims: DataFrame, index: DataFrame) -> DataFrame:
     """issues and qa_pass per claim.  Lengths are in characters: 15 / 10 / 10 / 20."""
-    found = (claims.select("claim_id", F.explode("supporting_ids").alias("evidence_id"))
-             .join(index.select("evidence_id"), "evidence_id", "left_semi").select("claim_id").distinct()
+    cited = claims.select("claim_id", F.explode("supporting_ids").alias("evidence_id"))
+    found = (hot_join(cited, index.select("evidence_id").distinct(), ["evidence_id"], how="left_semi").select("claim_id").distinct()
              .withColumn("resolved", F.lit(True)))
     rows = claims.join(found, "claim_id", "left")
     n = F.length(F.coalesce("text", F.lit("")))

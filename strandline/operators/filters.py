@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from strandline import vocab
 from strandline.functions import rules, times
-
-NEWEST_FIRST = [F.desc_nulls_first, F.asc]
+from strandline.operators.skew import hot_join
 
 
 def newest(df: DataFrame, tie: str = "id") -> DataFrame:
@@ -22,8 +21,8 @@ def newest(df: DataFrame, tie: str = "id") -> DataFrame:
 def list_sources(df: DataFrame, *, start: Column | None = None, end: Column | None = None,
                  publisher: str | None = None, source_type: str | None = None,
                  trust_tier: str | None = None, tag: str | None = None,
-                 test_set: bool = False, limit: int | None = 1000) -> DataFrame:
-    """All filters are optional and combine with AND; the limit is the report's page size."""
+                 test_set: bool = False, limit: int | None = None) -> DataFrame:
+    """All filters are optional and combine with AND; ``limit`` is a page size, without it all rows come."""
     conds = []
     if test_set:
         conds.append(F.col("in_test_set"))
@@ -43,14 +42,14 @@ def list_sources(df: DataFrame, *, start: Column | None = None, end: Column | No
     return out if limit is None else out.limit(limit)
 
 
-def period_query(df: DataFrame, as_of: Column, period: str = "daily", limit: int = 3000) -> DataFrame:
+def period_query(df: DataFrame, as_of: Column, period: str = "daily", limit: int | None = None) -> DataFrame:
     w = times.period_window(as_of, period)
     return list_sources(df, start=w["start_utc"], end=w["end_utc"], limit=limit)
 
 
 def horizon_load(df: DataFrame, start: Column, end: Column, *, source_type: str | None = None,
                  trust_tier: str | None = None, categories: list[str] | None = None,
-                 limit: int = 5000) -> DataFrame:
+                 limit: int | None = None) -> DataFrame:
     rows = df.where("eligible_for_horizon_scan")
     if categories:
         rows = rows.where(F.col("category").isin(categories))
@@ -79,11 +78,13 @@ def list_snapshots(df: DataFrame, start: Column | None = None, end: Column | Non
 
 
 def snapshot_members(snapshots: DataFrame, rows: DataFrame) -> DataFrame:
-    return newest(snapshots.join(rows, "snapshot_id"))
+    return newest(hot_join(rows, snapshots, ["snapshot_id"]))
 
 
-def list_reports(df: DataFrame, columns: list[str], limit: int = 10) -> DataFrame:
-    return df.orderBy(F.desc("generated_at"), F.asc("deck_id")).select(*columns).limit(limit)
+def list_reports(df: DataFrame, columns: list[str], limit: int | None = None) -> DataFrame:
+    """Newest first; all, or a page of ``limit``."""
+    out = df.orderBy(F.desc("generated_at"), F.asc("deck_id")).select(*columns)
+    return out if limit is None else out.limit(limit)
 
 
 def search(df: DataFrame, text: str = "", *, category: str | None = None, tag: str | None = None,

@@ -9,44 +9,53 @@ from strandline import vocab
 from strandline.functions import text
 from strandline.operators import similarity
 from strandline.operators.skew import HOT_ROWS, lookup_join
-from strandline.runtime import cut_lineage
+from strandline.runtime import Rounds, cut_lineage
 
 
-def _stars(edges: DataFrame, small: bool, hot_rows: int) -> DataFrame:
+def _around(edges: DataFrame, small: bool) -> DataFrame:
+    return edges if small else edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+
+
+def _least(edges: DataFrame, small: bool) -> DataFrame:
+    """The smallest node around each node, itself included, and the number of its neighbours."""
+    least = _around(edges, small).groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    return least.withColumn("m", F.least("m", "u"))
+
+
+def _stars(edges: DataFrame, least: DataFrame, small: bool, hot_rows: int) -> DataFrame:
     """One star contraction of canonical edges (u > v).
 
     Large star: every bigger neighbour of u is attached to the smallest node around u.
     Small star: u and its smaller neighbours are attached to the smallest of them.
     """
-    around = edges if small else edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = around.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    least = least.withColumn("m", F.least("m", "u"))
+    around = _around(edges, small)
     targets = around if small else around.where("v > u")
-    moved = lookup_join(targets, cut_lineage(least, "cc-least"), ["u"], count_col="n", hot_rows=hot_rows)
+    moved = lookup_join(targets, least, ["u"], count_col="n", hot_rows=hot_rows)
     out = moved.select(F.col("v").alias("u"), F.col("m").alias("v"))
     if small:
         out = out.unionByName(least.select("u", F.col("m").alias("v")))
     return out.where("u <> v").distinct()
 
 
-def connected_components(edges: DataFrame, *, hot_rows: int = HOT_ROWS, max_rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame, *, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(node, component) for every node with an edge; component is the smallest node.
 
     Alternating large-star and small-star contractions: the number of edges never
-    grows, long chains halve, and a hub's neighbours are handled row by row.
+    grows, long chains halve, and a hub's neighbours are handled row by row.  The rounds
+    end when one changes nothing; a round's files are deleted when the next are written.
     """
     canon = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    canon = cut_lineage(canon, "cc-edges")
+    rounds = Rounds(edges.sparkSession, "cc")
+    canon = rounds.put(canon)
     seen = None
-    for _ in range(max_rounds):
-        canon = cut_lineage(_stars(canon, False, hot_rows), "cc-large")
-        canon = cut_lineage(_stars(canon, True, hot_rows), "cc-small")
+    while True:
+        for small in (False, True):
+            least = rounds.put(_least(canon, small), keep=True)
+            canon = rounds.put(_stars(canon, least, small, hot_rows))
         mark = canon.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if mark == seen:
             break
         seen = mark
-    else:
-        raise RuntimeError("components did not settle")
     roots = canon.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return canon.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.rules import sql_lit
-from strandline.operators.skew import HOT_ROWS, lookup_join
+from strandline.operators.skew import HOT_ROWS, hot_join, lookup_join
 from strandline.runtime import cut_lineage
 
 
@@ -50,20 +50,21 @@ def connector_stats(rows: DataFrame, failures: dict[str, str] | None = None) ->
 
 
 def stamp_from_registry(df: DataFrame, registry: DataFrame, key: str = "publisher") -> DataFrame:
-    """Attach the enabled feed definition of each row's publisher.
+    """Attach the enabled feed definitions of each row's publisher.
 
-    The registry is not hinted: Spark broadcasts it when its size allows.
+    A publisher may have several, so the registry is not hinted: Spark broadcasts it when its size allows
+    and splits a hot publisher's rows otherwise.
     """
     return df.join(registry.where("enabled").drop("enabled"), key)
 
 
-def link_evidence(claims: DataFrame, items: DataFrame, ids: str = "supporting_ids") -> DataFrame:
+def link_evidence(claims: DataFrame, items: DataFrame, ids: str = "supporting_ids", *, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(claim, order, evidence_id, item columns): claims' ids resolved to dossier items; unknown ids drop out.
 
     ``items`` has one row per ``evidence_id``, of either kind.
     """
     long = claims.select("claim_id", "category", F.posexplode(ids).alias("ord", "evidence_id"))
-    return long.join(items, "evidence_id")
+    return hot_join(long, items, ["evidence_id"], hot_rows=hot_rows)
 
 
 def claim_citations(linked: DataFrame) -> DataFrame:
@@ -72,13 +73,20 @@ def claim_citations(linked: DataFrame) -> DataFrame:
 
 
 def link_viewpoints(claims: DataFrame, rows: DataFrame, ids: str = "source_ids") -> DataFrame:
-    """One row per resolved (claim, position) with the source's citation fields and framework refs."""
+    """One row per resolved (claim, position) with the source's citation fields and framework refs.
+
+    Fields that ``rows`` does not have come as nulls.
+    """
     refs = F.concat(*[F.transform(c, lambda t: t["framework_ref"])
                       for c in ("framework_tags", "attack_mappings", "governance_tags")])
+    more = [("date_published", "timestamp_ntz"), ("category", "string"), ("feed_score", "int"), ("feed_priority", "string"),
+            ("source_summary", "string"), ("main_claims", "array<string>")]
+    names = {"category": "main_category", "main_claims": "key_facts"}
+    extra = [(F.col(c) if c in rows.columns else F.lit(None).cast(t)).alias(names.get(c, c)) for c, t in more]
     cite = rows.select(F.col("id").alias("source_id"), F.col("title"), "url", "publisher", "source_type",
-                       F.col("trust_tier"), F.array_join(refs, "|").alias("framework_refs"))
+                       F.col("trust_tier"), F.array_join(refs, "|").alias("framework_refs"), *extra)
     long = claims.select("claim_id", F.posexplode(ids).alias("ord", "source_id"))
-    return long.join(cite, "source_id")
+    return hot_join(long, cite, ["source_id"])
 
 
 def citation_coverage(sections: DataFrame, rows: DataFrame, *, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -108,7 +116,7 @@ def citation_coverage(sections: DataFrame, rows: DataFrame, *, hot_rows: int = H
         .withColumn("warn", (n > 0) & (F.col("coverage_pct") < F.col("threshold")))
 
 
-def number_trace(reported: DataFrame, source_texts: DataFrame, text: str) -> DataFrame:
+def number_trace(reported: DataFrame, source_texts: DataFrame, text: str, *, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Reported percentages that no source text states.
 
     ``reported``: section_id, number.  A source states N when it has ``N%``, ``N %`` or
@@ -116,4 +124,4 @@ def number_trace(reported: DataFrame, source_texts: DataFrame, text: str) -> Dat
     """
     stated = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(?<![\d.])(\d+(?:\.\d+)?)(?:%| %| percent)"), F.lit(1))
     known = source_texts.select(F.explode(stated).alias("number")).distinct()
-    return reported.join(known, "number", "left_anti")
+    return hot_join(reported, known, ["number"], how="left_anti", hot_rows=hot_rows)

@@ -243,15 +243,18 @@ CARD_TYPE = ("struct<evidence_card_title:string,short_summary:string,key_facts:a
 WHY_IT_MATTERS = "Relevant to the AI threat landscape — see source for details."
 
 
-def _card(df: DataFrame, with_summary: bool) -> Column:
+TITLE_CHARS = 80          # display width of a card's title
+
+
+def _card(df: DataFrame, with_summary: bool, title_chars: int = TITLE_CHARS) -> Column:
     empty = F.array().cast("array<string>")
     summary = [F.nullif(F.col(c), F.lit("")) for c in (["source_summary", "summary"] if with_summary else ["source_summary"])
                if c in df.columns]
     return F.struct(
-        F.substring(F.coalesce("title", F.lit("")), 1, 80).alias("evidence_card_title"),
+        F.substring(F.coalesce("title", F.lit("")), 1, title_chars).alias("evidence_card_title"),
         F.coalesce(*summary, F.col("title"), F.lit("")).alias("short_summary"),
-        F.slice(F.coalesce("main_claims", empty), 1, 3).alias("key_facts"),
-        F.slice(F.coalesce("important_numbers", empty), 1, 5).alias("numbers_statistics"),
+        F.coalesce("main_claims", empty).alias("key_facts"),
+        F.coalesce("important_numbers", empty).alias("numbers_statistics"),
         empty.alias("attack_flow"), empty.alias("impacts"), F.lit(WHY_IT_MATTERS).alias("why_it_matters"),
         F.array(F.lit("trend_support")).alias("best_used_for")).cast(CARD_TYPE)
 
@@ -269,16 +272,15 @@ def evidence_card(df: DataFrame, landed: str | None = None) -> DataFrame:
 
 
 def validate_card(raw: Column) -> Column:
-    """Landed card JSON with caps 5/5/8/3/3; null when it does not parse."""
+    """Landed card JSON with whole lists; null when it does not parse."""
     r = F.from_json(raw, CARD_TYPE)
     empty = F.array().cast("array<string>")
-    used = F.slice(F.filter(F.coalesce(r["best_used_for"], empty), lambda v: v.isin(vocab.BEST_USED_FOR)), 1, 3)
+    used = F.filter(F.coalesce(r["best_used_for"], empty), lambda v: v.isin(vocab.BEST_USED_FOR))
     text = lambda n: F.coalesce(r[n], F.lit(""))
-    cut = lambda n, k: F.slice(F.coalesce(r[n], empty), 1, k)
+    whole = lambda n: F.coalesce(r[n], empty).alias(n)
     card = F.struct(
         text("evidence_card_title").alias("evidence_card_title"), text("short_summary").alias("short_summary"),
-        cut("key_facts", 5).alias("key_facts"), cut("numbers_statistics", 5).alias("numbers_statistics"),
-        cut("attack_flow", 8).alias("attack_flow"), cut("impacts", 3).alias("impacts"),
+        whole("key_facts"), whole("numbers_statistics"), whole("attack_flow"), whole("impacts"),
         text("why_it_matters").alias("why_it_matters"), rules.or_default(used, "trend_support").alias("best_used_for"))
     return F.when(r.isNotNull() & r["evidence_card_title"].isNotNull(), card)
 

@@ -7,12 +7,16 @@ common token only, and size and position bounds reject most candidates before th
 sets are compared.  Equal sets must be collapsed by the caller (``with_set_id``), so
 a large group of copies is one set.
 
-A token that is in more than ``hot_rows`` prefixes would still pair too many sets.
+A token that is in more than ``PAIR_ROWS`` prefixes would still pair too many sets.
 Pairs whose first common token is hot share only hot tokens (they sort last), so
 they are found through the first *two* common tokens instead, which lie in prefixes
 one longer.  Pairs for which one shared token is enough are small (sizes p + q <= (1+t)/t)
 and every two of them under one token are results; at t = 0.35 that is a 1-token set
 inside 2-token sets, of which there is one per token.
+
+Keys that are still longer (two tokens that half of all titles share) are dealt to blocks
+of ``PAIR_ROWS`` sets, and every pair of blocks is a join key of its own: no key that is
+joined holds more than two blocks.
 """
 
 from __future__ import annotations
@@ -26,6 +30,9 @@ from strandline.operators.skew import HOT_ROWS, lookup_join
 from strandline.runtime import cut_lineage
 
 
+PAIR_ROWS = 20_000         # sets under one key that are paired with each other
+
+
 def with_set_id(df: DataFrame, tokens: str, block: list[str], unique: str | None = None) -> DataFrame:
     """Hash of block and token set.  With ``unique``, rows without tokens stay apart."""
     body = F.array_join(F.array_sort(F.col(tokens)), " ")
@@ -60,7 +67,8 @@ def similar_sets(sets: DataFrame, block: list[str], *, threshold: float, min_sha
         "*", F.posexplode(F.slice("toks", F.lit(1), _prefix_length(F.col("n"), threshold, min_shared, 1)))
         .alias("pos", "token"))
     load = prefix.groupBy("block", "token").agg(F.count("*").alias("load"))
-    hot = cut_lineage(load.where(F.col("load") > hot_rows).select("block", "token"), "sim-hot")
+    limit_rows = min(hot_rows, PAIR_ROWS)
+    hot = cut_lineage(load.where(F.col("load") > limit_rows).select("block", "token"), "sim-hot")
     if hot.isEmpty():
         return _pair_up(prefix.withColumnRenamed("token", "key"), threshold, min_shared)
 
@@ -76,7 +84,7 @@ def similar_sets(sets: DataFrame, block: list[str], *, threshold: float, min_sha
         "set_id", "block", "n", "toks", "pos", F.col("key").alias("t1"),
         F.explode(F.slice("deep", F.col("pos") + 2, F.size("deep"))).alias("t2"))
     double = double.withColumn("key", F.concat_ws(" ", "t1", "t2")).drop("t1", "t2")
-    out = out.unionByName(_pair_up(double, threshold, min_shared, depth=2))
+    out = out.unionByName(_pair_up(double, threshold, min_shared, depth=2, limit_rows=limit_rows))
 
     # Pairs that share exactly one token: any two sets of sizes p and q with p + q within the
     # limit that hold the hot token.  Sizes are joined size by size, so only results are formed.
@@ -99,15 +107,36 @@ def _share_one(left: DataFrame, right: DataFrame, p: int, q: int) -> DataFrame:
                         F.lit(1 / (p + q - 1)).alias("similarity"))
 
 
-def _pair_up(keys: DataFrame, threshold: float, min_shared: int, depth: int = 1) -> DataFrame:
+def _in_blocks(keys: DataFrame, limit_rows: int) -> DataFrame:
+    """``keys`` with columns part, p and q: the rows of a key in more than ``limit_rows`` prefixes are dealt to parts,
+    and a row goes to each pair (p <= q) of its part with another one.  All other keys are the one pair (0, 0)."""
+    one = F.lit(0)
+    load = keys.groupBy("block", "key").agg(F.count("*").alias("load")).where(F.col("load") > limit_rows)
+    heavy = cut_lineage(load.withColumn("parts", F.ceil(F.col("load") / limit_rows).cast("int")), "sim-heavy")
+    if heavy.isEmpty():
+        return keys.select("*", one.alias("part"), one.alias("p"), one.alias("q"))
+    dealt = lookup_join(keys, heavy, ["block", "key"], count_col="load", how="left", hot_rows=limit_rows)
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("set_id"), parts).cast("int")) \
+        .withColumn("other", F.explode(F.sequence(one, parts - 1)))
+    return dealt.select("*", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q")).drop("parts", "other")
+
+
+def _pair_up(keys: DataFrame, threshold: float, min_shared: int, depth: int = 1, limit_rows: int | None = None) -> DataFrame:
     cols = ["set_id", "n", "toks", "pos"]
-    a = keys.select("block", "key", *[F.col(c).alias(f"a_{c}") for c in cols])
-    b = keys.select("block", "key", *[F.col(c).alias(f"b_{c}") for c in cols])
+    on = ["block", "key"]
+    apart = F.lit(True)
+    if limit_rows is not None:
+        keys = _in_blocks(keys, limit_rows)
+        cols, on = [*cols, "part"], [*on, "p", "q"]
+        apart = (F.col("a_part") != F.col("b_part")) | (F.col("p") == F.col("q"))
+    a = keys.select(*on, *[F.col(c).alias(f"a_{c}") for c in cols])
+    b = keys.select(*on, *[F.col(c).alias(f"b_{c}") for c in cols])
     na, nb = F.col("a_n"), F.col("b_n")
     need = F.greatest(F.ceil((na + nb) * (threshold / (1 + threshold)) - 1e-9), F.lit(max(min_shared, 1)))
     room = F.least(na - F.col("a_pos"), nb - F.col("b_pos"))
-    joined = a.join(b, ["block", "key"]).where(
-        (F.col("a_set_id") < F.col("b_set_id"))
+    joined = a.join(b, on).where(
+        apart & (F.col("a_set_id") < F.col("b_set_id"))
         & (F.least(na, nb) >= F.greatest(na, nb) * threshold - 1e-9) & (room >= need))
     common = F.array_intersect("a_toks", "b_toks")
     pairs = joined.withColumn("common", common)
@@ -117,8 +146,3 @@ def _pair_up(keys: DataFrame, threshold: float, min_shared: int, depth: int = 1)
     return (pairs.where((head == F.col("key")) & (shared >= max(min_shared, depth)) & (sim >= threshold))
             .select(F.col("a_set_id").alias("set_a"), F.col("b_set_id").alias("set_b"),
                     shared.alias("shared"), sim.alias("similarity")))
-
-
-def required_overlap(a: int, b: int, threshold: float) -> int:
-    """Tokens two sets of sizes a and b must share to reach the threshold."""
-    return math.ceil((a + b) * threshold / (1 + threshold) - 1e-9)

@@ -94,19 +94,20 @@ def all_tags(df: DataFrame) -> Column:
                                      _tag_names(df, "framework_tags"), _tag_names(df, "attack_mappings")))
 
 
-def rawfact_taxonomy(df: DataFrame) -> DataFrame:
+def rawfact_taxonomy(df: DataFrame, *, limits: dict[str, int] | None = None) -> DataFrame:
     """Columns rawfact_tags, sector, geography, technology, impact_*, operational_relevance, novelty,
-    source_type_context."""
+    source_type_context.  ``limits`` may cap the lists by column; they are whole without it."""
+    most = (limits or {}).get
     st = F.coalesce("source_type", F.lit(U))
     t = "_text"
     out = df.withColumn("_text", rules.lower_text(F.col("title"), F.col("full_text")))
     novelty = (F.when(rules.any_phrase(t, vocab.NOVELTY_NEW), F.lit("new_tactic"))
                .when(rules.any_phrase(t, vocab.NOVELTY_SCALE), F.lit("known_tactic_new_scale")).otherwise(F.lit(U)))
     return out.withColumns({
-        "rawfact_tags": F.slice(all_tags(df), 1, 10),
-        "sector": rules.or_default(F.slice(rules.labels(t, vocab.SECTOR_RULES), 1, 5), "cross_sector"),
-        "geography": F.slice(rules.labels(t, vocab.GEOGRAPHY_RULES), 1, 5),
-        "technology": F.slice(rules.labels(t, vocab.TECHNOLOGY_RULES), 1, 8),
+        "rawfact_tags": rules.first_items(all_tags(df), most("rawfact_tags")),
+        "sector": rules.or_default(rules.first_items(rules.labels(t, vocab.SECTOR_RULES), most("sector")), "cross_sector"),
+        "geography": rules.first_items(rules.labels(t, vocab.GEOGRAPHY_RULES), most("geography")),
+        "technology": rules.first_items(rules.labels(t, vocab.TECHNOLOGY_RULES), most("technology")),
         "impact_types": rules.or_default(rules.labels(t, vocab.IMPACT_TYPE_RULES), "security"),
         "impact_scope": F.lit(U), "impact_severity": F.lit(U),
         "operational_relevance": rules.lookup(st, vocab.TYPE_RELEVANCE, "medium"),
@@ -121,17 +122,17 @@ RAWFACT_LANDED = ("rawfact_tags array<string>, sector array<string>, geography a
                   f"source_type_context {CONTEXT_TYPE}")
 
 
-def rawfact_validate(df: DataFrame, raw: str) -> DataFrame:
-    """Landed taxonomy JSON with enum checks and caps."""
+def rawfact_validate(df: DataFrame, raw: str, *, limits: dict[str, int] | None = None) -> DataFrame:
+    """Landed taxonomy JSON with enum checks; ``limits`` may cap the lists by column."""
     out = df.withColumn("_r", F.from_json(raw, RAWFACT_LANDED))
 
-    def cut(name: str, n: int) -> Column:
-        return F.slice(F.coalesce(F.col(f"_r.{name}"), F.array().cast(A)), 1, n)
+    def whole(name: str) -> Column:
+        return rules.first_items(F.coalesce(F.col(f"_r.{name}"), F.array().cast(A)), (limits or {}).get(name))
 
     return out.withColumns({
-        "rawfact_tags": cut("rawfact_tags", 10), "sector": cut("sector", 5), "geography": cut("geography", 5),
-        "technology": cut("technology", 8), "affected_systems": cut("affected_systems", 10),
-        "impact_types": cut("impact_type", 5),
+        "rawfact_tags": whole("rawfact_tags"), "sector": whole("sector"), "geography": whole("geography"),
+        "technology": whole("technology"), "affected_systems": whole("affected_systems"),
+        "impact_types": whole("impact_type"),
         "impact_scope": rules.enum_exact(F.col("_r.impact_scope"), vocab.IMPACT_SCOPES),
         "impact_severity": rules.enum_exact(F.col("_r.impact_severity"), vocab.IMPACT_SEVERITIES),
         "operational_relevance": rules.enum_exact(F.col("_r.operational_relevance"), vocab.OPERATIONAL_RELEVANCES, "medium"),
@@ -162,17 +163,19 @@ def feed_taxonomy(df: DataFrame) -> DataFrame:
         "novelty": novelty}).drop("_text")
 
 
-def analytics_taxonomy(df: DataFrame) -> DataFrame:
-    """Chart-ready columns from tags, technology, category, type and text.  Needs the rawfact columns."""
+def analytics_taxonomy(df: DataFrame, *, limits: dict[str, int] | None = None) -> DataFrame:
+    """Chart-ready columns from tags, technology, category, type and text.  Needs the rawfact columns.  ``limits`` may
+    cap the lists by column; they are whole without it, since reports count them."""
+    most = (limits or {}).get
     st = F.coalesce("source_type", F.lit(U))
     cat = F.coalesce("category", F.lit(vocab.FALLBACK_CATEGORY))
     t = "_text"
     ctx = F.col("source_type_context")
     out = df.withColumn("_text", rules.lower_text(F.col("title"), F.col("full_text")))
     names = F.concat(_tag_names(df, "framework_tags"), _tag_names(df, "attack_mappings"), F.col("rawfact_tags"))
-    vectors = rules.vocab_intersect(names, vocab.ATTACK_VECTORS, 6)
-    surfaces = F.slice(F.array_distinct(F.flatten(F.transform(
-        "technology", lambda x: rules.lookup_array(x, vocab.TECH_SURFACES)))), 1, 6)
+    vectors = rules.vocab_intersect(names, vocab.ATTACK_VECTORS, most("attack_vectors"))
+    surfaces = rules.first_items(F.array_distinct(F.flatten(F.transform(
+        "technology", lambda x: rules.lookup_array(x, vocab.TECH_SURFACES)))), most("attack_surface"))
     evidence = F.lower(F.coalesce(ctx["observed_evidence"], F.lit("")))
     status = (F.when((st == "vulnerability") & (ctx["exploit_status"] == "exploited_in_the_wild"), F.lit("active_operational_use"))
               .when((st == "research_finding") & rules.any_phrase(t, vocab.POC_PHRASES), F.lit("proof_of_concept"))
@@ -182,7 +185,7 @@ def analytics_taxonomy(df: DataFrame) -> DataFrame:
         "attack_vectors": rules.or_default(vectors, U), "_surfaces": surfaces,
         "ai_layer": rules.or_default(rules.lookup_array(cat, vocab.CATEGORY_LAYERS), U),
         "operational_status": status,
-        "analytics_impact_types": F.slice(rules.or_default(rules.labels(t, vocab.ANALYTICS_IMPACT_RULES), U), 1, 5),
+        "analytics_impact_types": rules.first_items(rules.or_default(rules.labels(t, vocab.ANALYTICS_IMPACT_RULES), U), most("analytics_impact_types")),
         "signal_clusters": rules.or_default(rules.lookup_array(cat, vocab.CATEGORY_CLUSTERS), U)})
     op = F.col("operational_status")
     themes = rules.flags(
@@ -196,34 +199,36 @@ def analytics_taxonomy(df: DataFrame) -> DataFrame:
     return out.withColumns({
         "attack_surface": rules.or_default(F.col("_surfaces"), U),
         "maturity": rules.lookup(op, vocab.STATUS_MATURITY, U),
-        "recurring_themes": F.slice(rules.or_default(themes, U), 1, 5),
-        "entities": F.slice(_has(df, "key_entities", A), 1, 10),
+        "recurring_themes": rules.first_items(rules.or_default(themes, U), most("recurring_themes")),
+        "entities": rules.first_items(_has(df, "key_entities", A), most("entities")),
         "analytics_confidence": F.when(F.col("trust_tier").isin("primary", "curated", "high"), F.lit("high"))
         .when(F.col("trust_tier") == "medium", F.lit("medium")).otherwise(F.lit("low")),
         "analytics_date": F.date_format("date_published", "yyyy-MM-dd")}).drop("_text", "_surfaces")
 
 
 ANALYTICS_LANDED = {
-    "attack_vectors": (vocab.ATTACK_VECTORS, 8), "attack_surface": (vocab.ATTACK_SURFACES, 8),
-    "ai_layer": (vocab.AI_LAYERS, 4), "impact_type": (vocab.IMPACT_TYPES, 5),
-    "signal_clusters": (vocab.SIGNAL_CLUSTERS, 5), "recurring_themes": (vocab.RECURRING_THEMES, 5),
+    "attack_vectors": vocab.ATTACK_VECTORS, "attack_surface": vocab.ATTACK_SURFACES,
+    "ai_layer": vocab.AI_LAYERS, "impact_type": vocab.IMPACT_TYPES,
+    "signal_clusters": vocab.SIGNAL_CLUSTERS, "recurring_themes": vocab.RECURRING_THEMES,
 }
-ANALYTICS_FREE = {"sector": 5, "geography": 5, "technology": 8, "entities": 10}
+ANALYTICS_FREE = ["sector", "geography", "technology", "entities"]
 
 
-def analytics_validate(df: DataFrame, raw: str) -> DataFrame:
-    """Landed analytics JSON (keys prefixed ``analytics_``) against its vocabularies."""
+def analytics_validate(df: DataFrame, raw: str, *, limits: dict[str, int] | None = None) -> DataFrame:
+    """Landed analytics JSON (keys prefixed ``analytics_``) against its vocabularies.  ``limits`` may cap a list by its
+    name, and the reason (characters)."""
+    most = (limits or {}).get
     arrays = [*ANALYTICS_LANDED, *ANALYTICS_FREE]
     scalars = ["operational_status", "maturity", "impact_scope", "confidence", "reason"]
     schema = ", ".join([f"analytics_{n} array<string>" for n in arrays] + [f"analytics_{n} string" for n in scalars])
     out = df.withColumn("_r", F.from_json(raw, schema))
     r = lambda n: F.col(f"_r.analytics_{n}")
-    cols = {n: rules.vocab_intersect(r(n), v, k) for n, (v, k) in ANALYTICS_LANDED.items()}
-    cols |= {n: F.slice(F.coalesce(r(n), F.array().cast(A)), 1, k) for n, k in ANALYTICS_FREE.items()}
+    cols = {n: rules.vocab_intersect(r(n), v, most(n)) for n, v in ANALYTICS_LANDED.items()}
+    cols |= {n: rules.first_items(F.coalesce(r(n), F.array().cast(A)), most(n)) for n in ANALYTICS_FREE}
     cols |= {
         "operational_status": rules.pick_one(r("operational_status"), vocab.OPERATIONAL_STATUSES),
         "maturity": rules.pick_one(r("maturity"), vocab.MATURITIES),
         "impact_scope": rules.pick_one(r("impact_scope"), vocab.IMPACT_SCOPES),
         "analytics_confidence": rules.enum_exact(r("confidence"), ["high", "medium", "low"], "medium"),
-        "analytics_reason": F.substring(F.coalesce(r("reason"), F.lit("")), 1, 200)}
+        "analytics_reason": rules.first_chars(F.coalesce(r("reason"), F.lit("")), most("reason"))}
     return out.withColumns(cols).drop("_r")

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
+SPREAD_BYTES = 256 << 20
 
 # Settings the operators are written for.  Shuffle width is left to AQE's
 # coalescing, so a wide initial value is safe on a cluster.
@@ -72,11 +73,39 @@ def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a finished intermediate folder, in whatever store it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Rounds:
+    """Tables of an iteration in the shared folder: each ``put`` writes one and reads it back.
+
+    ``put`` deletes what earlier rounds wrote once the new table is complete, since nothing needs it any
+    more; with ``keep`` the earlier tables stay until the next ``put`` without it.
+    """
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.label, self.old = spark, label, []
+
+    def put(self, df: DataFrame, keep: bool = False) -> DataFrame:
+        path = scratch_path(self.spark, self.label)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        if not keep:
+            for done in self.old:
+                drop_path(self.spark, done)
+            self.old = []
+        self.old.append(path)
+        return out
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition a scan that has fewer partitions than the cluster has cores.
+    """Hash-partition the scan of a table of at most ``SPREAD_BYTES``.
 
-    A small input in one row group would otherwise keep all text work on one core.  A large
-    input already has enough splits and is left alone, so nothing is shuffled at scale.
+    A small file of one row group would otherwise keep all text work on one core.  Larger tables are
+    never shuffled by this, whatever the cluster's size.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key) if size <= SPREAD_BYTES else df

@@ -13,11 +13,14 @@ from strandline.operators.dedupe import dedupe_first, dedupe_last
 
 
 def json_records(spark: SparkSession, path: str, schema: str = schemas.RAW_ITEM) -> DataFrame:
-    """Files that each hold one JSON array of items.  A missing path or a first file that does not
-    start with ``[`` is an error."""
-    head = spark.read.text(path).where(F.trim("value") != "").limit(1).first()
-    if head is None or not head[0].lstrip().startswith("["):
-        raise ValueError(f"{path} does not hold a JSON array")
+    """Files that each hold one JSON array of items.  A missing path, or any file that does not start with
+    ``[``, is an error."""
+    heads = spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("file"), F.col("value").rlike(r"^[\s\uFEFF]*\[").alias("array"))
+    wrong = heads.groupBy("file").agg(F.bool_and("array").alias("array"))
+    seen = wrong.agg(F.count("*").alias("n"), F.min(F.when(~F.col("array"), F.col("file"))).alias("bad")).first()
+    if seen["n"] == 0 or seen["bad"] is not None:
+        raise ValueError(f"{seen['bad'] or path} does not hold a JSON array")
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
@@ -32,8 +35,8 @@ def _xml(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
     return df.withColumn("file", F.col("_metadata.file_path")).withColumn("_pos", F.monotonically_increasing_id())
 
 
-def feed(spark: SparkSession, path: str, kind: str = "rss", max_items: int = 50) -> DataFrame:
-    """RSS or Atom documents to items: file, title, url, date_published, full_text."""
+def feed(spark: SparkSession, path: str, kind: str = "rss", max_items: int | None = None) -> DataFrame:
+    """RSS or Atom documents to items: file, title, url, date_published, full_text; all items of a file, or the first ``max_items``."""
     atom = kind == "atom"
     raw = _xml(spark, path, "entry" if atom else "item", schemas.ATOM_ENTRY if atom else schemas.RSS_ITEM)
     link = F.get(F.transform("link", lambda x: x["_href"]), F.lit(0)) if atom else F.col("link")
@@ -41,7 +44,7 @@ def feed(spark: SparkSession, path: str, kind: str = "rss", max_items: int = 50)
     dates = ["published", "updated"] + ([] if atom else ["pubDate"])
     date = F.coalesce(*[F.nullif(F.trim(c), e) for c in dates])
     body = F.coalesce(*[F.nullif(F.trim(c), e) for c in ("summary", "description", "content")], e)
-    items = _first_in_file(raw, max_items).select(
+    items = (raw if max_items is None else _first_in_file(raw, max_items)).select(
         "file", "_pos", text.xml_text(F.col("title")).alias("title"), F.trim(F.coalesce(link, e)).alias("url"),
         times.parse_date(date).alias("date_published"), text.xml_text(body).alias("full_text"))
     return items.where((F.col("title") != "") & (F.col("url") != "")).drop("_pos")

@@ -52,9 +52,15 @@ def _overwrite_buckets(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
 
 
-def replace_by_key(df: DataFrame, path: str, key: str, buckets: int = 64) -> None:
-    """Insert or replace rows by key.  The merged buckets are materialised before they are overwritten."""
-    new = _bucketed(df, key, buckets)
+def _by_content(df: DataFrame) -> list[Column]:
+    """An order of rows that does not depend on their place: the hash of all columns."""
+    return [F.xxhash64(*df.columns)]
+
+
+def replace_by_key(df: DataFrame, path: str, key: str, buckets: int = 64, order: list[Column] | None = None) -> None:
+    """Insert or replace rows by key.  Of rows of one batch with the same key the first by ``order`` is stored.  The
+    merged buckets are materialised before they are overwritten."""
+    new = _bucketed(first_per_key(df, [key], order or _by_content(df)), key, buckets)
     stored = read_table(df.sparkSession, path)
     if stored is None:
         _overwrite_buckets(new, path)
@@ -65,21 +71,22 @@ def replace_by_key(df: DataFrame, path: str, key: str, buckets: int = 64) -> Non
     _overwrite_buckets(cut_lineage(merged, "replace"), path)
 
 
-def update_by_key(df: DataFrame, path: str, key: str, columns: list[str], buckets: int = 64) -> None:
-    """Update ``columns`` of stored rows from ``df`` (one row per key); null values keep the old ones."""
+def update_by_key(df: DataFrame, path: str, key: str, columns: list[str], buckets: int = 64, order: list[Column] | None = None) -> None:
+    """Update ``columns`` of stored rows from ``df``; null values keep the old ones.  Of rows of one batch with the
+    same key the first by ``order`` counts."""
     stored = read_table(df.sparkSession, path)
     if stored is None:
         return
-    new = _bucketed(df, key, buckets).select(key, BUCKET, *[F.col(c).alias(f"_new_{c}") for c in columns])
+    new = _bucketed(first_per_key(df, [key], order or _by_content(df)), key, buckets).select(key, BUCKET, *[F.col(c).alias(f"_new_{c}") for c in columns])
     touched = F.broadcast(new.select(BUCKET).distinct())
     joined = stored.join(touched, BUCKET, "left_semi").join(new.drop(BUCKET), key, "left")
     merged = joined.withColumns({c: F.coalesce(f"_new_{c}", c) for c in columns}).select(*stored.columns)
     _overwrite_buckets(cut_lineage(merged, "update"), path)
 
 
-def enrichment_update(df: DataFrame, path: str, columns: list[str]) -> None:
+def enrichment_update(df: DataFrame, path: str, columns: list[str], buckets: int = 64) -> None:
     """Write back rows stamped with the current taxonomy version."""
-    update_by_key(df.where(F.col("taxonomy_version") == vocab.TAXONOMY_VERSION), path, "id", columns)
+    update_by_key(df.where(F.col("taxonomy_version") == vocab.TAXONOMY_VERSION), path, "id", columns, buckets)
 
 
 def create_keyed(df: DataFrame, path: str, key: str, buckets: int = 64) -> None:
@@ -96,12 +103,13 @@ def log_run(spark: SparkSession, path: str, rows: list[dict]) -> None:
     spark.createDataFrame(rows, schemas.RUN_LOG).write.mode("append").parquet(path)
 
 
-def latest_runs(log: DataFrame, limit: int = 20) -> DataFrame:
-    """Latest state per run, newest runs first."""
+def latest_runs(log: DataFrame, limit: int | None = None) -> DataFrame:
+    """Latest state per run, newest runs first; all, or a page of ``limit``."""
     state = F.struct("status", "source_count", "rejected_count", "discarded_count", "error_message")
     runs = log.groupBy("run_id").agg(F.min("logged_at").alias("started_at"), F.max("logged_at").alias("last_at"),
                                      F.max_by(state, "logged_at").alias("s"))
-    return runs.select("run_id", "started_at", "last_at", "s.*").orderBy(F.desc("started_at"), "run_id").limit(limit)
+    out = runs.select("run_id", "started_at", "last_at", "s.*").orderBy(F.desc("started_at"), "run_id")
+    return out if limit is None else out.limit(limit)
 
 
 # Storage projection: column -> (type, default).  None keeps null.

@@ -78,7 +78,22 @@ def late_report_batch(kept: str, late: str, ts: str, start: Column, end: Column)
     return write
 
 
-def run_metrics(spark: SparkSession, query: StreamingQuery) -> DataFrame:
-    """One row per micro-batch from the query's progress reports, which Spark caps in number."""
-    rows = [(p.batchId, p.numInputRows) for p in query.recentProgress]
-    return spark.createDataFrame(rows, "batch_id bigint, input_rows bigint")
+def counted_batch(metrics: str, batch):
+    """``batch`` with a row (batch_id, input_rows) written to the folder ``metrics`` for every micro-batch; a repeated
+    batch replaces its own row, and no number of batches is too large."""
+    def write(df: DataFrame, batch_id: int) -> None:
+        batch(df, batch_id)
+        df.agg(F.count("*").alias("input_rows")).write.mode("overwrite").parquet(f"{metrics}/batch_id={batch_id}")
+    return write
+
+
+def append_batch(out: str):
+    """Store every batch in its own folder under ``out``; a repeated batch replaces itself."""
+    def write(df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+    return write
+
+
+def run_metrics(spark: SparkSession, metrics: str) -> DataFrame:
+    """One row per micro-batch from the folder that ``counted_batch`` wrote."""
+    return spark.read.schema("input_rows bigint, batch_id bigint").parquet(metrics).select("batch_id", "input_rows")
