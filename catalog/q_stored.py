@@ -275,6 +275,11 @@ def ingested(spark, sf, window=WINDOW):
     return ingest.ingest_batch(sources(spark, sf), as_of(), w, tag_rules=TEST_TAGS)
 
 
+def decided(spark, sf, window=WINDOW):
+    w = tuple(ntz(x) for x in window) if window else None
+    return ingest.ingest_decisions(sources(spark, sf), as_of(), w)
+
+
 cte("ing_clean", f"""
   SELECT position, id, date_published, trust_tier, source_type, date_confidence, cu AS url, ct AS title, cp AS publisher, cf AS full_text,
     {ING_QUALITY} AS quality_score,
@@ -325,7 +330,7 @@ def _(spark, sf):
 
 @query("ingest_no_window", "SELECT position, stage FROM ing_all", NO_WINDOW)
 def _(spark, sf):
-    return ingested(spark, sf, None).select("position", "stage")
+    return decided(spark, sf, None).select("position", "stage")
 
 
 @query("funnel_counts", """
@@ -333,7 +338,7 @@ def _(spark, sf):
     SELECT unnest(['raw', 'within_window', 'deduped', 'accepted', 'usable'][1:list_position(['window', 'duplicate', 'rejected', 'invalid', 'stored'], stage)]) AS step FROM ing_w
     UNION ALL SELECT 'removed_' || stage FROM ing_w WHERE stage <> 'stored') GROUP BY step""", IN_WINDOW)
 def _(spark, sf):
-    return ingest.funnel_counts(ingested(spark, sf))
+    return ingest.funnel_counts(decided(spark, sf))
 
 
 cte("lay_clean", f"""
@@ -369,7 +374,7 @@ def _(spark, sf):
 @query("backfill_runs", """SELECT d - INTERVAL 2 HOUR AS start_utc, d + INTERVAL 22 HOUR AS end_utc, count(*) AS raw, count_if(stage = 'stored')::BIGINT AS saved
   FROM (SELECT *, date_trunc('day', date_published + INTERVAL 2 HOUR) AS d FROM ing_all WHERE date_published IS NOT NULL) GROUP BY d""", NO_WINDOW)
 def _(spark, sf):
-    return ingest.backfill_runs(ingested(spark, sf, None))
+    return ingest.backfill_runs(decided(spark, sf, None))
 
 
 @query("curated_import", """

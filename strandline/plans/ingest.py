@@ -83,45 +83,68 @@ def clean_sources(df: DataFrame) -> DataFrame:
     return df.withColumns({**cols, "cleaning_version": F.lit(vocab.CLEANING_VERSION)}).drop("_raw", "_plain", "_clean")
 
 
+KEY_COLUMNS = ["url_key", "title_key", "hash_key"]
+
+
+def _hashed_keys(df: DataFrame) -> list[Column]:
+    return [F.sha2(c, 256).alias(k) for k, c in dedupe.exact_keys(df).items()]
+
+
 def cleaning_layer(df: DataFrame, *, threshold: float = 0.85, skip_near: bool = False):
     """clean -> exact -> near.  Returns (kept, removed) where removed has a reason per row."""
     cleaned = clean_sources(df).withColumn("clean_text_hash", F.sha2("full_text", 256))
-    ranked = cut_lineage(dedupe.with_rank(dedupe.with_quality(cleaned)), "cleaned")
-    kept, exact = dedupe.dedupe_exact(ranked.drop("rank", "quality_score"))
-    kept, near = dedupe.dedupe_near_title(kept, threshold=threshold, skip=skip_near)
+    ranked = dedupe.with_rank(dedupe.with_quality(cleaned))
+    # The decisions need keys and titles only; texts stay in the source.
+    slim = cut_lineage(ranked.select("rank", "id", "position", "title", *_hashed_keys(cleaned)), "cleaned")
+    exact = cut_lineage(dedupe.exact_drops(slim, {k: F.col(k) for k in KEY_COLUMNS}), "dedupe-drops")
+    left, near = dedupe.dedupe_near_title(slim.join(exact.select("rank"), "rank", "left_anti"), threshold=threshold, skip=skip_near)
     removed = (exact.select("rank", F.lit("exact_duplicate").alias("reason"))
                .unionByName(near.select("rank", F.lit("near_duplicate_title").alias("reason"))))
-    return kept, ranked.select("rank", "id", "position", "title").join(removed, "rank")
+    kept = ranked.join(left.select("rank"), "rank", "left_semi")
+    return kept, slim.select("rank", "id", "position", "title").join(removed, "rank")
 
 
 def ingest_batch(raw: DataFrame, as_of: Column, window: tuple[Column, Column] | None = None, *,
                  tag_rules: dict | None = None) -> DataFrame:
-    """Every input row with the stage it ended at and why.
+    """Every input row with the stage it ended at and why, all its columns cleaned and tagged.
 
     stage: window / duplicate / rejected / invalid / stored.  ``window=None`` skips the
-    publish-date filter.  One pass writes the decisions; the funnel counts are one aggregate
-    over the result, not repeated counts.
+    publish-date filter.  The decisions come from ``ingest_decisions`` and are joined by rank.
     """
+    rows = _judged(raw, as_of, window)
+    decided = ingest_decisions(raw, as_of, window).select("rank", "stage", "reason")
+    rows = classify.eligibility(classify.quick_tags(rows.join(decided, "rank"), tag_rules), as_of, window)
+    return rows.withColumn("needs_review", F.col("needs_review") | F.col("acceptance.needs_review")) \
+        .drop("kept", "window_reason", "acceptance")
+
+
+def _judged(raw: DataFrame, as_of: Column, window: tuple[Column, Column] | None) -> DataFrame:
+    """Rows cleaned, ranked and judged one by one: window, acceptance, validity."""
     cleaned = clean_sources(normalize_source(raw, as_of)).withColumn("clean_text_hash", F.sha2("full_text", 256))
     if window is not None:
         cleaned = filters.published_window(cleaned, *window)
     else:
         cleaned = cleaned.withColumn("window_reason", F.lit(None).cast("string")).withColumn("kept", F.lit(True))
-    ranked = cut_lineage(dedupe.with_rank(dedupe.with_quality(cleaned)), "ingest")
-    inside = ranked.where("kept")
-    drops = dedupe.exact_drops(inside, dedupe.exact_keys(inside)).select("rank", F.lit(True).alias("_dup"))
-    rows = ranked.join(drops, "rank", "left").withColumn("_dup", F.coalesce("_dup", F.lit(False)))
-    rows = classify.structural_validity(filters.filter_acceptable(rows))
+    ranked = dedupe.with_rank(dedupe.with_quality(cleaned))
+    return classify.structural_validity(filters.filter_acceptable(ranked))
+
+
+def ingest_decisions(raw: DataFrame, as_of: Column, window: tuple[Column, Column] | None = None) -> DataFrame:
+    """rank, position, date_published, stage and reason of every input row: what the funnel, the backfill and other
+    counts need.  One pass over the texts writes keys and verdicts; no text is written or shuffled."""
+    judged = _judged(raw, as_of, window)
+    slim = cut_lineage(judged.select("rank", "position", "date_published", "kept", "window_reason", "usable",
+                                     F.col("acceptance.accepted").alias("accepted"), F.col("acceptance.reason").alias("why"),
+                                     *_hashed_keys(judged)), "ingest")
+    drops = dedupe.exact_drops(slim.where("kept"), {k: F.col(k) for k in KEY_COLUMNS}).select("rank", F.lit(True).alias("_dup"))
+    rows = slim.join(drops, "rank", "left").withColumn("_dup", F.coalesce("_dup", F.lit(False)))
     stage = (F.when(~F.col("kept"), F.lit("window")).when(F.col("_dup"), F.lit("duplicate"))
-             .when(~F.col("acceptance.accepted"), F.lit("rejected")).when(~F.col("usable"), F.lit("invalid"))
+             .when(~F.col("accepted"), F.lit("rejected")).when(~F.col("usable"), F.lit("invalid"))
              .otherwise(F.lit("stored")))
     reason = (F.when(~F.col("kept"), F.col("window_reason")).when(F.col("_dup"), F.lit("duplicate of a better row"))
-              .when(~F.col("acceptance.accepted"), F.col("acceptance.reason"))
+              .when(~F.col("accepted"), F.col("why"))
               .when(~F.col("usable"), F.lit("Failed validity check")))
-    rows = rows.withColumn("stage", stage).withColumn("reason", reason)
-    rows = classify.eligibility(classify.quick_tags(rows, tag_rules), as_of, window)
-    return rows.withColumn("needs_review", F.col("needs_review") | F.col("acceptance.needs_review")) \
-        .drop("_dup", "kept", "window_reason", "acceptance")
+    return rows.select("rank", "position", "date_published", stage.alias("stage"), reason.alias("reason"))
 
 
 STAGES = ["window", "duplicate", "rejected", "invalid", "stored"]

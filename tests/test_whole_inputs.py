@@ -104,3 +104,22 @@ def test_metrics_of_every_batch(spark, tmp_path):
     streams.drain(stream, f"{tmp_path}/ck", streams.counted_batch(f"{tmp_path}/metrics", streams.append_batch(f"{tmp_path}/out")))
     rows = streams.run_metrics(spark, f"{tmp_path}/metrics").collect()
     assert len(rows) == 3 and sum(r["input_rows"] for r in rows) == 3
+
+
+def test_no_text_in_the_shared_folder(spark, monkeypatch):
+    """Ingest and scoring write ids, hashes and verdicts; the longest value they write is a hash or a title."""
+    from catalog import load_all
+    load_all()
+    from catalog import q_analysis
+    from catalog.views import as_of, sources
+    from strandline import runtime
+    from strandline.plans import analysis, ingest
+    written = []
+    for module in [m for n, m in __import__("sys").modules.items() if n.startswith("strandline.") and hasattr(m, "cut_lineage")]:
+        monkeypatch.setattr(module, "cut_lineage", lambda df, label, f=runtime.cut_lineage: written.append((label, df.columns)) or f(df, label))
+    df = sources(spark, "/root/testdata/sf0.001")
+    ingest.funnel_counts(ingest.ingest_decisions(df, as_of())).collect()
+    ingest.cleaning_layer(df)[1].count()
+    analysis.two_pass_score(q_analysis.base(spark, "/root/testdata/sf0.001"), as_of()).select("position", "rawfact_score").count()
+    assert len(written) > 5
+    assert not [w for w in written if {"full_text", "clean_text", "raw_text", "raw_html"} & set(w[1])]
