@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import cut_lineage, sorted_groups
+from strandline.llm.common import cut_lineage, hash_sample, sorted_groups
 
 SAMPLE = 8000             # vectors that the graph and the classifier are fitted on
 PART_ROWS = 400           # sampled vectors of one part
@@ -217,7 +217,7 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 20, key: str = "v
         return spark.createDataFrame([], out)
     whole = whole.where(F.size("v") == common["d"]).dropDuplicates(["id", "v"])
     asked = clean(queries).where(F.size("v") == common["d"]).dropDuplicates(["id", "v"])
-    picked = whole.orderBy(F.xxhash64("id"), "id").limit(sample).collect()  # bounded by ``sample``
+    picked = hash_sample(whole, "id", sample).collect()  # bounded by ``sample``
     x = np.unique(np.array([r["v"] for r in picked]), axis=0)
     parts = max(1, len(x) // part_rows)
     graph = neighbour_graph(x)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strandline.runtime import cut_lineage, scratch_path
 
-__all__ = ["bit_test", "cut_lineage", "drop_path", "hash_bitmap", "int64_bits", "row_key", "scratch_path", "sorted_groups", "table"]
+__all__ = ["bit_test", "cut_lineage", "drop_path", "hash_bitmap", "hash_sample", "int64_bits", "row_key", "scratch_path", "sorted_groups", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,19 @@ def bit_test(bitmap: np.ndarray, bits: int, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
+def hash_sample(df: DataFrame, column: str, rows: int) -> DataFrame:
+    """At most ``rows`` rows of ``df``, those whose ``column`` hashes lowest: a sample for fitting.
+
+    The table is counted first and a hash threshold lets about twice as many rows through, so neither a task
+    nor the driver sees more than that, however many tasks there are.
+    """
+    span = 1 << 30
+    total = max(df.count(), 1)
+    bar = min(span, 2 * rows * span // total + 64 * span // total + 1)
+    h = F.xxhash64(column)
+    return df.where(F.pmod(h, F.lit(span)) < bar).orderBy(F.pmod(h, F.lit(span)), column).limit(rows)
+
+
 def int64_bits(value: int) -> int:
     """An unsigned 64-bit number as Spark's signed long with the same bits."""
     return value - (1 << 64) if value >= 1 << 63 else value

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from strandline.llm import words as wd
+from strandline.llm.common import hash_sample
 
 FEATURE_BITS = 18
 MAX_ROWS = 6000
@@ -156,8 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     documents as one row.  Only the sampled ids are broadcast, and only their features reach the driver."""
     ids = F.col(key).cast("long")
     known = labels.select(ids.alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y is not null")
-    sample = (known.where(~_is_held_out(F.col("id"))).groupBy("id").agg(F.min("y").alias("y"))
-              .orderBy(F.xxhash64("id"), "id").limit(max_rows))
+    sample = hash_sample(known.where(~_is_held_out(F.col("id"))).groupBy("id").agg(F.min("y").alias("y")), "id", max_rows)
     chosen = docs.select(ids.alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(sample), "id")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import cut_lineage, scratch_path
+from strandline.llm.common import cut_lineage, hash_sample, scratch_path
 
 MIN_REVISIT = 1000
 SAMPLE = 1000             # pages that the dictionary is trained on
@@ -219,7 +219,7 @@ def write_archives(pages: DataFrame, folder: str, *, key: str = "page_id", url:
     spark = pages.sparkSession
     body = pages.select(F.col(key).cast("long").alias("id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
     payload = F.coalesce("html", F.lit("")).cast("binary")
-    sample = (body.where(F.length("html") > 0).orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
+    sample = (hash_sample(body.where(F.length("html") > 0), "id", SAMPLE)
               .select("id", "url", F.substring("html", 1, SAMPLE_BYTES).alias("html")).collect())  # bounded: trains the dictionary only
     dictionary = spark.sparkContext.broadcast(train_dictionary([make_record(r["id"], 0, r["url"], r["html"].encode(), None) for r in sample]))
     keyed = body.withColumn("digest", F.unhex(F.sha1(payload))).withColumn("size", F.octet_length(F.coalesce("html", F.lit(""))))
