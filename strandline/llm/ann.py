@@ -20,7 +20,8 @@ from strandline.llm.common import cut_lineage, hash_sample, sorted_groups
 
 SAMPLE = 8000             # vectors that the graph and the classifier are fitted on
 PART_ROWS = 400           # sampled vectors of one part
-PROBES = 8                # parts a query is sent to at least
+RECALL = 0.96             # of neighbours that the probed parts must hold, measured on rows the fit did not see
+AIM = 20                  # neighbours that this is measured on
 NEIGHBOURS = 10           # of a vector in the graph
 BLOCK_ROWS = 8192         # index rows of a part that one task reranks
 QUERY_ROWS = 512          # queries that one task reranks
@@ -100,8 +101,7 @@ class Router:
 def fit_router(x: np.ndarray, graph: np.ndarray, part: np.ndarray, parts: int, epochs: int = 60, rate: float = 0.05) -> Router:
     """Cross-entropy against the shares of the parts among a row and its neighbours, by Adam on shuffled batches."""
     target = np.zeros((len(x), parts))
-    for p, cols in ((part, 1),):
-        np.add.at(target, (np.arange(len(x)), p), 1.0)
+    np.add.at(target, (np.arange(len(x)), part), 1.0)
     np.add.at(target, (np.repeat(np.arange(len(x)), graph.shape[1]), part[graph.ravel()]), 1.0)
     target /= target.sum(axis=1, keepdims=True)
     scale = 1.0 / max(float(np.sqrt((x ** 2).mean())), 1e-12)
@@ -123,6 +123,20 @@ def fit_router(x: np.ndarray, graph: np.ndarray, part: np.ndarray, parts: int, e
     return Router(w, b, scale)
 
 
+def probes_for(router: Router, x: np.ndarray, unseen: np.ndarray, parts: int, recall: float) -> int:
+    """How many parts a query must be sent to, so that they hold the share ``recall`` of the AIM nearest rows of ``x``
+    on average over the ``unseen`` rows.  Clustered vectors need few, vectors without structure need most."""
+    if parts == 1 or not len(unseen):
+        return parts
+    k = min(AIM, len(x))
+    near = np.argpartition(-(unseen @ x.T), k - 1, axis=1)[:, :k]
+    home = np.argmax(router.logits(x), axis=1)
+    place = np.argsort(np.argsort(-router.logits(unseen), axis=1, kind="stable"), axis=1)
+    reached = np.take_along_axis(place, home[near], axis=1)
+    share = [(reached < t).mean() for t in range(1, parts + 1)]
+    return int(np.searchsorted(share, recall)) + 1 if share[-1] >= recall else parts
+
+
 # ---- search -----------------------------------------------------------------------------------------
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -191,7 +205,8 @@ def _rerank(k: int):
 
 
 def search(vectors: DataFrame, queries: DataFrame, *, k: int = 20, key: str = "vec_id", vector: str = "embedding",
-           sample: int = SAMPLE, part_rows: int = PART_ROWS, probes: int = PROBES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+           sample: int = SAMPLE, part_rows: int = PART_ROWS, probes: int | None = None, recall: float = RECALL,
+           block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: for every row of ``queries`` the ``k`` nearest found rows of ``vectors``.
 
     Nearness is the inner product; a row with the query's own id is no candidate; ties go to the smaller id.  Rows
@@ -199,7 +214,8 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 20, key: str = "v
     that of most vectors take no part.  Repeated (id, vector) rows count once; empty tables give no rows.
 
     Fitted on at most ``sample`` vectors (those whose ids hash lowest); every vector is indexed.  A query goes to
-    ``probes`` parts, and on to further ones until they hold more than ``k`` rows.  A part larger than
+    ``probes`` parts (by default as many as an eighth of the sample, kept out of the fit, needs for ``recall``), and
+    on to further ones until they hold more than ``k`` rows.  A part larger than
     ``block_rows`` is searched in blocks by several tasks, whose best rows are merged.
     """
     spark = vectors.sparkSession
@@ -219,10 +235,13 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 20, key: str = "v
     asked = clean(queries).where(F.size("v") == common["d"]).dropDuplicates(["id", "v"])
     picked = hash_sample(whole, "id", sample).collect()  # bounded by ``sample``
     x = np.unique(np.array([r["v"] for r in picked]), axis=0)
+    x = x[np.random.default_rng(1).permutation(len(x))]
+    x, unseen = x[len(x) // 8:], x[:len(x) // 8]
     parts = max(1, len(x) // part_rows)
     graph = neighbour_graph(x)
-    part = balanced_parts(x, graph, parts)
-    router = spark.sparkContext.broadcast(fit_router(x, graph, part, parts))
+    fitted = fit_router(x, graph, balanced_parts(x, graph, parts), parts)
+    probes = min(parts, probes or probes_for(fitted, x, unseen, parts, recall))
+    router = spark.sparkContext.broadcast(fitted)
 
     indexed = cut_lineage(whole.mapInArrow(_assign(router, 1), "id long, v array<double>, parts array<int>")
                           .select("id", "v", F.element_at("parts", 1).alias("part")), "ann-index")

@@ -40,7 +40,7 @@ def test_recall_and_exact_scores(spark):
     vectors = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
     asked = vectors.where("vec_id % 60 = 0")
     got = {}
-    for r in ann.search(vectors, asked, k=20, sample=4000, part_rows=200, probes=6, block_rows=300).collect():
+    for r in ann.search(vectors, asked, k=20, sample=4000, part_rows=200, block_rows=300).collect():
         got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
     hit = 0
     for q in range(0, 6000, 20):
@@ -80,6 +80,18 @@ def test_neighbour_query(spark):
     assert set(got) == set(want) and sum(len(got[q] & want[q]) for q in want) / sum(map(len, want.values())) >= 0.9
 
 
+def test_probes_follow_the_structure():
+    rng = np.random.default_rng(4)
+    loose, tight = rng.normal(size=(2400, 48)), clusters(rng, 2400)
+    need = []
+    for x in (loose, tight):
+        fit, unseen = x[300:], x[:300]
+        graph = ann.neighbour_graph(fit)
+        router = ann.fit_router(fit, graph, ann.balanced_parts(fit, graph, 10), 10)
+        need.append(ann.probes_for(router, fit, unseen, 10, 0.95))
+    assert need[1] <= 4 < need[0]
+
+
 def test_parts_are_balanced():
     rng = np.random.default_rng(2)
     x = clusters(rng, 2000)
