@@ -24,13 +24,14 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import cut_lineage, int64_bits, row_key, sorted_groups
 from strandline.operators.graph import connected_components
+from strandline.operators.skew import lookup_join
 
 BITS = 64
 SEED = 42
 STEP = 1 << 20            # bytes of a text that are split into words at once
 LEAF = 24                 # a node with fewer points below it is a bucket that is scanned
 BLOCK_ROWS = 4096         # fingerprints of one shard in one block
-SHARD_MEAN = 256          # wanted mean of unrelated fingerprints in a shard
+SHARD_MEAN = 1024         # unrelated fingerprints of a shard: a tree of so many is cheaper than more and smaller shards
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -191,8 +192,10 @@ def components(prints: DataFrame, order: Column, radius: int = 4) -> DataFrame:
     joined = connected_components(cut_lineage(links(groups.select("fp"), radius), "simhash-links"))
     named = groups.join(joined.withColumnRenamed("node", "fp"), "fp", "left") \
         .select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_print = named.select("fp", "component").join(least, "component").select("fp", "component_id")
+    named = cut_lineage(named, "simhash-named")
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    by_print = lookup_join(named.select("fp", "component"), cut_lineage(least, "simhash-components"), ["component"], count_col="n") \
+        .select("fp", "component_id")
     return prints.join(by_print, "fp")
 
 
