@@ -128,3 +128,27 @@ def test_empty_inputs(spark):
     assert dedupe.dedupe_exact(df)[0].count() == 0 and dedupe.dedupe_near_title(df)[0].count() == 0
     assert graph.cluster_records(df, F.lit(1)).count() == 0
     assert graph.summarize_clusters(graph.cluster_records(df, F.lit(1))).first().largest_cluster == 0
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_hot_join_equals_a_plain_join(spark, how):
+    """One key holds half of the rows, some keys are missing, some are unknown."""
+    from strandline.operators.skew import hot_join
+    rows = spark.range(2000).select("id", F.when(F.col("id") % 2 == 0, F.lit(7)).when(F.col("id") % 11 != 0, F.col("id") % 90).alias("k"))
+    per_key = spark.range(60).select(F.col("id").alias("k"), (F.col("id") * 3).alias("v"))
+    got = hot_join(rows, per_key, ["k"], how=how, hot_rows=100)
+    assert sorted(map(repr, got.select(*sorted(got.columns)).collect())) == \
+        sorted(map(repr, (p := rows.join(per_key, ["k"], how)).select(*sorted(p.columns)).collect()))
+
+
+def test_a_word_in_all_titles_stays_within_the_budget(spark):
+    """Keys that every set shares are dealt to blocks: no joined key holds more than two blocks of sets."""
+    keys = spark.range(1000).select(F.sha2(F.col("id").cast("string"), 256).alias("set_id"), F.lit(0).alias("block"), F.lit("same word").alias("key"), F.lit(0).alias("pos"))
+    dealt = similarity._in_blocks(keys, 100)
+    sizes = [r["count"] for r in dealt.groupBy("block", "key", "p", "q").count().collect()]
+    assert len(sizes) == 55 and max(sizes) <= 2 * 150
+    titles = [f"common shared w{i} x{i // 2} y{i // 3}" for i in range(120)]
+    df = spark.createDataFrame([(i, t.split()) for i, t in enumerate(titles)], "set_id long, tokens array<string>")
+    got = {(r["set_a"], r["set_b"]) for r in similarity.similar_sets(df, [], threshold=0.35, hot_rows=15).collect()}
+    sets = [set(t.split()) for t in titles]
+    assert got == {(a, b) for a in range(120) for b in range(a + 1, 120) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.35}
