@@ -138,7 +138,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text:
                          lambda z: F.struct(z["item_slots"]["value"].alias("i"), z["slots"]["value"].alias("d")))
     # One diagonal holds each window of the item at most once, so its lists are bounded by the item.
     lines = met.groupBy(*doc, "item", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(
-        F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_list(filled))).alias("pairs"))
+        F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_set(filled))).alias("pairs"))
     one_way = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"])))
     back = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["d"])))
     same = F.forall("pairs", lambda p: p["i"] == p["d"])
