@@ -259,25 +259,26 @@ def _card(df: DataFrame, with_summary: bool, title_chars: int = TITLE_CHARS) ->
         F.array(F.lit("trend_support")).alias("best_used_for")).cast(CARD_TYPE)
 
 
-def evidence_card(df: DataFrame, landed: str | None = None) -> DataFrame:
+def evidence_card(df: DataFrame, landed: str | None = None, *, limits: dict[str, int] | None = None) -> DataFrame:
     """Card for relevant or prioritised rows, null for the rest.  ``landed`` names a column of card
-    JSON produced elsewhere; it is validated and preferred."""
+    JSON produced elsewhere; it is validated (``limits`` may cap its lists by name) and preferred."""
     priority = F.col("feed_priority") if "feed_priority" in df.columns else F.lit(None).cast("string")
     wanted = F.coalesce(F.col("operational_relevance").isin("very_high", "high"), F.lit(False)) \
         | F.coalesce(priority.isin("must_read", "high"), F.lit(False))
     card = _card(df, True)
     if landed is not None:
-        card = F.coalesce(validate_card(F.col(landed)), card)
+        card = F.coalesce(validate_card(F.col(landed), limits=limits), card)
     return df.withColumn("evidence_card", F.when(wanted, card))
 
 
-def validate_card(raw: Column) -> Column:
-    """Landed card JSON with whole lists; null when it does not parse."""
+def validate_card(raw: Column, *, limits: dict[str, int] | None = None) -> Column:
+    """Landed card JSON; null when it does not parse.  Lists are whole unless ``limits`` caps them by name."""
+    most = (limits or {}).get
     r = F.from_json(raw, CARD_TYPE)
     empty = F.array().cast("array<string>")
-    used = F.filter(F.coalesce(r["best_used_for"], empty), lambda v: v.isin(vocab.BEST_USED_FOR))
+    used = rules.first_items(F.filter(F.coalesce(r["best_used_for"], empty), lambda v: v.isin(vocab.BEST_USED_FOR)), most("best_used_for"))
     text = lambda n: F.coalesce(r[n], F.lit(""))
-    whole = lambda n: F.coalesce(r[n], empty).alias(n)
+    whole = lambda n: rules.first_items(F.coalesce(r[n], empty), most(n)).alias(n)
     card = F.struct(
         text("evidence_card_title").alias("evidence_card_title"), text("short_summary").alias("short_summary"),
         whole("key_facts"), whole("numbers_statistics"), whole("attack_flow"), whole("impacts"),

@@ -61,7 +61,8 @@ def test_landed_card(spark):
     rows = spark.createDataFrame([("high", good), ("high", "broken"), ("low", good)], "operational_relevance string, raw string").withColumns({
         "title": F.lit("My title"), "source_summary": F.lit("sum"), "main_claims": F.array(F.lit("c")), "important_numbers": F.array().cast("array<string>")})
     got = [r.evidence_card for r in score.evidence_card(rows, "raw").collect()]
-    assert got[0].evidence_card_title == "T" and len(got[0].key_facts) == 5 and got[0].best_used_for == ["case_study"]
+    assert got[0].evidence_card_title == "T" and len(got[0].key_facts) == 6 and got[0].best_used_for == ["case_study"]
+    assert len(score.evidence_card(rows, "raw", limits={"key_facts": 5}).first().evidence_card.key_facts) == 5
     assert got[1].evidence_card_title == "My title" and got[1].best_used_for == ["trend_support"]
     assert got[2] is None
 
