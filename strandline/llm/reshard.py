@@ -2,14 +2,15 @@
 
 Old shards (a folder of files by shard and file number) get new capacities.  A minimum-cost flow from old
 shards to new ones, where staying is free, says how many bytes to transfer from which shard to which, so the
-fewest bytes move.  A transfer is filled with whole files and then with blocks of one more file (a block holds
-a few rows); only files that lose blocks are rewritten, all others stay as they lie.
+fewest bytes move.  A transfer is filled with whole files and then with blocks of as many more files as it takes
+(a block holds a few rows); only files that lose blocks are rewritten, all others stay as they lie.
 
 The solver sees at most (shards x FILES x BLOCKS) block sizes, whatever the number of rows.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,16 +73,18 @@ def choose_blocks(sizes: dict[tuple[int, int, int], int], flow: list[list[int]],
     """The new shard of every block (old shard, file, block) that moves.
 
     Each transfer takes the largest whole file that still fits, again and again, then the largest blocks that
-    fit.  What rounding leaves over is evened out by moving single blocks between the fullest and the emptiest
-    shard, as long as that brings the two closer."""
+    fit, first of files that have lost some already, then of the smallest whole ones, until less than a block is
+    left.  What rounding leaves over is evened out by moving single blocks from the fullest shard that has one
+    small enough to the emptiest shard, until no such move brings the two closer."""
     files: dict[tuple[int, int], int] = defaultdict(int)
     by_file: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
-    for b in sorted(sizes):
+    for b in sorted(sizes, key=lambda b: (-sizes[b], b)):
         files[b[:2]] += sizes[b]
         by_file[b[:2]].append(b)
     moves: dict[tuple[int, int, int], int] = {}
     for i, row in enumerate(flow):
         whole = sorted((f for f in files if f[0] == i), key=lambda f: (-files[f], f))
+        drained: list[tuple[int, int]] = []
         for j, amount in enumerate(row):
             if i == j or amount <= 0:
                 continue
@@ -90,27 +93,44 @@ def choose_blocks(sizes: dict[tuple[int, int, int], int], flow: list[list[int]],
                     amount -= files[f]
                     moves |= {b: j for b in by_file[f]}
                     whole.remove(f)
-            for f in whole[-1:]:  # one file gives up single blocks
-                for b in sorted(by_file[f], key=lambda b: (-sizes[b], b)):
-                    if b not in moves and sizes[b] <= amount:
-                        amount -= sizes[b]
-                        moves[b] = j
-    held: list[dict[tuple[int, int, int], int]] = [{} for _ in capacity]
+            for f in drained + whole[::-1]:
+                stay = []
+                # A whole file is only broken up for a block of the usual size; less is left to the evening below.
+                if f in drained or amount * len(by_file[f]) >= files[f]:
+                    for b in by_file[f]:
+                        if sizes[b] <= amount:
+                            amount -= sizes[b]
+                            files[f] -= sizes[b]
+                            moves[b] = j
+                        else:
+                            stay.append(b)
+                    if len(stay) < len(by_file[f]) and f in whole:
+                        whole.remove(f)
+                        drained.append(f)
+                    by_file[f] = stay
+    held: list[list[tuple[int, tuple[int, int, int]]]] = [[] for _ in capacity]
     load = [0] * len(capacity)
     for b, s in sizes.items():
         at = moves.get(b, b[0])
-        held[at][b] = s
+        held[at].append((s, b))
         load[at] += s
-    for _ in range(64 * len(capacity)):
-        over = max(range(len(load)), key=lambda k: (load[k] - capacity[k], -k))
-        under = min(range(len(load)), key=lambda k: (load[k] - capacity[k], k))
-        gap = (load[over] - capacity[over]) - (load[under] - capacity[under])
-        best = min(((abs(gap - 2 * s), b) for b, s in held[over].items() if 0 < s < gap), default=None)
-        if best is None:
+    for blocks in held:
+        blocks.sort()
+    # Every move lowers the sum of the squared differences, so the loop ends.
+    while True:
+        order = sorted(range(len(load)), key=lambda k: (capacity[k] - load[k], k))
+        under = order[-1]
+        for over in order[:-1]:
+            gap = (load[over] - capacity[over]) - (load[under] - capacity[under])
+            half = bisect_left(held[over], (gap / 2,))
+            near = [(abs(gap - 2 * s), b, s) for s, b in held[over][max(half - 1, 0):half + 1] if 0 < s < gap]
+            if near:
+                break
+        else:
             break
-        b = best[1]
-        s = held[over].pop(b)
-        held[under][b] = s
+        _, b, s = min(near)
+        held[over].remove((s, b))
+        insort(held[under], (s, b))
         load[over] -= s
         load[under] += s
         if under == b[0]:

@@ -234,6 +234,15 @@ def test_half_of_all_rows_equal(spark):
     assert reshard.reshard_by_bytes(df.limit(0)).count() == 0
 
 
+def test_third_of_many_rows_equal(spark):
+    from pyspark.sql import functions as F
+    n = 200_000
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("x" * 20)).otherwise(F.lpad("id", 20, "y")).alias("text"))
+    load = {r["shard"]: r["bytes"] for r in reshard.reshard_by_bytes(df).groupBy("shard").agg(F.sum("size").alias("bytes")).collect()}
+    assert len(load) == 16 and sum(load.values()) == n * 21
+    assert max(load.values()) - min(load.values()) <= 0.01 * n * 21 / 16
+
+
 def test_only_affected_files_are_rewritten(spark):
     from pyspark.sql import functions as F
     docs = spark.range(2000).select(F.col("id").alias("key"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
