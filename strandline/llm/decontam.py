@@ -5,6 +5,10 @@ same question with other values have one template.  Windows of template tokens a
 stood in the placeholders (the slots) is carried along, and windows that lie on one diagonal of a
 document and an item count only if their slots are filled consistently: one value of the item is one
 value in the document and the other way round.
+
+Items that templates cannot hold (mostly placeholders, or so short that one window decides) are searched for
+as they stand, too: windows of their lower-cased words go through the same join, without slots.  Each Chinese
+or Japanese character is a word.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from strandline.llm import words as wd
 from strandline.llm.common import bit_test, cut_lineage, hash_bitmap, row_key
 
 WINDOW = 8                # template tokens of a window
-LEAST_WORDS = 5           # items with fewer words take no part
+LEAST_WORDS = 5           # items with fewer words have no template and are only searched for as they stand
 LEAST_LITERALS = 0.5      # share of a window's tokens that are words, not placeholders
 COVERAGE = 0.5            # share of an item's windows that a document must hold
 FILTER_BITS = 24          # bitmap of benchmark windows: 2 MB, whatever the benchmark holds
@@ -62,6 +66,18 @@ def windows(w: wd.Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return at, wd.mix(h[at]), slot
 
 
+def exact_windows(w: wd.Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, hash) of every window of ``size`` lower-cased words inside one text."""
+    n = len(w) - size + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+    h = np.full(n, 1000 + size, dtype=np.uint64)
+    for k in range(size):
+        h = h * np.uint64(0xD6E8FEB86659FD93) + w.hash[k:k + n]
+    at = np.flatnonzero(w.doc[:n] == w.doc[size - 1:])
+    return at, wd.mix(h[at])
+
+
 SLOTS = pa.list_(pa.struct([("at", pa.int32()), ("value", pa.int64())]))
 SCHEMA = "id long, text_a long, text_b long, pos long, size int, h long, slots array<struct<at:int,value:long>>"
 
@@ -76,19 +92,31 @@ def _emit(keys: list[pa.Array], w: wd.Words, base: np.ndarray, size: int, at: np
         ["id", "text_a", "text_b", "pos", "size", "h", "slots"])
 
 
-def _item_windows(size: int):
-    """Windows of the items; an item shorter than ``size`` is one window of its own length."""
+def _item_windows(size: int, coverage: float):
+    """Windows of the items; an item shorter than ``size`` is one window of its own length.  Exact windows have the
+    negative size; they are given to items whose template windows, without the first (its first word may be a name
+    elsewhere), do not reach ``coverage``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            w = wd.scan(batch.column(3).to_pylist())
+            w = wd.scan(batch.column(3).to_pylist(), unspaced=True)
             runs = w.runs(batch.num_rows)
             count = np.diff(runs)
+            kept, later = np.zeros(batch.num_rows, dtype=np.int64), np.zeros(batch.num_rows, dtype=np.int64)
             keys = [batch.column(i) for i in range(3)]
             for length in sorted({size} | {int(c) for c in count if LEAST_WORDS <= c < size}):
                 at, h, slot = windows(w, length)
                 mine = count[w.doc[at]]
                 keep = mine >= size if length == size else mine == length
-                yield _emit(keys, w, runs[:-1], length, at[keep], h[keep], slot)
+                at, h = at[keep], h[keep]
+                np.add.at(kept, w.doc[at], 1)
+                np.add.at(later, w.doc[at[at > runs[w.doc[at]]]], 1)
+                yield _emit(keys, w, runs[:-1], length, at, h, slot)
+            few = (count > 0) & ((kept == 0) | (later < coverage * kept))
+            none = np.zeros(len(w), dtype=bool)
+            for length in sorted({min(int(c), size) for c in count[few]}):
+                at, h = exact_windows(w, length)
+                keep = few[w.doc[at]] & (np.minimum(count[w.doc[at]], size) == length)
+                yield _emit(keys, w, runs[:-1], -length, at[keep], h[keep], none)
     return run
 
 
@@ -98,12 +126,17 @@ def _hits(bitmap, sizes: list[int]):
             texts = batch.column(3).to_pylist()
             for first in range(0, len(texts), 256):
                 part = batch.slice(first, 256)
-                w = wd.scan(texts[first:first + 256])
+                w = wd.scan(texts[first:first + 256], unspaced=True)
                 runs = w.runs(part.num_rows)
                 keys = [part.column(i) for i in range(3)]
                 for size in sizes:
-                    at, h, slot = windows(w, size)
+                    at, h, slot = windows(w, size) if size > 0 else (*exact_windows(w, -size), np.zeros(len(w), dtype=bool))
                     hit = bit_test(bitmap.value, FILTER_BITS, h)
+                    if size < 0 and hit.any():  # without slots, one occurrence of a window says all
+                        some = np.flatnonzero(hit)
+                        _, once = np.unique(np.stack([w.doc[at[some]].astype(np.uint64), h[some]]), axis=1, return_index=True)
+                        hit = np.zeros(len(hit), dtype=bool)
+                        hit[some[once]] = True
                     if hit.any():
                         yield _emit(keys, w, runs[:-1], size, at[hit], h[hit], slot)
     return run
@@ -121,16 +154,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text:
     n_windows (of the item), matched (of these, in the document), coverage and kind.
 
     kind is ``verbatim`` if every slot holds the item's own value, else ``reparameterised``.  Null and empty
-    texts match nothing; items of fewer than LEAST_WORDS words take no part; repeated rows of a document
-    (same key and text) give one row; equal items match alike.  Other columns are never read.
+    texts match nothing; items that are short or mostly numbers and names also match as they stand, whatever the
+    case (the better of the two counts); repeated rows of a document (same key and text) give one row; equal
+    items match alike.  Other columns are never read.
     """
     spark = docs.sparkSession
     items = cut_lineage(_keyed(benchmark, item_key, item_text).dropDuplicates(["id", "text_a", "text_b"])
-                        .mapInArrow(_item_windows(window), SCHEMA), "decontam-items")
-    sizes = [r["size"] for r in items.select("size").distinct().collect()]  # at most ``window`` values
+                        .mapInArrow(_item_windows(window, coverage), SCHEMA), "decontam-items")
+    sizes = [r["size"] for r in items.select("size").distinct().collect()]  # at most twice ``window`` values
     bitmap = spark.sparkContext.broadcast(hash_bitmap(items, "h", FILTER_BITS))
     hits = _keyed(docs, key, text).mapInArrow(_hits(bitmap, sizes), SCHEMA)
-    asked = items.select(F.struct("id", "text_a", "text_b").alias("item"), F.col("pos").alias("item_pos"), "size", "h",
+    asked = items.select(F.struct("id", "text_a", "text_b", (F.col("size") < 0).alias("exact")).alias("item"), F.col("pos").alias("item_pos"), "size", "h",
                          F.col("slots").alias("item_slots"))
     doc = ["id", "text_a", "text_b"]
     met = hits.join(asked, ["size", "h"])
@@ -147,9 +181,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text:
         .groupBy(*doc, "item").agg(F.count("*").alias("matched"), F.min("same").alias("same"))
     totals = asked.groupBy("item").agg(F.countDistinct("item_pos").alias("n_windows"))
     share = F.col("matched") / F.col("n_windows")
-    return found.join(totals, "item").where(share >= coverage).select(
-        *doc, F.col("item.id").alias("item_id"), "n_windows", "matched", share.alias("coverage"),
-        F.when(F.col("same"), "verbatim").otherwise("reparameterised").alias("kind"))
+    # An item found both by templates and as it stands is one row, of the better of the two.
+    best = F.max(F.struct(share.alias("share"), "same", (~F.col("item.exact")).alias("typed"), "n_windows", "matched")).alias("best")
+    return found.join(totals, "item").where(share >= coverage) \
+        .groupBy(*doc, F.col("item.id").alias("item_id"), F.col("item.text_a").alias("item_a"), F.col("item.text_b").alias("item_b")).agg(best).select(
+        *doc, "item_id", "best.n_windows", "best.matched", F.col("best.share").alias("coverage"),
+        F.when(F.col("best.same"), "verbatim").otherwise("reparameterised").alias("kind"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -61,10 +61,25 @@ class Words:
         return np.searchsorted(self.doc, np.arange(n_docs + 1))
 
 
-def _slab(part: np.ndarray) -> list[np.ndarray]:
+def _unspaced(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the characters of scripts written without spaces: those that begin with the bytes
+    E2 BA to E9 (CJK and kana), EF A4 to EF BF (compatibility and full-width forms) or F0 A0 to F0 B3 (rare ideographs)."""
+    after = np.concatenate([part[1:], np.zeros(1, dtype=np.uint8)])
+    three = ((part >= 0xE3) & (part <= 0xE9)) | ((part == 0xE2) & (after >= 0xBA)) | ((part == 0xEF) & (after >= 0xA4))
+    four = (part == 0xF0) & (after >= 0xA0) & (after <= 0xB3)
+    start = np.flatnonzero(three | four)
+    return start, np.minimum(start + np.where(four[start], 4, 3), len(part))
+
+
+def _slab(part: np.ndarray, unspaced: bool = False) -> list[np.ndarray]:
     word = _WORD[part]
     edge = np.diff(np.concatenate([[False], word, [False]]).astype(np.int8))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if unspaced:
+        a, b = _unspaced(part)
+        # A word ends where such a character starts, and another one starts behind it.
+        start, end = (np.union1d(start, np.concatenate([a, b[(b < len(part)) & word[np.minimum(b, len(part) - 1)]]])),
+                      np.union1d(end, np.concatenate([b, a[(a > 0) & word[a - 1]]])))
     low = _FOLD[part]
     lead = np.flatnonzero(part[:-1] == 0xC3) + 1
     c = part[lead]
@@ -83,7 +98,8 @@ def _slab(part: np.ndarray) -> list[np.ndarray]:
     return [start, end, h, number, capital, opens]
 
 
-def scan(texts: list[str | None]) -> Words:
+def scan(texts: list[str | None], *, unspaced: bool = False) -> Words:
+    """The words of ``texts``; with ``unspaced``, each Chinese or Japanese character is a word of its own."""
     parts = [(t or "").encode() for t in texts]
     data = b"\n".join(parts) + b"\n"
     sizes = np.array([len(p) + 1 for p in parts], dtype=np.int64)
@@ -102,7 +118,7 @@ def scan(texts: list[str | None]) -> Words:
             cut = at + int(gaps[-1]) + 1 if len(gaps) else to
             if to == len(raw):
                 break
-        found = _slab(raw[at:cut])
+        found = _slab(raw[at:cut], unspaced)
         found[0], found[1] = found[0] + at, found[1] + at
         out.append(found)
         at = cut

@@ -70,6 +70,24 @@ def test_verbatim_and_new_values(spark):
     assert [r["item_id"] for r in decontam.matches(short, items).collect()] == [104]
 
 
+def test_items_that_templates_cannot_hold(spark):
+    texts = {1: "Add 12 34 56 78 90 11 22 33 44 55", 2: "THE QUICK BROWN FOX JUMPS OVER ALL LAZY DOGS TODAY", 3: "Who wrote Hamlet?",
+             4: "世界上最高的山是什么山？", 5: "What is the capital of France?", 6: "日本で一番高い山は何ですか"}
+    items = spark.createDataFrame(list(texts.items()), "item_id long, text string")
+    rng = random.Random(8)
+    frames = ["{}", "Question: {}", "He said \"{}\" and left.", "前文，{}后文", prose(rng, 40) + " {} " + prose(rng, 40)]
+    docs = [(10 * i + k, f.format(t)) for i, t in texts.items() for k, f in enumerate(frames)]
+    docs += [(100, "Add 12 34 56 and nothing more"), (101, "Paris is the capital"), (102, "世界上最高的楼在哪里"), (103, "What is the old capital of the France of today")]
+    got = {(r["id"], r["item_id"]) for r in decontam.matches(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    # A Latin word that is written onto a Chinese one begins and ends there.
+    assert got == {(10 * i + k, i) for i in texts for k in range(len(frames))}
+
+
+def test_unspaced_words():
+    w = wd.scan(["ab中文é12 、x", "Été 𠀀z", "가나 다"], unspaced=True)
+    assert [w.data[s:e].decode() for s, e in zip(w.start, w.end)] == ["ab", "中", "文", "é12", "、", "x", "Été", "𠀀", "z", "가나", "다"]
+
+
 def test_query_finds_every_leak(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     items = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
