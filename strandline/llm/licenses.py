@@ -1,7 +1,7 @@
 """License scan by sentence rules.
 
-A text is cut into sentences; each is normalised (lower case, one space, plain quotes, no punctuation at
-its ends) and looked up among known licence sentences, which gives a sequence of sentence identifiers.
+A text is cut into sentences; each is normalised (lower case, one space, plain quotes, no comment marks before
+its lines, no punctuation at its ends) and looked up among known licence sentences, which gives a sequence of sentence identifiers.
 Ordered rules, longest first, consume runs of that sequence and name licences.  A sentence that speaks of a
 licence without being known is ``unknown``; one that a rule left over is reported by itself.
 """
@@ -60,7 +60,7 @@ SENTENCES: list[tuple[str, str]] = [
 # Ordered rules, (licence, the sentence identifiers in a row that establish it); ? marks an optional one.
 RULES: list[tuple[str, list[str]]] = [
     ("Apache-2.0", ["apache2-ref", "apache2-limit", "apache2-copy", "apache2-warranty"]),
-    ("GPL-3.0-or-later", ["gpl-free", "gpl-hope", "gpl-copy?"]),
+    ("GPL", ["gpl-free", "gpl-hope", "gpl-copy?"]),  # the version is read from the sentence
     ("BSD-3-Clause", ["bsd-head", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-warranty?"]),
     ("BSD-2-Clause", ["bsd-head", "bsd-source", "bsd-binary", "bsd-warranty?"]),
     ("MIT", ["mit-grant", "mit-notice", "mit-warranty?", "mit-liability?"]),
@@ -92,33 +92,51 @@ CUE = re.compile(r"licen[sc]|copyright|©|\(c\)|rights|permission|warrant|redist
 ABOUT = re.compile(r"\blicen[sc]e[ds]?\b|\blicensing\b|\bcopyright(?:ed)?\b")
 _END = re.compile(r"(?<=[.!?:;])\s+(?=[\"'(*A-Z0-9])|\n")
 _KNOWN = [(name, re.compile(p, re.S)) for name, p in SENTENCES]
+_MARKS = re.compile(r"^[ \t]*(?:(?:#+|//+|/\*+|\*+/?|--+|;+|%+|<!--+|\brem\b)[ \t]*)+", re.M)
+# First words of known sentences whose cue may be on a later line.
+_OPENS = re.compile(r"in no event|neither the name|you may|you should have|unless required|this (?:program|software|source code)")
+# Sentences with a free end, which is taken in up to the full stop.
+_OPEN_END = re.compile(r".*-(?:grant|notice|warranty|liability|copy|hope|free|source|binary|endorse)")
+_GPL_VERSION = re.compile(r"version (\d)")
+# No sentence that runs over lines is longer: copyright lines and SPDX tags, which may be, stand on one line.
+WIDEST = 1000
 
 
 def normalise(sentence: str) -> str:
     s = sentence.lower().replace("“", '"').replace("”", '"').replace("’", "'").replace("`", "'")
-    return " ".join(s.split()).strip(" .,;:!#/-*")
+    return " ".join(_MARKS.sub("", s).split()).strip(" .,;:!#/-*")
+
+
+def _new_paragraph(text: str, before: int, start: int, end: int) -> bool:
+    """Is there a blank line between the fragments that begin at ``before`` and at ``start``, or is the second one a blank
+    line but for comment marks?"""
+    first = text[before:start]
+    return (first[len(first.rstrip()):].count("\n") > 1
+            or (text[end - 1] == "\n" and not normalise(text[text.rfind("\n", 0, start) + 1:end])))
 
 
 def sentence_ids(text: str) -> list[tuple[str, str, int, int]]:
     """(identifier, version, start, end) of the licence sentences of ``text``, in order; unknown ones included.
 
     A licence may run over a line end, so where one line is not known by itself it is tried with the lines after
-    it, up to the end of its paragraph."""
+    it, up to the end of its paragraph (a blank line, or one with comment marks only)."""
     out: list[tuple[str, str, int, int]] = []
     marks = [0, *(m.end() for m in _END.finditer(text)), len(text)]
     parts = [(s, e) for s, e in zip(marks, marks[1:]) if e > s]
     k = 0
     while k < len(parts):
         start, end = parts[k]
-        if not CUE.search(text, start, end):
+        if not CUE.search(text, start, end) and not _OPENS.match(normalise(text[start:end])):
             k += 1
             continue
         best = None
-        for reach in range(k, min(k + 8, len(parts))):
+        for reach in range(k, len(parts)):
             stop = parts[reach][1]
-            if reach > k and text[parts[reach - 1][1] - 2:parts[reach - 1][1]] == "\n\n":
+            if reach > k and _new_paragraph(text, parts[reach - 1][0], *parts[reach]):
                 break
             body = normalise(text[start:stop])
+            if reach > k and len(body) > WIDEST:
+                break
             name = next(((n, m) for n, p in _KNOWN if (m := p.fullmatch(body))), None)
             if name and (best is None or best[0][0] == "copyright"):
                 best = (name, reach, stop)
@@ -132,7 +150,16 @@ def sentence_ids(text: str) -> list[tuple[str, str, int, int]]:
             k += 1
             continue
         (name, m), reach, stop = best
-        out.append((name, (m.groupdict().get("version") or ""), start, stop))
+        while _OPEN_END.fullmatch(name) and reach + 1 < len(parts) and not text[start:stop].rstrip(" \t\r\n*/#\"'").endswith((".", "!", "?")):
+            after = parts[reach + 1]
+            longer = m.re.fullmatch(normalise(text[start:after[1]]))
+            if longer is None or _new_paragraph(text, parts[reach][0], *after):
+                break
+            m, reach, stop = longer, reach + 1, after[1]
+        version = m.groupdict().get("version") or ""
+        if name == "gpl-free" and (found := _GPL_VERSION.search(m.string)):
+            version = f"{found[1]}.0-or-later" if "later version" in m.string else f"{found[1]}.0-only"
+        out.append((name, version, start, stop))
         k = reach + 1
     return out
 

@@ -170,6 +170,67 @@ def test_rules(text, want):
     assert all(0 <= s < e <= len(text) for _, s, e in found)
 
 
+HEADERS = {
+    "MIT": """Permission is hereby granted, free of charge, to any person
+obtaining a copy of this software and associated documentation
+files (the "Software"), to deal in the Software without
+restriction, including without limitation the rights to use, copy,
+modify, merge, publish, distribute, sublicense, and/or sell copies
+of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be
+included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND,
+EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM.""",
+    "ISC": """Permission to
+use, copy,
+modify,
+and/or
+distribute
+this software
+for any
+purpose with
+or without
+fee is hereby granted, provided that the notice appears in all copies.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or
+without modification, are permitted provided that the following
+conditions are met:
+1. Redistributions of source code must retain the above
+   copyright notice, this list of conditions.
+2. Redistributions in binary form must reproduce the above
+   copyright notice, this list of conditions.
+3. Neither the name of the holder nor the names of its
+   contributors may be used to endorse or promote products
+   derived from this software.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with
+the License.
+You may obtain a copy of the License at http://example.org/LICENSE
+
+Unless required by applicable law or agreed to in writing,
+software distributed under the License is distributed on an
+"AS IS" BASIS.""",
+} | {f"GPL-{v}.0-{kind}": f"""This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; {text}
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY.""" for v in (2, 3) for kind, text in (("or-later", f"either version {v} of the License, or\n(at your option) any later version."), ("only", f"version {v} of the License."))}
+
+
+@pytest.mark.parametrize("mark", ["", "# ", "// ", " * ", "-- ", ";; "])
+@pytest.mark.parametrize("name", HEADERS)
+def test_commented_headers(name, mark):
+    lines = [(mark + line).rstrip() for line in HEADERS[name].split("\n")]
+    lines = ["/*", *lines, " */"] if mark == " * " else lines
+    found = licenses.apply_rules(licenses.sentence_ids("\n".join(lines) + "\n\nint x;\n"))
+    assert [f[0] for f in found] == [name]
+
+
 def test_license_query(spark):
     lines = {"CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.", "MIT": "Released under the MIT License.", "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
              "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.", "all-rights-reserved": "All rights reserved."}
