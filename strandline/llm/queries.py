@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import ann, bpe, decontam, licenses, linededup, negatives, pii, quality, reshard, simhash, warc
-from strandline.llm.common import table
+from strandline.llm import ann, bpe, decontam, licenses, linededup, negatives, pii, prefixtrie, quality, reshard, simhash, warc
+from strandline.llm.common import cut_lineage, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -115,3 +115,40 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     ints = rows.select("vec_id", moved.alias("label"), negatives.quantised("embedding").alias("embedding"))
     return negatives.mine(ints, F.col("vec_id") % 100 == 0)
+
+
+@query("op12_prefix_trie", """
+WITH t AS (
+    SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p, coalesce(role, '') AS r, coalesce(text, '') AS x
+    FROM conversations WHERE conv_id IS NOT NULL),
+k AS (
+    SELECT c, count(*) AS n, c - c % 20 AS base,
+           (xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(list_transform(string_split(c::VARCHAR, ''), lambda s: ascii(s)::BIGINT), lambda b: [b, -1, -1, -1, -1, -1, -1, -1, -1]))),
+                            lambda a, v: CASE WHEN v >= 0 THEN xor(a, v) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295::BIGINT) % 4)::BIGINT AS h
+    FROM t GROUP BY c),
+m AS (SELECT k.c, k.base, k.h, least(k.h, coalesce(b.n, 0)) AS m FROM k LEFT JOIN k b ON b.c = k.base),
+s AS (
+    SELECT m.c, t.p, t.r, t.x FROM m JOIN t ON t.c = m.base AND t.p <= m.m
+    UNION ALL SELECT m.c, t.p - m.h + m.m, t.r, t.x FROM m JOIN t ON t.c = m.c AND t.p > m.h),
+d AS (
+    SELECT c, p, len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) AS w,
+           sha256(string_agg(len(r) || ':' || r || len(x) || ':' || x, '') OVER (PARTITION BY c ORDER BY p)) AS k FROM s
+    UNION ALL SELECT c, 0, 0, '' FROM k),
+node AS (SELECT p, k, min(c) AS c, count(*) AS n, any_value(w) AS w FROM d GROUP BY p, k),
+up AS (SELECT DISTINCT d.p, d.k, e.k AS pk FROM d JOIN d e ON e.c = d.c AND e.p = d.p - 1),
+kids AS (SELECT p - 1 AS p, pk AS k, count(*) AS n FROM up GROUP BY ALL),
+pair AS (SELECT DISTINCT d.p, d.k, e.p AS ep, e.k AS ek FROM d JOIN d e ON e.c = d.c AND e.p >= d.p),
+sums AS (
+    SELECT pair.p, pair.k, count(*) FILTER (WHERE kids.n IS NULL) AS n_leaves, sum((y.n - 1) * y.w) AS saved
+    FROM pair JOIN node y ON y.p = pair.ep AND y.k = pair.ek LEFT JOIN kids ON kids.p = y.p AND kids.k = y.k GROUP BY ALL),
+ends AS (
+    SELECT p, k, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS e FROM (SELECT * FROM d QUALIFY p = max(p) OVER (PARTITION BY c)) GROUP BY p, k)
+SELECT x.c AS conv_id, x.p::BIGINT AS depth, y.c AS parent_conv_id, x.n::BIGINT AS n_convs, coalesce(kids.n, 0)::BIGINT AS n_children, sums.n_leaves::BIGINT AS n_leaves,
+       sums.saved::BIGINT AS saved_tokens, coalesce(ends.e, sha256('')) AS ends_sha256
+FROM node x JOIN sums USING (p, k) LEFT JOIN kids USING (p, k) LEFT JOIN ends USING (p, k)
+     LEFT JOIN up USING (p, k) LEFT JOIN node y ON y.p = x.p - 1 AND y.k = up.pk
+""")
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = cut_lineage(prefixtrie.numbered_turns(table(spark, sf_dir, "conversations")), "trie-turns")
+    rebuilt, convs = prefixtrie.spliced(turns)
+    return prefixtrie.trie(cut_lineage(rebuilt, "trie-rebuilt"), convs)
