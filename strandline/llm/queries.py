@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import ann, bpe, decontam, licenses, linededup, negatives, pii, prefixtrie, quality, reshard, simhash, warc
+from strandline.llm import ann, bpe, chatformat, decontam, licenses, linededup, negatives, pii, prefixtrie, quality, reshard, simhash, warc
 from strandline.llm.common import cut_lineage, table
 
 QUERIES: dict = {}
@@ -152,3 +152,32 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = cut_lineage(prefixtrie.numbered_turns(table(spark, sf_dir, "conversations")), "trie-turns")
     rebuilt, convs = prefixtrie.spliced(turns)
     return prefixtrie.trie(cut_lineage(rebuilt, "trie-rebuilt"), convs)
+
+
+def _formatted_chars() -> str:
+    """SQL for the length of one formatted turn of role r and text x: marks, placeholders and escapes."""
+    escapes = "len(regexp_extract_all({}, '" + chatformat.CONTROL + "'))"
+    plain = f"regexp_replace(x, '{chatformat.MARKUP}', chr(1), 'g')"
+    places = " + ".join(f"{len(kind) + 3} * len(regexp_extract_all(x, '{chatformat.markup(ends)}'))" for kind, ends in chatformat.ENDINGS.items())
+    any_place = f"len(regexp_extract_all(x, '{chatformat.MARKUP}'))"
+    return f"23 + length(r) + {escapes.format('r')} + length({plain}) - {any_place} + {places} + {escapes.format(plain)}"
+
+
+@query("op13_chat_format", f"""
+WITH t AS (
+    SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY turn NULLS FIRST, r, x)) AS turns_sha256,
+       coalesce(sum(length(x)) FILTER (WHERE r = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(x, '' ORDER BY turn NULLS FIRST, r, x) FILTER (WHERE r = 'assistant'), '')) AS loss_sha256,
+       sum({_formatted_chars()})::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+""")
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.sql("SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)")
+    turns = said.unionByName(added).select("conv_id", "turn", "role", chatformat.text_parts(F.col("text")).alias("parts"))
+    back = chatformat.read_back(chatformat.format_chats(turns))
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"),
+                       F.sha2("loss_text", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
