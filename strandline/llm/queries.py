@@ -158,7 +158,7 @@ def _formatted_chars() -> str:
     """SQL for the length of one formatted turn of role r and text x: marks, placeholders and escapes."""
     escapes = "len(regexp_extract_all({}, '" + chatformat.CONTROL + "'))"
     plain = f"regexp_replace(x, '{chatformat.MARKUP}', chr(1), 'g')"
-    places = " + ".join(f"{len(kind) + 3} * len(regexp_extract_all(x, '{chatformat.markup(ends)}'))" for kind, ends in chatformat.ENDINGS.items())
+    places = " + ".join(f"{len(kind) + 4} * len(regexp_extract_all(x, '{chatformat.markup(ends)}'))" for kind, ends in chatformat.ENDINGS.items())
     any_place = f"len(regexp_extract_all(x, '{chatformat.MARKUP}'))"
     return f"23 + length(r) + {escapes.format('r')} + length({plain}) - {any_place} + {places} + {escapes.format(plain)}"
 
