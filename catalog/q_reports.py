@@ -12,7 +12,7 @@ from catalog.views import (AS_OF, FIXTURE_TYPES, as_of, claims, events, pick, se
                            table, tagged, understood)
 from strandline import vocab
 from strandline.functions import text, times
-from strandline.operators import aggregate, audit, dossier, joins, rank
+from strandline.operators import aggregate, audit, dossier, joins, phrases, rank
 from strandline.plans import analysis, charts
 
 OFF = sql_list(vocab.OFFENSIVE_CATEGORIES)
@@ -555,6 +555,25 @@ def _(spark, sf):
     return audit.audit_phrases(numbered(spark, sf), FILLER)
 
 
+# A table of phrases as large as the corpus: the third to fifth word of every document.
+@query("audit_phrases_table", """SELECT position, phrase FROM (SELECT position, lower(full_text) AS low FROM sources)
+  JOIN (SELECT DISTINCT array_to_string(list_slice(string_split(lower(text), ' '), 3, 5), ' ') AS phrase FROM documents) ON contains(low, phrase) WHERE phrase <> ''""", ["sources"])
+def _(spark, sf):
+    words = F.array_join(F.slice(F.split(F.lower("text"), " ", -1), 3, 3), " ")
+    wanted = table(spark, sf, "documents").select(words.alias("phrase")).where("phrase <> ''")
+    rows = sources(spark, sf).select("position", F.lower("full_text").alias("low"))
+    return phrases.contained_phrases(rows, wanted, keys=["position"], text="low")
+
+
+# Does a source hold the first word of a benchmark item, with the blank behind it?
+@query("phrase_match_table", """SELECT position, EXISTS (SELECT 1 FROM (SELECT DISTINCT lower(split_part(text, ' ', 1)) || ' ' AS phrase FROM benchmark) b WHERE contains(low, phrase)) AS hit
+  FROM (SELECT position, lower(full_text) AS low FROM sources)""", ["sources"])
+def _(spark, sf):
+    wanted = table(spark, sf, "benchmark").select(F.concat(F.lower(F.substring_index("text", " ", 1)), F.lit(" ")).alias("phrase"))
+    rows = sources(spark, sf).select("position", F.lower("full_text").alias("low"))
+    return phrases.any_phrase_of(rows, wanted, keys=["position"], text="low").select("position", "hit")
+
+
 @query("number_trace_join", r"""SELECT section_id, p AS number FROM (SELECT section_id, unnest(regexp_extract_all(text, '([0-9]+(?:\.[0-9]+)?)\s*%', 1)) AS p FROM texts WHERE field <> 'notes')
   WHERE p NOT IN (SELECT unnest(regexp_extract_all(' ' || lower(full_text || ' grew ' || (position % 97) || ' percent'), '[^0-9.]([0-9]+(?:\.[0-9]+)?)(?:%| %| percent)', 1)) FROM sources)""", ["texts", "sources"])
 def _(spark, sf):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandline import vocab
 from strandline.functions import text
 from strandline.functions.rules import lit_array
-from strandline.operators.joins import small_table
+from strandline.operators.phrases import contained_phrases
 from strandline.operators.skew import hot_join
 
 STRUCTURAL = ["title", "section_divider", "appendix"]
@@ -108,13 +108,15 @@ def audit_numbers(texts: DataFrame) -> DataFrame:
 def audit_phrases(texts: DataFrame, phrases: DataFrame | list[str] | None = None) -> DataFrame:
     """(section_id, field, phrase) for each filler phrase a field contains.
 
-    The phrases, a list or a small table, become a literal array: one narrow pass, no join.
+    A list of phrases becomes a literal array: one narrow pass, no join.  A table of phrases, of any size, is joined
+    through each phrase's rarest token.
     """
     phrases = vocab.FILLER_PHRASES if phrases is None else phrases
+    low = texts.withColumn("_low", F.lower("text"))
     if isinstance(phrases, DataFrame):
-        phrases = [r["phrase"] for r in small_table(phrases.select("phrase").distinct())]
+        return contained_phrases(low, phrases, keys=["section_id", "field"], text="_low")
     found = F.filter(lit_array(phrases), lambda p: F.contains(F.col("_low"), p))
-    return texts.withColumn("_low", F.lower("text")).select("section_id", "field", F.explode(found).alias("phrase"))
+    return low.select("section_id", "field", F.explode(found).alias("phrase"))
 
 
 def audit_all(parts: dict[str, DataFrame]) -> DataFrame:

@@ -7,30 +7,24 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.functions.rules import sql_lit
+from strandline.operators import phrases
 from strandline.operators.skew import HOT_ROWS, hot_join, lookup_join
 from strandline.runtime import cut_lineage
 
 
-def small_table(df: DataFrame, max_rows: int = 10_000) -> list:
-    """Rows of a rule table on the driver, after checking that it is small."""
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"a rule table is limited to {max_rows} rows")
-    return rows
+def first_rule(df: DataFrame, rule_table: DataFrame, text: Column, value: str, default: str, *, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """First rule (lowest rule_no, then match) of (rule_no, match, <value>) whose ``match`` occurs in ``text``.
 
-
-def first_rule(df: DataFrame, rule_table: DataFrame, text: Column, value: str, default: str) -> DataFrame:
-    """First rule (lowest rule_no) of (rule_no, match, <value>) whose ``match`` occurs in ``text``.
-
-    The rule table becomes a literal array, so this is a narrow expression over the rows
-    instead of a rows x rules join.
+    The distinct texts are joined with the rules through the rules' rarest tokens, so neither table has to be
+    small.  A null text, or one that no rule matches, gets ``default``.
     """
-    rules_ = sorted((r["rule_no"], r["match"], r[value]) for r in small_table(rule_table))
-    packed = F.expr("array(" + ", ".join(f"struct({sql_lit(m)} AS m, {sql_lit(v)} AS v)" for _n, m, v in rules_) + ")")
-    hit = F.filter(packed, lambda r: F.contains(F.col("_text"), r["m"]))
-    return (df.withColumn("_text", text).withColumn(value, F.coalesce(F.get(hit, F.lit(0))["v"], F.lit(default)))
-            .drop("_text"))
+    rows = df.withColumn("_text", text)
+    kinds = cut_lineage(rows.select("_text").where(F.col("_text").isNotNull()).distinct(), "rule-texts")
+    rules_ = rule_table.where(F.col("match").isNotNull()).groupBy("match").agg(F.min(F.struct("rule_no", "match", value)).alias("_rule"))
+    found = phrases.contained_phrases(kinds, rules_, keys=["_text"], text="_text", phrase="match", hot_rows=hot_rows)
+    first = hot_join(found.withColumnRenamed("phrase", "match"), rules_, ["match"], hot_rows=hot_rows).groupBy("_text").agg(F.min("_rule").alias("_rule"))
+    out = hot_join(rows, cut_lineage(first.select("_text", F.col("_rule")[value].alias("_value")), "rule-hits"), ["_text"], how="left", hot_rows=hot_rows)
+    return out.withColumn(value, F.coalesce("_value", F.lit(default))).drop("_text", "_value")
 
 
 def union_connectors(parts: dict[str, DataFrame], only: list[str] | None = None) -> DataFrame:
