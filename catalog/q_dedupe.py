@@ -9,6 +9,8 @@ from catalog.views import sources, sql_canonical_url, sql_list, sql_map, table
 from strandline import vocab
 from strandline.functions import text, urls
 from strandline.operators import dedupe, graph, similarity
+from strandline.runtime import cut_lineage, scratch_path
+from strandline.sources import sinks
 
 
 def hashed(spark, sf):
@@ -187,22 +189,36 @@ def clustered(spark, sf):
     return graph.cluster_records(dedupe.with_quality(sources(spark, sf)), F.col("quality_score"))
 
 
-@query("connected_components", "SELECT position, component FROM cl_nodes WHERE position IN (SELECT a FROM cl_edges)",
-       ["cl_nodes", "cl_edges"])
-def _(spark, sf):
-    """Components of the title graph; a node per record, numbered by the smallest position."""
+def title_links(spark, sf):
+    """Links of the title graph over positions: spanning links between titles, copies of one title in a star."""
     rows = graph.title_sets(sources(spark, sf)).select("position", "set_id", "tokens", "category")
     sets = rows.groupBy("set_id").agg(F.first("tokens").alias("tokens"), F.first("category").alias("category"),
                                       F.min("position").alias("low"), F.count("*").alias("n"))
-    pairs = similarity.similar_sets(sets.where(F.size("tokens") > 0), ["category"], threshold=0.35)
+    pairs = similarity.spanning_links(sets.where(F.size("tokens") > 0), ["category"], threshold=0.35)
     ids = sets.select(F.col("set_id").alias("set_a"), F.col("low").alias("a"))
     pairs = (pairs.join(ids, "set_a")
              .join(ids.withColumnsRenamed({"set_a": "set_b", "a": "b"}), "set_b").select("a", "b"))
-    # Copies of one title are linked to their first position: a star, not all pairs.
     copies = (rows.join(sets.where("n > 1").select("set_id", "low"), "set_id").where("position <> low")
               .select(F.col("position").alias("a"), F.col("low").alias("b")))
-    parts = graph.connected_components(pairs.unionByName(copies))
-    return parts.select(F.col("node").alias("position"), "component")
+    return pairs.unionByName(copies)
+
+
+@query("connected_components", "SELECT position, component FROM cl_nodes WHERE position IN (SELECT a FROM cl_edges)",
+       ["cl_nodes", "cl_edges"])
+def _(spark, sf):
+    """Components of the title graph; a node per record, numbered by the smallest position."""
+    return graph.connected_components(title_links(spark, sf)).select(F.col("node").alias("position"), "component")
+
+
+@query("components_by_batch", "SELECT position, component FROM cl_nodes WHERE position IN (SELECT a FROM cl_edges)",
+       ["cl_nodes", "cl_edges"])
+def _(spark, sf):
+    """The same graph, its links stored in three batches, the second one twice."""
+    links = cut_lineage(title_links(spark, sf), "title-links")
+    path = scratch_path(spark, "components")
+    for batch in (0, 1, 1, 2):
+        sinks.append_links(links.where(F.pmod(F.xxhash64("a", "b"), F.lit(3)) == batch), path, 16)
+    return spark.read.parquet(path).select(F.col("node").alias("position"), "component")
 
 
 @query("cluster_records", "SELECT * FROM clustered", ["clustered"])

@@ -16,6 +16,7 @@ from strandline.functions import text
 from strandline.operators import classify
 from strandline.runtime import scratch_path
 from strandline.sources import scans, sinks
+from strandline.sources.keyindex import KeyIndex, key_hash
 from strandline.streaming import ingest as streams
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss'Z'"
@@ -151,6 +152,19 @@ def _(spark, sf):
     return spark.read.parquet(path).select("id", "value")
 
 
+@query("sink_key_index", "SELECT id, position % 3 = 0 AS stored FROM sources", ["sources"])
+def _(spark, sf):
+    """A third of the keys is stored in two batches; the index then says of every key whether it is."""
+    path = scratch_path(spark, "indexed")
+    rows = valued(spark, sf)
+    for rest in (0, 3):
+        rows.where(F.col("position") % 6 == rest).select("id", "value").write.mode("append").parquet(path)
+    index = KeyIndex(spark, f"{path}_keys", path, ["id"])
+    index.catch_up()
+    known = index.stored(rows).withColumn("known", F.lit(True))
+    return rows.select("id", *key_hash(["id"])).join(known, ["a", "b"], "left").select("id", F.coalesce("known", F.lit(False)).alias("stored"))
+
+
 @query("sink_content_versions", "SELECT DISTINCT id AS source_id, sha256(v) AS content_hash FROM (SELECT id, full_text AS v FROM sources WHERE position % 10 <> 0 UNION ALL SELECT id, title FROM sources WHERE position % 4 = 0)", ["sources"])
 def _(spark, sf):
     """Texts first, then every fourth record with changed content; the first batch comes twice."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandline import vocab
 from strandline.functions import text
 from strandline.operators import similarity
-from strandline.operators.skew import HOT_ROWS, lookup_join
+from strandline.operators.skew import HOT_ROWS, hot_join, lookup_join
 from strandline.runtime import Rounds, cut_lineage
 
 
@@ -60,6 +60,27 @@ def connected_components(edges: DataFrame, *, hot_rows: int = HOT_ROWS) -> DataF
     return canon.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
+def changed_components(stored: DataFrame, links: DataFrame, *, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(node, old, component): what new ``links`` (a, b) change in stored (node, component) rows.
+
+    The links are contracted: each end is replaced by its stored component, and only the components that links join
+    are searched.  Rows come back for nodes that are new (old is null) and for all nodes of components that are not the
+    smallest of those they are joined with; nothing else is touched.  Components are numbered by their smallest node.
+    """
+    links = cut_lineage(links.select("a", "b").where("a is not null and b is not null").distinct(), "cc-links")
+    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    known = cut_lineage(stored.select("node", "component").join(ends, "node", "left_semi"), "cc-known")
+    named = hot_join(links.withColumnRenamed("a", "node"), known, ["node"], how="left", hot_rows=hot_rows) \
+        .select(F.coalesce("component", "node").alias("a"), F.col("b").alias("node"))
+    named = hot_join(named, known, ["node"], how="left", hot_rows=hot_rows).select("a", F.coalesce("component", "node").alias("b"))
+    joined = cut_lineage(connected_components(named.where("a <> b"), hot_rows=hot_rows), "cc-joined")
+    moved = joined.where("node <> component").select(F.col("node").alias("old"), F.col("component").alias("to"))
+    fresh = ends.join(known.select("node"), "node", "left_anti").withColumn("old", F.lit(None).cast(stored.schema["component"].dataType))
+    fresh = fresh.join(moved.withColumnRenamed("old", "node"), "node", "left").select("node", "old", F.coalesce("to", "node").alias("component"))
+    held = hot_join(stored.select("node", F.col("component").alias("old")), moved, ["old"], hot_rows=hot_rows).select("node", "old", F.col("to").alias("component"))
+    return fresh.unionByName(held)
+
+
 def title_sets(df: DataFrame, block: str = "category") -> DataFrame:
     """Rows with cluster tokens and the id of their (block, token set)."""
     tokens = text.title_tokens(F.col("title"), vocab.CLUSTER_STOPWORDS, 4)
@@ -79,8 +100,8 @@ def cluster_records(df: DataFrame, score: Column, *, block: str = "category", th
     sets = cut_lineage(rows.groupBy("set_id").agg(
         F.first(block).alias(block), F.first("tokens").alias("tokens"), F.count("*").alias("n"),
         F.min(order).alias("best"), F.min("id").alias("min_id")), "cluster-sets")
-    pairs = similarity.similar_sets(sets.where(F.size("tokens") > 0).select("set_id", "tokens", block), [block],
-                                    threshold=threshold, hot_rows=hot_rows)
+    pairs = similarity.spanning_links(sets.where(F.size("tokens") > 0).select("set_id", "tokens", block), [block],
+                                      threshold=threshold, hot_rows=hot_rows)
     parts = connected_components(pairs.select(F.col("set_a").alias("a"), F.col("set_b").alias("b")),
                                  hot_rows=hot_rows)
     labelled = sets.drop("tokens").join(parts.withColumnRenamed("node", "set_id"), "set_id", "left") \

@@ -23,6 +23,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,7 @@ from strandline.runtime import cut_lineage
 
 
 PAIR_ROWS = 20_000         # sets under one key that are paired with each other
+LIGHT_ROWS = 64            # sets under one key below which all pairs are linear in the sets anyway
 
 
 def with_set_id(df: DataFrame, tokens: str, block: list[str], unique: str | None = None) -> DataFrame:
@@ -47,12 +50,8 @@ def _prefix_length(n: Column, threshold: float, min_shared: int, depth: int) ->
     return (n - need + depth).cast("int")
 
 
-def similar_sets(sets: DataFrame, block: list[str], *, threshold: float, min_shared: int = 1,
-                 hot_rows: int = HOT_ROWS) -> DataFrame:
-    """All pairs (set_a < set_b, shared, similarity) with Jaccard >= threshold.
-
-    ``sets``: distinct sets as set_id, tokens (array<string>) and the block columns.
-    """
+def _ordered(sets: DataFrame, block: list[str], min_shared: int, hot_rows: int) -> DataFrame:
+    """set_id, block, n and toks: each set's tokens, the rarest first."""
     blk = F.xxhash64(*[F.col(b) for b in block]) if block else F.lit(0).cast("bigint")
     base = sets.select("set_id", blk.alias("block"), F.size("tokens").alias("n"),
                        F.explode("tokens").alias("token"))
@@ -61,8 +60,16 @@ def similar_sets(sets: DataFrame, block: list[str], *, threshold: float, min_sha
     ordered = (keyed.groupBy("set_id", "block", "n")
                .agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("pairs"))
                .select("set_id", "block", "n", F.col("pairs.token").alias("toks")))
-    ordered = cut_lineage(ordered.where(F.col("n") >= min_shared), "sim-ordered")
+    return cut_lineage(ordered.where(F.col("n") >= min_shared), "sim-ordered")
+
+
+def similar_sets(sets: DataFrame, block: list[str], *, threshold: float, min_shared: int = 1,
+                 hot_rows: int = HOT_ROWS) -> DataFrame:
+    """All pairs (set_a < set_b, shared, similarity) with Jaccard >= threshold.
 
+    ``sets``: distinct sets as set_id, tokens (array<string>) and the block columns.
+    """
+    ordered = _ordered(sets, block, min_shared, hot_rows)
     prefix = ordered.select(
         "*", F.posexplode(F.slice("toks", F.lit(1), _prefix_length(F.col("n"), threshold, min_shared, 1)))
         .alias("pos", "token"))
@@ -146,3 +153,58 @@ def _pair_up(keys: DataFrame, threshold: float, min_shared: int, depth: int = 1,
     return (pairs.where((head == F.col("key")) & (shared >= max(min_shared, depth)) & (sim >= threshold))
             .select(F.col("a_set_id").alias("set_a"), F.col("b_set_id").alias("set_b"),
                     shared.alias("shared"), sim.alias("similarity")))
+
+
+def _forest(threshold: float):
+    """Links of a spanning forest over the sets of one key: a search from set to similar set, each set reached once."""
+    def run(cell: pa.Table) -> pa.Table:
+        ids = cell["set_id"]
+        toks = cell["toks"].combine_chunks()
+        codes = np.asarray(toks.flatten().dictionary_encode().indices).astype(np.int64)
+        size = np.diff(np.asarray(toks.offsets)).astype(np.int64)
+        rows = np.repeat(np.arange(len(size)), size)
+        held = rows[np.argsort(codes, kind="stable")]                      # the sets of each token, token after token
+        first = np.concatenate([[0], np.cumsum(np.bincount(codes))])
+        own = np.concatenate([[0], np.cumsum(size)])
+        waiting = np.ones(len(size), dtype=bool)
+        found_a, found_b = [], []
+        for root in range(len(size)):
+            if not waiting[root]:
+                continue
+            waiting[root] = False
+            front = [root]
+            while front and waiting.any():
+                s = front.pop()
+                near = np.concatenate([held[first[c]:first[c + 1]] for c in codes[own[s]:own[s + 1]].tolist()])
+                shared = np.bincount(near[waiting[near]], minlength=len(size))
+                at = np.flatnonzero(shared)
+                at = at[shared[at] / (size[s] + size[at] - shared[at]) >= threshold]
+                waiting[at] = False
+                front += at.tolist()
+                found_a += [s] * len(at)
+                found_b += at.tolist()
+        return pa.table({"set_a": ids.take(pa.array(found_a, pa.int64())), "set_b": ids.take(pa.array(found_b, pa.int64()))})
+    return run
+
+
+def spanning_links(sets: DataFrame, block: list[str], *, threshold: float, hot_rows: int = HOT_ROWS, pair_rows: int = PAIR_ROWS,
+                   light_rows: int = LIGHT_ROWS) -> DataFrame:
+    """Similar pairs (set_a, set_b) that connect what all pairs with Jaccard >= threshold connect.
+
+    As in ``similar_sets`` every similar pair meets under a token of both prefixes.  Under a token of few sets the
+    pairs are joined.  Under any other token, dealt to pairs of blocks of ``pair_rows`` sets, a spanning forest is found instead, so
+    the links are at most linear in the sets: a family of near titles gives a star, not its square.
+    """
+    ordered = _ordered(sets, block, 1, hot_rows)
+    keys = ordered.select("*", F.posexplode(F.slice("toks", F.lit(1), _prefix_length(F.col("n"), threshold, 1, 1))).alias("pos", "key"))
+    load = keys.groupBy("block", "key").agg(F.count("*").alias("load"))
+    many = cut_lineage(load.where(F.col("load") > light_rows).withColumn("many", F.lit(True)), "span-many")
+    if many.isEmpty():
+        return _pair_up(keys, threshold, 1).select("set_a", "set_b")
+    marked = lookup_join(keys, many, ["block", "key"], count_col="load", how="left", hot_rows=hot_rows)
+    few = _pair_up(marked.where(F.col("many").isNull()).drop("many"), threshold, 1).select("set_a", "set_b")
+    cells = _in_blocks(marked.where("many").drop("many"), pair_rows).select("block", "key", "p", "q", F.col("set_id").cast("string").alias("set_id"), "toks")
+    kind = sets.schema["set_id"].dataType
+    found = cells.groupBy("block", "key", "p", "q").applyInArrow(_forest(threshold), "set_a string, set_b string")
+    ends = [F.col(c).cast(kind) for c in ("set_a", "set_b")]
+    return few.unionByName(found.select(F.least(*ends).alias("set_a"), F.greatest(*ends).alias("set_b")).distinct())

@@ -79,6 +79,15 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders directly in ``path``, sorted; none if there is no such folder."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(target):
+        return []
+    return sorted(f.getPath().getName() for f in store.listStatus(target) if f.isDirectory())
+
+
 class Rounds:
     """Tables of an iteration in the shared folder: each ``put`` writes one and reads it back.
 

@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 
 from strandline import schemas, vocab
 from strandline.functions import rules
+from strandline.operators import graph
 from strandline.operators.dedupe import first_per_key
-from strandline.runtime import cut_lineage
+from strandline.operators.skew import HOT_ROWS
+from strandline.sources.keyindex import KeyIndex, key_hash
+from strandline.runtime import cut_lineage, drop_path
 
 BUCKET = "_bucket"
 
@@ -30,11 +33,18 @@ def read_table(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def append_new(df: DataFrame, path: str, keys: list[str], order: list[Column], partition_by: list[str] | None = None) -> None:
-    """Insert rows whose key is not stored yet; the first write of a key wins, also inside a batch."""
+    """Insert rows whose key is not stored yet; the first write of a key wins, also inside a batch.
+
+    The stored keys are looked up through the index beside the table (``<path>_keys``), so a batch reads what may
+    hold its keys and not all of them.  A key with nulls is a key like any other.
+    """
+    index = KeyIndex(df.sparkSession, f"{path.rstrip('/')}_keys", path, keys)
+    index.catch_up()
     rows = first_per_key(df, keys, order)
-    stored = read_table(df.sparkSession, path)
-    if stored is not None:
-        rows = rows.join(stored.select(*keys).distinct(), keys, "left_anti")
+    if read_table(df.sparkSession, path) is not None:
+        a, b = key_hash(keys)
+        known = index.stored(df.select(*keys)).select(F.col("a").alias("_a"), F.col("b").alias("_b"))
+        rows = rows.withColumns({"_a": a, "_b": b}).join(known, ["_a", "_b"], "left_anti").drop("_a", "_b")
     writer = rows.write.mode("append")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
@@ -84,6 +94,34 @@ def update_by_key(df: DataFrame, path: str, key: str, columns: list[str], bucket
     _overwrite_buckets(cut_lineage(merged, "update"), path)
 
 
+def append_links(links: DataFrame, path: str, buckets: int = 64, *, hot_rows: int = HOT_ROWS) -> int:
+    """Merge new links (a, b) into the stored components (node, component) at ``path``; returns the number of buckets rewritten.
+
+    Rows are filed by their component, so only the buckets of components that change are rewritten.  A bucket that
+    loses all its rows is deleted last; until then a node may have two rows, which a repeated batch joins again.
+    """
+    spark = links.sparkSession
+    stored = read_table(spark, path)
+    nodes = links.schema["a"].dataType
+    if stored is None:
+        stored = spark.createDataFrame([], "node string, component string").select(*[F.col(c).cast(nodes).alias(c) for c in ("node", "component")])
+    changes = cut_lineage(graph.changed_components(stored, links, hot_rows=hot_rows), "links-changes")
+    ends = changes.select(F.col("old").alias("c")).unionByName(changes.select(F.col("component").alias("c"))).where("c is not null")
+    touched = {r[0] for r in _bucketed(ends, "c", buckets).select(BUCKET).distinct().collect()}  # at most ``buckets``
+    if not touched:
+        return 0
+    rows = _bucketed(changes.select("node", "component"), "component", buckets)
+    if BUCKET in stored.columns:
+        kept = stored.where(F.col(BUCKET).isin(sorted(touched))).select("node", "component")
+        gone = changes.where("old is not null").select("node", F.col("old").alias("component")).distinct()
+        rows = rows.unionByName(_bucketed(kept.join(gone, ["node", "component"], "left_anti"), "component", buckets))
+    merged = cut_lineage(rows.distinct(), "links-merged")
+    _overwrite_buckets(merged, path)
+    for bucket in sorted(touched - {r[0] for r in merged.select(BUCKET).distinct().collect()}):
+        drop_path(spark, f"{path}/{BUCKET}={bucket}")
+    return len(touched)
+
+
 def enrichment_update(df: DataFrame, path: str, columns: list[str], buckets: int = 64) -> None:
     """Write back rows stamped with the current taxonomy version."""
     update_by_key(df.where(F.col("taxonomy_version") == vocab.TAXONOMY_VERSION), path, "id", columns, buckets)
