@@ -9,12 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import bpe, decontam, linededup, quality, simhash
+from strandline.llm import bpe, decontam, linededup, neardup, quality
 from strandline.llm.common import table
 from strandline.llm.queries import tokenizer_paths
 
-# Wider than the four bits of op2_simhash: near copies with a shingle similarity of 0.8 to 0.95 differ in more.  Two
-# unrelated texts meet at six bits or fewer once in 2 * 10**11 pairs.
+# Texts whose fingerprints differ in so few bits are candidates beside those that share a band of shingle hashes.
 NEAR_BITS = 6
 
 
@@ -33,8 +32,9 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id."""
-    return simhash.keep_one(docs, radius=NEAR_BITS)
+    """One document of each group of near duplicates (five-word shingles, verified similarity of 0.8 or more), the one with
+    the smallest id.  Documents that the line stage emptied are equal, so one of them stays."""
+    return neardup.keep_one(docs, bits=NEAR_BITS)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
