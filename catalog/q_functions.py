@@ -8,7 +8,7 @@ from catalog.registry import cte, query
 from catalog.views import (AS_OF, TEST_TAGS, as_of, claims, events, sections, sources, sql_any, sql_canonical_url,
                            sql_list, sql_map, sql_pick, table, tagged, understood)
 from strandline import vocab
-from strandline.functions import rules, text, times, urls
+from strandline.functions import rules, text, times, urls, variants
 from strandline.operators import classify
 
 
@@ -84,22 +84,37 @@ def _(spark, sf):
     return pages(spark, sf).select("page_id", text.xml_text(F.col("html")).alias("plain"))
 
 
-# The documents hold no fences, so one is built around each first line.
-FENCED = "concat('intro `x` ', chr(10), '```sql', chr(10), split_part(text, chr(10), 1), ' ', chr(10), '``` tail')"
+# The documents hold no fences, so two are built: around the whole text, and around all of it but the first line.
+SQL_REST = "regexp_replace(substr(text, length(split_part(text, chr(10), 1)) + 2), '^\\s+|\\s+$', '', 'g')"
+SQL_WHOLE = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
 
 
-@query("extract_code_blocks", """
-  SELECT doc_id, 'sql' AS language, trim(split_part(text, chr(10), 1)) AS content,
-         'intro x ' || chr(10) || trim(split_part(text, chr(10), 1)) || ' tail' AS processed
-  FROM documents WHERE trim(split_part(text, chr(10), 1)) <> '' AND NOT contains(split_part(text, chr(10), 1), '`')""")
+@query("extract_code_blocks", f"""
+  SELECT doc_id, b.language, b.content, 'intro x ' || chr(10) || whole || ' then ' || rest || ' tail' AS processed FROM (
+    SELECT *, unnest(list_filter([{{language: 'sql', content: whole}}, {{language: 'text', content: rest}}], lambda b: b.content <> '')) AS b
+    FROM (SELECT doc_id, {SQL_WHOLE} AS whole, {SQL_REST} AS rest FROM documents))""")
 def _(spark, sf):
-    first = F.substring_index("text", "\n", 1)
-    docs = table(spark, sf, "documents").where((F.trim(first) != "") & ~first.contains("`"))
-    raw = F.concat(F.lit("intro `x` \n```sql\n"), first, F.lit(" \n``` tail"))
-    return docs.withColumn("raw", raw).select(
+    rest = F.substring("text", F.length(F.substring_index("text", "\n", 1)) + 2, F.length("text"))
+    raw = F.concat(F.lit("intro `x` \n```sql\n"), "text", F.lit(" \n``` then ```\n"), rest, F.lit("\n``` tail"))
+    return table(spark, sf, "documents").withColumn("raw", raw).select(
         "doc_id", F.inline(text.code_blocks(F.col("raw"))), text.unfenced(F.col("raw")).alias("processed"))
 
 
+@query("json_field_types", """
+  SELECT field, found, count(*) AS rows FROM (
+    SELECT 'n' AS field, CASE WHEN doc_id % 7 = 0 THEN 'string' WHEN doc_id % 11 = 0 THEN 'missing' WHEN doc_id % 13 = 0 THEN 'array' ELSE 'number' END AS found FROM documents
+    UNION ALL SELECT 'text', CASE WHEN doc_id % 5 = 0 THEN 'object' ELSE 'string' END FROM documents)
+  WHERE NOT (field = 'n' AND found = 'number') AND NOT (field = 'text' AND found = 'string') GROUP BY ALL""")
+def _(spark, sf):
+    """Documents as JSON with fields of other types planted by their id."""
+    doc = F.col("doc_id")
+    number = F.when(doc % 7 == 0, F.lit('"n": "7", ')).when(doc % 11 == 0, F.lit("")).when(doc % 13 == 0, F.lit('"n": [1], ')).otherwise(F.concat(F.lit('"n": '), doc.cast("string"), F.lit(", ")))
+    body = F.to_json(F.struct("text"))
+    whole = F.when(doc % 5 == 0, F.concat(F.lit('{"text": '), body, F.lit("}"))).otherwise(body)
+    rows = table(spark, sf, "documents").select(F.concat(F.lit("{"), number, F.substring(whole, F.lit(2), F.length(whole))).alias("json"))
+    return variants.wrong_types(rows, "json", {"n": ("number",), "text": ("string",)})
+
+
 V4 = r"\b((?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\b"
 
 
@@ -240,13 +255,13 @@ def _(spark, sf):
 @query("jaccard", """
   SELECT doc_id, CASE WHEN len(u) = 0 THEN 1.0 ELSE round(len(list_intersect(a, b)) / len(u), 6) END AS similarity
   FROM (SELECT *, list_distinct(list_concat(a, b)) AS u FROM (
-    SELECT doc_id, list_filter(regexp_split_to_array(lower(split_part(text, chr(10), 1)), '[^a-z0-9]+'), lambda x: x <> '') AS a,
-           list_filter(regexp_split_to_array(lower(split_part(text, chr(10), 2)), '[^a-z0-9]+'), lambda x: x <> '') AS b FROM documents))""")
+    SELECT doc_id, list_filter(regexp_split_to_array(lower(left(text, length(text) // 2)), '[^a-z0-9]+'), lambda x: x <> '') AS a,
+           list_filter(regexp_split_to_array(lower(substr(text, length(text) // 2 + 1)), '[^a-z0-9]+'), lambda x: x <> '') AS b FROM documents))""")
 def _(spark, sf):
-    """First line against second line of each document."""
-    lines = F.split("text", "\n")
-    toks = lambda i: text.title_tokens(F.get(lines, F.lit(i)), [], 1)
-    return table(spark, sf, "documents").select("doc_id", F.round(rules.jaccard(toks(0), toks(1)), 6).alias("similarity"))
+    """The first half of each whole text against the second."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    first, second = (text.title_tokens(c, [], 1) for c in (F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text"))))
+    return table(spark, sf, "documents").select("doc_id", F.round(rules.jaccard(first, second), 6).alias("similarity"))
 
 
 @query("detect_language", r"""

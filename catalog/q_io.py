@@ -14,8 +14,8 @@ from catalog.views import AS_OF, as_of, events, sources, sql_any, sql_map, table
 from strandline import schemas, vocab
 from strandline.functions import text
 from strandline.operators import classify
-from strandline.runtime import scratch_path
-from strandline.sources import scans, sinks
+from strandline.runtime import cut_lineage, scratch_path
+from strandline.sources import jsonarray, scans, sinks
 from strandline.sources.keyindex import KeyIndex, key_hash
 from strandline.streaming import ingest as streams
 
@@ -27,12 +27,12 @@ def landed(spark, sf):
     d = table(spark, sf, "documents")
     doc = F.col("doc_id")
     when = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), (doc * 11 % 10800).cast("int"))
-    return d.select("doc_id", "source", F.substring(F.substring_index("text", "\n", 1), 1, 140).alias("title"),
+    return d.select("doc_id", "source", F.substring_index("text", "\n", 1).alias("title"),
                     F.concat(F.lit("https://"), "source", F.lit(".example.org/"), doc.cast("string")).alias("url"),
                     when.alias("at"), F.col("text"))
 
 
-cte("landed", """SELECT doc_id, source, left(split_part(text, chr(10), 1), 140) AS title, 'https://' || source || '.example.org/' || doc_id AS url,
+cte("landed", """SELECT doc_id, source, split_part(text, chr(10), 1) AS title, 'https://' || source || '.example.org/' || doc_id AS url,
   TIMESTAMP '2024-01-01' + to_hours(((doc_id * 11) % 10800)::INT) AS landed_at, text FROM documents""")
 
 
@@ -48,6 +48,27 @@ def _(spark, sf):
     return rows.select("title", "url", "publisher", parse_date(F.col("published_at")).alias("date_published"), F.sha2("text", 256).alias("text_hash"))
 
 
+@query("scan_json_array", "SELECT title, url, sha256(text) AS text_hash FROM landed", ["landed"])
+def _(spark, sf):
+    """All items as one array in one file of a single line, read in splits of a few kilobytes."""
+    item = F.to_json(F.struct("title", "url", "text"))
+    path = scratch_path(spark, "array")
+    rows = landed(spark, sf).select("doc_id", item.alias("item"))
+    first, last = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
+    opened, closed = F.when(F.col("doc_id") == first, "[").otherwise(", "), F.when(F.col("doc_id") == last, "]").otherwise("")
+    # lineSep joins the items, so the file is one line; the writing task streams them.
+    rows.select(F.concat(opened, "item", closed).alias("value"), "doc_id") \
+        .coalesce(1).sortWithinPartitions("doc_id").select("value").write.option("lineSep", " ").text(path)
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        found = cut_lineage(jsonarray.array_items(spark, path), "array-items")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+    r = F.from_json("item", "title string, url string, text string", {"mode": "FAILFAST"})
+    return found.select(r.alias("r")).select("r.title", "r.url", F.sha2("r.text", 256).alias("text_hash"))
+
+
 XML_TITLE = "trim(regexp_replace(regexp_replace(replace(replace(replace(regexp_replace(title, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&#x2F;', '/'), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g'))"
 
 
@@ -64,30 +85,31 @@ def write_xml(spark, df, root: str, by: str, pack, line) -> str:
     return path
 
 
-@query("scan_feed_xml", f"""SELECT title, url, date_published FROM (
-    SELECT {XML_TITLE} AS title, url, landed_at AS date_published, k, row_number() OVER (PARTITION BY source, doc_id // 1600, k ORDER BY doc_id) AS o
-    FROM landed, (VALUES ('rss'), ('atom')) kinds(k)) WHERE o <= 20 AND title <> ''""", ["landed"])
+@query("scan_feed_xml", f"""SELECT title, url, date_published, full_text FROM (
+    SELECT {XML_TITLE} AS title, {XML_TITLE.replace('(title,', '(text,')} AS full_text, url, landed_at AS date_published
+    FROM landed, (VALUES ('rss'), ('atom')) kinds(k)) WHERE title <> ''""", ["landed"])
 def _(spark, sf):
-    """Every source lands as RSS and Atom files; the first 20 items of each file count."""
+    """Every source lands as RSS and Atom files, all items with their bodies."""
     out = []
     for kind, root, line in (
         ("rss", "channel", F.concat(F.lit("<item><title>"), _cdata(F.col("title")), F.lit("</title><link>"), F.col("url"), F.lit("</link><pubDate>"),
-                                    F.date_format("at", "E, dd MMM yyyy HH:mm:ss"), F.lit(" GMT</pubDate></item>"))),
+                                    F.date_format("at", "E, dd MMM yyyy HH:mm:ss"), F.lit(" GMT</pubDate><description>"), _cdata(F.col("text")), F.lit("</description></item>"))),
         ("atom", "feed", F.concat(F.lit("<entry><title>"), _cdata(F.col("title")), F.lit('</title><link href="'), F.col("url"), F.lit('"/><published>'),
-                                  F.date_format("at", ISO), F.lit("</published></entry>")))):
+                                  F.date_format("at", ISO), F.lit("</published><summary>"), _cdata(F.col("text")), F.lit("</summary></entry>")))):
         path = write_xml(spark, landed(spark, sf), root, "source", F.expr("doc_id div 1600"), line)
-        out.append(scans.feed(spark, path, kind, 20).select("title", "url", "date_published"))
+        out.append(scans.feed(spark, path, kind).select("title", "url", "date_published", "full_text"))
     return out[0].unionByName(out[1])
 
 
-@query("scan_paper_entries", r"""SELECT trim(regexp_replace(title, '\s+', ' ', 'g')) AS title, 'https://arxiv.org/abs/' || doc_id AS url, landed_at AS date_published FROM landed""", ["landed"])
+@query("scan_paper_entries", r"""SELECT trim(regexp_replace(title, '\s+', ' ', 'g')) AS title, 'https://arxiv.org/abs/' || doc_id AS url, landed_at AS date_published,
+  trim(regexp_replace(text, '\s+', ' ', 'g')) AS full_text FROM landed""", ["landed"])
 def _(spark, sf):
     """Two query labels that overlap in every third paper."""
     d = landed(spark, sf).withColumn("label", F.explode(F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a")))))
     line = F.concat(F.lit("<entry><id>http://arxiv.org/abs/"), F.col("doc_id").cast("string"), F.lit("</id><title>"), _cdata(F.col("title")),
-                    F.lit("</title><published>"), F.date_format("at", ISO), F.lit("</published><summary>s</summary></entry>"))
+                    F.lit("</title><published>"), F.date_format("at", ISO), F.lit("</published><summary>"), _cdata(F.col("text")), F.lit("</summary></entry>"))
     path = write_xml(spark, d, "feed", "label", F.expr("doc_id div 100"), line)
-    return scans.paper_entries(spark, path).select("title", "url", "date_published")
+    return scans.paper_entries(spark, path).select("title", "url", "date_published", "full_text")
 
 
 VULN_TERMS = ["tion", "elle"]
@@ -108,9 +130,9 @@ def _(spark, sf):
 
 
 @query("scan_curated_sheets", f"""
-  SELECT 'curated-' || left(sha256(t || '|' || url || '|' || t), 24) AS id, url, d AS date_published, sheet AS sheet_category,
+  SELECT 'curated-' || left(sha256(t || '|' || url || '|' || coalesce(nullif(b, ''), t)), 24) AS id, coalesce(nullif(b, ''), t) AS full_text, url, d AS date_published, sheet AS sheet_category,
     CASE sheet WHEN 'Security of AI' THEN 80 ELSE 75 END AS ai_specificity_score, source || '.example.org' AS publisher
-  FROM (SELECT *, {sql_clean_plaintext('title')} AS t, CASE doc_id % 2 WHEN 0 THEN 'Security of AI' ELSE 'AI-Enabled Threats' END AS sheet, date_trunc('day', landed_at) AS d FROM landed)
+  FROM (SELECT *, {sql_clean_plaintext('title')} AS t, {sql_clean_plaintext('text')} AS b, CASE doc_id % 2 WHEN 0 THEN 'Security of AI' ELSE 'AI-Enabled Threats' END AS sheet, date_trunc('day', landed_at) AS d FROM landed)
   WHERE t <> '' AND doc_id % 5 <> 0""", ["landed"])
 def _(spark, sf):
     """Two sheets: one dates its rows by serial day, the other by ISO text; every fifth row has no date."""
@@ -119,11 +141,11 @@ def _(spark, sf):
     sheets = {}
     for rest, name, date in ((0, "Security of AI", serial), (1, "AI-Enabled Threats", F.date_format("at", "yyyy-MM-dd"))):
         rows = d.where(F.col("doc_id") % 2 == rest).select(
-            F.col("title").alias("Title"), F.col("url").alias("URL"), F.col("title").alias("Summary"), F.lit("").alias("Content"),
+            F.col("title").alias("Title"), F.col("url").alias("URL"), F.col("title").alias("Summary"), F.col("text").alias("Content"),
             F.when(F.col("doc_id") % 5 != 0, date).alias("Published"))
         sheets[name] = scratch_path(spark, "sheet")
         rows.write.option("header", True).option("escape", '"').csv(sheets[name])
-    return scans.curated_sheets(spark, sheets).select("id", "url", "date_published", "sheet_category", "ai_specificity_score", "publisher")
+    return scans.curated_sheets(spark, sheets).select("id", "url", "date_published", "sheet_category", "ai_specificity_score", "publisher", "full_text")
 
 
 @query("scan_discovery_results", f"""

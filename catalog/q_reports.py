@@ -14,6 +14,8 @@ from strandline import vocab
 from strandline.functions import text, times
 from strandline.operators import aggregate, audit, dossier, joins, phrases, rank
 from strandline.plans import analysis, charts
+from strandline.runtime import scratch_path
+from strandline.sources import partials
 
 OFF = sql_list(vocab.OFFENSIVE_CATEGORIES)
 
@@ -49,10 +51,10 @@ def _(spark, sf):
     return aggregate.corpus_frequencies(analysed(spark, sf), arrays=SPARK_ARRAYS)
 
 
-@query("mapping_frequency", """SELECT kind, tag, count(*) AS count FROM (SELECT 'attack' AS kind, unnest(attack_mappings).tag AS tag FROM understood WHERE category = 'agentic_ai_threats'
-  UNION ALL SELECT 'governance', unnest(governance_tags).tag FROM understood WHERE category = 'agentic_ai_threats') GROUP BY ALL""", ["understood"])
+@query("mapping_frequency", """SELECT kind, tag, count(*) AS count FROM (SELECT 'attack' AS kind, unnest(attack_mappings).tag AS tag FROM understood
+  UNION ALL SELECT 'governance', unnest(governance_tags).tag FROM understood) GROUP BY ALL""", ["understood"])
 def _(spark, sf):
-    return aggregate.mapping_frequency(understood(spark, sf), "agentic_ai_threats")
+    return aggregate.mapping_frequency(understood(spark, sf))
 
 
 MONTHLY_SQL = sql_freq({"category": "category", "source_type": "source_type", "maturity": "maturity"}, {"attack_vector": "attack_vectors", "signal_cluster": "signal_clusters"},
@@ -555,6 +557,19 @@ def _(spark, sf):
     return audit.audit_phrases(numbered(spark, sf), FILLER)
 
 
+@query("merged_counts", """SELECT 'month' AS metric, strftime(date_published, '%Y-%m') AS key, count(*) AS n FROM tagged WHERE date_published IS NOT NULL GROUP BY 2
+  UNION ALL SELECT 'tag', t, count(*) FROM (SELECT unnest(tags) AS t FROM tagged) GROUP BY 2
+  UNION ALL SELECT 'category', category, count(*) FROM tagged WHERE category IS NOT NULL GROUP BY 2""", ["tagged"])
+def _(spark, sf):
+    """Counts stored batch by batch, one of them twice, and summed up without the rows."""
+    path = scratch_path(spark, "partials")
+    rows = tagged(spark, sf)
+    metrics = {"month": F.date_format("date_published", "yyyy-MM"), "tag": F.col("tags"), "category": F.col("category")}
+    for batch in (0, 1, 2, 1):
+        partials.store(partials.counts(rows.where(F.col("position") % 3 == batch), metrics), path, f"b{batch}")
+    return partials.merged(spark, path)
+
+
 # A table of phrases as large as the corpus: the third to fifth word of every document.
 @query("audit_phrases_table", """SELECT position, phrase FROM (SELECT position, lower(full_text) AS low FROM sources)
   JOIN (SELECT DISTINCT array_to_string(list_slice(string_split(lower(text), ' '), 3, 5), ' ') AS phrase FROM documents) ON contains(low, phrase) WHERE phrase <> ''""", ["sources"])

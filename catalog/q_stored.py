@@ -10,8 +10,10 @@ from catalog.views import (AS_OF, TEST_TAGS, as_of, pick, sources, sql_canonical
                            tagged)
 from strandline import vocab
 from strandline.functions import text, times, urls
-from strandline.operators import aggregate, classify, filters, joins
+from strandline.operators import aggregate, classify, filters, intervals, joins
 from strandline.plans import ingest
+from strandline.runtime import scratch_path
+from strandline.sources import dated, sinks, trigrams
 
 LO, HI = "2024-06-01 00:00:00", "2024-09-01 00:00:00"
 PRIORITIES = ["critical", "high", "medium", "low", "background", "odd"]
@@ -49,6 +51,24 @@ def _(spark, sf):
                                 tag="the").select("position", "id")
 
 
+@query("newest_page", "SELECT position, id, date_published FROM sources ORDER BY date_published DESC NULLS FIRST, id LIMIT 100", ["sources"])
+def _(spark, sf):
+    """A page of a table laid out by date, stored in two batches, the second of which holds all rows."""
+    path = scratch_path(spark, "dated")
+    rows = sources(spark, sf).select("position", "id", "date_published")
+    for batch in (rows.where("position % 2 = 0"), rows):
+        sinks.append_new(batch, path, ["id"], [F.asc("position")], ["month"], dated.by_date)
+    return dated.newest_page(spark.read.parquet(path), 100).select("position", "id", "date_published")
+
+
+@query("dated_window", f"""SELECT position, id FROM sources WHERE date_published >= TIMESTAMP '{LO}' AND date_published < TIMESTAMP '{HI}'""", ["sources"])
+def _(spark, sf):
+    """A window over the same layout."""
+    path = scratch_path(spark, "dated")
+    dated.by_date(sources(spark, sf).select("position", "id", "date_published")).write.partitionBy("month").parquet(path)
+    return dated.between(spark.read.parquet(path), ntz(LO), ntz(HI)).select("position", "id")
+
+
 SQL_AS_OF_END = f"(date_trunc('day', TIMESTAMP '{AS_OF}' + INTERVAL 2 HOUR) - INTERVAL 2 HOUR)"
 
 
@@ -109,11 +129,26 @@ def _(spark, sf):
 
 
 @query("snapshot_members", """SELECT s.snapshot_id, e.event_id FROM snapshots s JOIN events e
-  ON s.snapshot_id = 'snapshot-' || strftime(e.ts + INTERVAL 32 HOUR, '%Y-%m-%d') WHERE s.count > 300""".replace("32 HOUR", "26 HOUR"), ["snapshots"])
+  ON s.snapshot_id = 'snapshot-' || strftime(e.ts + INTERVAL 26 HOUR, '%Y-%m-%d')""", ["snapshots"])
 def _(spark, sf):
     rows = table(spark, sf, "events").select(times.snapshot_key(F.col("ts")).alias("snapshot_id"), F.col("event_id").alias("id"),
                                              F.col("ts").alias("date_published"))
-    return filters.snapshot_members(snapshots(spark, sf).where("count > 300"), rows).select("snapshot_id", F.col("id").alias("event_id"))
+    return filters.snapshot_members(snapshots(spark, sf), rows).select("snapshot_id", F.col("id").alias("event_id"))
+
+
+@query("snapshot_overlaps", """SELECT s.snapshot_id, o.o_orderkey AS order_id FROM snapshots s JOIN (
+    SELECT o_orderkey, min_ts + to_seconds((o_orderkey * 7919) % 7776000) AS a, min_ts + to_seconds((o_orderkey * 7919) % 7776000 + (o_orderkey % 40) * 3600) AS b
+    FROM orders, (SELECT min(ts) AS min_ts FROM events)) o ON s.start_utc < o.b AND o.a < s.end_utc""", ["snapshots"])
+def _(spark, sf):
+    """Which snapshots a period of up to 39 hours touches, for every order; the periods start within 90 days of the first event."""
+    first = table(spark, sf, "events").agg(F.min("ts")).first()[0]
+    key = F.col("o_orderkey")
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    at = micros(F.lit(first)) + (key * 7919) % 7776000 * 1000000
+    periods = table(spark, sf, "orders").select(key.alias("order_id"), at.alias("s"), (at + key % 40 * 3600 * 1000000).alias("e"))
+    taken = snapshots(spark, sf).select("snapshot_id", micros(F.col("start_utc")).alias("s"), micros(F.col("end_utc")).alias("e"))
+    pairs = intervals.overlap_join(periods, taken, left_span=("s", "e"), right_span=("s", "e"))
+    return pairs.select(F.col("right.snapshot_id").alias("snapshot_id"), F.col("left.order_id").alias("order_id"))
 
 
 def reports(spark, sf):
@@ -151,6 +186,16 @@ def _(spark, sf):
     return filters.search(prioritised(spark, sf), "ent", priority="high", sort="priority").select("position", "priority_score")
 
 
+@query("search_indexed", "SELECT position FROM prioritised WHERE contains(lower(title), 'tion') OR contains(lower(publisher), 'tion') OR len(list_filter(tags, lambda t: contains(lower(t), 'tion'))) > 0", ["prioritised"])
+def _(spark, sf):
+    """The same substring search through stored trigram lists, built in two batches, the second of which comes twice."""
+    path = scratch_path(spark, "trigrams")
+    rows = prioritised(spark, sf).select("position", "title", "publisher", "tags")
+    for rest in (0, 1, 1):
+        trigrams.add(rows.where(F.col("position") % 2 == rest), path)
+    return trigrams.search(spark, path, " TION").select(F.col("key").alias("position"))
+
+
 @query("group_by_category", f"""
   SELECT b.bucket, p.position, p.priority_score FROM (SELECT unnest({sql_list(vocab.OFFENSIVE_CATEGORIES + ['ai_for_security', 'uncategorised'])}) AS bucket) b
   LEFT JOIN (SELECT *, CASE WHEN list_contains({sql_list(vocab.OFFENSIVE_CATEGORIES + ['ai_for_security'])}, category) THEN category ELSE 'uncategorised' END AS bucket
@@ -341,6 +386,16 @@ def _(spark, sf):
     return ingest.funnel_counts(decided(spark, sf))
 
 
+@query("funnel_observed", """
+  SELECT s.step, count(x.step) AS rows FROM (SELECT unnest(['raw', 'within_window', 'deduped', 'accepted', 'usable', 'removed_window', 'removed_duplicate', 'removed_rejected', 'removed_invalid']) AS step) s
+  LEFT JOIN (SELECT unnest(['raw', 'within_window', 'deduped', 'accepted', 'usable'][1:list_position(['window', 'duplicate', 'rejected', 'invalid', 'stored'], stage)]) AS step FROM ing_w
+    UNION ALL SELECT 'removed_' || stage FROM ing_w WHERE stage <> 'stored') x USING (step) GROUP BY s.step""", IN_WINDOW)
+def _(spark, sf):
+    """The funnel as counted by the pass that writes the rows."""
+    seen = ingest.write_observed(decided(spark, sf), scratch_path(spark, "funnel"))
+    return spark.createDataFrame(sorted(seen.items()), "step string, rows bigint")
+
+
 cte("lay_clean", f"""
   SELECT position, id, url, ct AS title, cf AS full_text, {ING_QUALITY} AS quality_score,
     trim(regexp_replace(regexp_replace(lower(ct), '[^\\w\\s]', '', 'g'), '\\s+', ' ', 'g')) AS norm

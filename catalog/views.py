@@ -67,7 +67,7 @@ def sources(spark: SparkSession, sf: str) -> DataFrame:
         doc.alias("position"),
         F.substring(F.sha2(key, 256), 1, 36).alias("id"),
         url.alias("url"),
-        F.substring(F.substring_index("text", "\n", 1), 1, 140).alias("title"),
+        F.substring_index("text", "\n", 1).alias("title"),
         F.when(doc % 11 == 0, F.lit("Unknown")).otherwise(F.col("source")).alias("publisher"),
         F.col("text").alias("full_text"),
         F.when(doc % 13 != 0, F.lit("2024-01-01").cast("timestamp_ntz")
@@ -83,7 +83,7 @@ def sources(spark: SparkSession, sf: str) -> DataFrame:
 cte("sources", f"""
   SELECT doc_id AS position,
          left(sha256(coalesce(url, 'doc:' || doc_id)), 36) AS id, url,
-         left(split_part(text, chr(10), 1), 140) AS title,
+         split_part(text, chr(10), 1) AS title,
          CASE WHEN doc_id % 11 = 0 THEN 'Unknown' ELSE source END AS publisher,
          text AS full_text,
          CASE WHEN doc_id % 13 <> 0
@@ -177,11 +177,11 @@ def understood(spark: SparkSession, sf: str) -> DataFrame:
         F.when(p % 6 == 1, F.array(F.struct(
             pick(p + 1, vocab.CATEGORIES).alias("category"), conf(p).alias("confidence"),
             F.col("tags").alias("supporting_tags")))).otherwise(none(cand_t)))
-    numbers = F.slice(F.regexp_extract_all("full_text", F.lit(r"[0-9]+"), F.lit(0)), 1, 5)
+    numbers = F.regexp_extract_all("full_text", F.lit(r"[0-9]+"), F.lit(0))
     return s.withColumns({
         "framework_tags": fw, "attack_mappings": am, "governance_tags": gt,
         "category_candidates": cand,
-        "main_claims": F.slice(F.split("full_text", "\n"), F.lit(1), (p % 3).cast("int")),
+        "main_claims": F.when(p % 3 > 0, F.split("full_text", "\n")).otherwise(F.array().cast("array<string>")),
         "important_numbers": numbers,
         "key_entities": F.array(F.col("publisher"), F.col("lang")),
         "source_summary": F.concat(F.col("title"), F.lit(". Published by "), F.col("publisher"), F.lit(".")),
@@ -203,8 +203,8 @@ cte("understood", f"""
     CASE WHEN position % 10 = 0 THEN [{_sql_tag(GOVERNANCE_TAGS, 'position', sql_pick('position', _C), False)}] ELSE [] END AS governance_tags,
     list_concat(CASE WHEN position % 4 <> 0 THEN [{{category: category, confidence: {sql_pick('position', _C)}, supporting_tags: tags[1:1]}}] ELSE [] END,
                 CASE WHEN position % 6 = 1 THEN [{{category: {sql_pick('position + 1', vocab.CATEGORIES)}, confidence: {sql_pick('position', _C)}, supporting_tags: tags}}] ELSE [] END) AS category_candidates,
-    string_split(full_text, chr(10))[1:(position % 3)] AS main_claims,
-    regexp_extract_all(full_text, '[0-9]+')[1:5] AS important_numbers,
+    CASE WHEN position % 3 > 0 THEN string_split(full_text, chr(10)) ELSE [] END AS main_claims,
+    regexp_extract_all(full_text, '[0-9]+') AS important_numbers,
     [publisher, lang] AS key_entities,
     title || '. Published by ' || publisher || '.' AS source_summary
   FROM tagged t""", ["tagged"])
@@ -222,7 +222,7 @@ def sections(spark: SparkSession, sf: str) -> DataFrame:
             evidence_id.alias("evidence_id"),
             F.when(p % 7 == 0, F.lit("")).otherwise(F.col("title")).alias("title"),
             F.when(p % 11 == 0, F.lit("")).otherwise(F.col("publisher")).alias("publisher"),
-            F.when(p % 4 == 1, F.lit("")).otherwise(F.substring("full_text", 1, 40)).alias("key_fact"))
+            F.when(p % 4 == 1, F.lit("")).otherwise(F.col("full_text")).alias("key_fact"))
 
     first = entry(F.concat(F.lit("raw_"), F.coalesce("other_id", F.lit("missing"))))
     second = entry(F.when(p % 10 == 0, F.lit("raw_unknown")).otherwise(F.concat(F.lit("raw_"), F.col("id"))))
@@ -242,7 +242,7 @@ def sections(spark: SparkSession, sf: str) -> DataFrame:
 def _sql_entry(evidence_id: str) -> str:
     return ("{" + f"evidence_id: {evidence_id}, title: CASE WHEN position % 7 = 0 THEN '' ELSE title END, "
             "publisher: CASE WHEN position % 11 = 0 THEN '' ELSE publisher END, "
-            "key_fact: CASE WHEN position % 4 = 1 THEN '' ELSE left(full_text, 40) END}")
+            "key_fact: CASE WHEN position % 4 = 1 THEN '' ELSE full_text END}")
 
 
 cte("sections", f"""
@@ -273,7 +273,7 @@ def claims(spark: SparkSession, sf: str) -> DataFrame:
         p.alias("claim_id"), "category", p.alias("position"),
         pick(p, ["insight", "early_signal", "outlook"]).alias("kind"),
         F.when(p % 8 == 0, F.substring("title", 1, 9)).otherwise(F.col("title")).alias("text"),
-        F.when(p % 7 == 0, F.lit("short")).otherwise(F.substring("full_text", 1, 60)).alias("implication"),
+        F.when(p % 7 == 0, F.lit("short")).otherwise(F.col("full_text")).alias("implication"),
         pick(F.floor(p / 3), ["high", "medium", "low", "sure"]).alias("confidence"),
         pick(p, vocab.MATURITIES).alias("maturity"),
         pick(p, ["trend", "insight", "early_signal", "outlook", "guess"]).alias("claim_type"),
@@ -287,7 +287,7 @@ cte("claims", f"""
   SELECT position AS claim_id, category, position,
     {sql_pick('position', ['insight', 'early_signal', 'outlook'])} AS kind,
     CASE WHEN position % 8 = 0 THEN left(title, 9) ELSE title END AS text,
-    CASE WHEN position % 7 = 0 THEN 'short' ELSE left(full_text, 60) END AS implication,
+    CASE WHEN position % 7 = 0 THEN 'short' ELSE full_text END AS implication,
     {sql_pick('position // 3', ['high', 'medium', 'low', 'sure'])} AS confidence,
     {sql_pick('position', vocab.MATURITIES)} AS maturity,
     {sql_pick('position', ['trend', 'insight', 'early_signal', 'outlook', 'guess'])} AS claim_type,

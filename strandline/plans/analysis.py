@@ -22,11 +22,11 @@ def enrich(df: DataFrame, as_of: Column, *, whole_word: bool = False) -> DataFra
 def two_pass_score(df: DataFrame, as_of: Column, *, hot_rows: int = HOT_ROWS) -> DataFrame:
     """score -> cluster -> score again, where members that do not represent their cluster lose points.
 
-    Only position, id, title, category and score are written and clustered; the clusters are joined
-    back on the unique position, so texts stay in the source and columns nobody asks for are pruned.
+    The enriched rows are written once and only position, id, title, category and score are clustered; the clusters
+    are joined back on the unique position, and columns that nobody asks for are neither read again nor shuffled.
     """
-    first = enrich(df, as_of)
-    slim = cut_lineage(first.select("position", "id", "title", "category", "rawfact_score"), "first-pass")
+    first = cut_lineage(enrich(df, as_of), "first-pass")
+    slim = first.select("position", "id", "title", "category", "rawfact_score")
     clusters = graph.cluster_records(slim, F.col("rawfact_score"), hot_rows=hot_rows).select("position", *CLUSTER_COLUMNS)
     return score.rawfact_score(first.join(clusters, "position"), as_of)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from strandline import vocab
@@ -109,10 +109,11 @@ def ingest_batch(raw: DataFrame, as_of: Column, window: tuple[Column, Column] |
     """Every input row with the stage it ended at and why, all its columns cleaned and tagged.
 
     stage: window / duplicate / rejected / invalid / stored.  ``window=None`` skips the
-    publish-date filter.  The decisions come from ``ingest_decisions`` and are joined by rank.
+    publish-date filter.  The cleaned rows are written once; decisions are made on their keys and joined by rank, and
+    a column that nobody asks for is neither read again nor shuffled.
     """
-    rows = _judged(raw, as_of, window)
-    decided = ingest_decisions(raw, as_of, window).select("rank", "stage", "reason")
+    rows = cut_lineage(_judged(raw, as_of, window), "ingest-rows")
+    decided = _decided(rows.select(*_verdicts(rows))).select("rank", "stage", "reason")
     rows = classify.eligibility(classify.quick_tags(rows.join(decided, "rank"), tag_rules), as_of, window)
     return rows.withColumn("needs_review", F.col("needs_review") | F.col("acceptance.needs_review")) \
         .drop("kept", "window_reason", "acceptance")
@@ -133,9 +134,17 @@ def ingest_decisions(raw: DataFrame, as_of: Column, window: tuple[Column, Column
     """rank, position, date_published, stage and reason of every input row: what the funnel, the backfill and other
     counts need.  One pass over the texts writes keys and verdicts; no text is written or shuffled."""
     judged = _judged(raw, as_of, window)
-    slim = cut_lineage(judged.select("rank", "position", "date_published", "kept", "window_reason", "usable",
-                                     F.col("acceptance.accepted").alias("accepted"), F.col("acceptance.reason").alias("why"),
-                                     *_hashed_keys(judged)), "ingest")
+    return _decided(judged.select(*_verdicts(judged)))
+
+
+def _verdicts(judged: DataFrame) -> list:
+    """What decisions are made on: rank, dates, verdicts and hashed keys."""
+    return ["rank", "position", "date_published", "kept", "window_reason", "usable", F.col("acceptance.accepted").alias("accepted"),
+            F.col("acceptance.reason").alias("why"), *_hashed_keys(judged)]
+
+
+def _decided(verdicts: DataFrame) -> DataFrame:
+    slim = cut_lineage(verdicts, "ingest-verdicts")
     drops = dedupe.exact_drops(slim.where("kept"), {k: F.col(k) for k in KEY_COLUMNS}).select("rank", F.lit(True).alias("_dup"))
     rows = slim.join(drops, "rank", "left").withColumn("_dup", F.coalesce("_dup", F.lit(False)))
     stage = (F.when(~F.col("kept"), F.lit("window")).when(F.col("_dup"), F.lit("duplicate"))
@@ -161,6 +170,20 @@ def funnel_counts(ingested: DataFrame) -> DataFrame:
     return ingested.select(F.explode(F.concat(passed, dropped)).alias("step")).groupBy("step").agg(F.count("*").alias("rows"))
 
 
+def write_observed(ingested: DataFrame, path: str) -> dict[str, int]:
+    """Write the rows and return the funnel's counts, observed while they pass: no row is read for counting.
+
+    A repeated write replaces the rows and observes them anew.  Steps that no row reaches count zero.
+    """
+    seen = Observation("ingest funnel")
+    reached = F.array_position(F.array(*[F.lit(s) for s in STAGES]), F.col("stage"))
+    names = ["raw", "within_window", "deduped", "accepted", "usable"]
+    passed = [F.count_if(reached >= i).alias(n) for i, n in enumerate(names, 1)]
+    removed = [F.count_if(F.col("stage") == s).alias(f"removed_{s}") for s in STAGES[:-1]]
+    ingested.observe(seen, *passed, *removed).write.mode("overwrite").parquet(path)
+    return {k: int(v) for k, v in seen.get.items()}
+
+
 def backfill_runs(ingested: DataFrame, ts: str = "date_published") -> DataFrame:
     """Raw and saved totals per reporting day: every row is assigned its chunk in one pass."""
     return (ingested.where(F.col(ts).isNotNull()).groupBy(times.day_bucket(F.col(ts)).alias("w"))

@@ -79,6 +79,11 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def subfolders(spark: SparkSession, path: str) -> list[str]:
     """Names of the folders directly in ``path``, sorted; none if there is no such folder."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

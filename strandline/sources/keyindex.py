@@ -19,7 +19,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.runtime import cut_lineage, drop_path, subfolders
+from strandline.runtime import cut_lineage, drop_path, path_exists, subfolders
 
 SPLIT_ROWS = 1_000_000    # keys of a bucket before it is split
 MAX_PARTS = 16            # batches that a bucket's files may stem from
@@ -146,12 +146,9 @@ class KeyIndex:
 
     def catch_up(self) -> int:
         """Take in the table's files that the index does not cover; returns how many there were."""
-        try:
-            files = self.spark.read.parquet(self.table).inputFiles()
-        except Exception as exc:  # no table yet
-            if "PATH_NOT_FOUND" in str(exc) or "UNABLE_TO_INFER_SCHEMA" in str(exc):
-                return 0
-            raise
+        if not path_exists(self.spark, self.table):
+            return 0
+        files = self.spark.read.parquet(self.table).inputFiles()
         covered = {r[0] for r in self._of_version("files", FILES).collect()}  # names of the table's files
         missing = sorted(set(files) - covered)
         if not missing:

@@ -10,18 +10,18 @@ from pyspark.sql import functions as F
 from strandline import schemas, vocab
 from strandline.functions import rules, text, times, urls
 from strandline.operators.dedupe import dedupe_first, dedupe_last
+from strandline.sources import jsonarray
 
 
 def json_records(spark: SparkSession, path: str, schema: str = schemas.RAW_ITEM) -> DataFrame:
-    """Files that each hold one JSON array of items.  A missing path, or any file that does not start with
-    ``[``, is an error."""
-    heads = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"), F.col("value").rlike(r"^[\s\uFEFF]*\[").alias("array"))
-    wrong = heads.groupBy("file").agg(F.bool_and("array").alias("array"))
-    seen = wrong.agg(F.count("*").alias("n"), F.min(F.when(~F.col("array"), F.col("file"))).alias("bad")).first()
-    if seen["n"] == 0 or seen["bad"] is not None:
-        raise ValueError(f"{seen['bad'] or path} does not hold a JSON array")
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    """Files that each hold one JSON array of items, however large: a file is read by many tasks.
+
+    A missing path is an error at once; a file that is no array of objects, or ends inside an item, is one when it
+    is read, and so is an item that is no JSON.
+    """
+    rows = jsonarray.array_items(spark, path)
+    read = F.from_json("item", schema, {"mode": "FAILFAST"})
+    return rows.select(read.alias("r")).select("r.*")
 
 
 def _first_in_file(df: DataFrame, k: int) -> DataFrame:

@@ -7,6 +7,8 @@ write is one Spark job, so a lost executor only repeats its tasks.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,13 +19,15 @@ from strandline.operators import graph
 from strandline.operators.dedupe import first_per_key
 from strandline.operators.skew import HOT_ROWS
 from strandline.sources.keyindex import KeyIndex, key_hash
-from strandline.runtime import cut_lineage, drop_path
+from strandline.runtime import cut_lineage, drop_path, path_exists
 
 BUCKET = "_bucket"
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
     """The stored table, or None before the first write."""
+    if not path_exists(spark, path):
+        return None
     try:
         return spark.read.parquet(path)
     except AnalysisException as exc:
@@ -32,11 +36,12 @@ def read_table(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def append_new(df: DataFrame, path: str, keys: list[str], order: list[Column], partition_by: list[str] | None = None) -> None:
+def append_new(df: DataFrame, path: str, keys: list[str], order: list[Column], partition_by: list[str] | None = None,
+               layout: Callable[[DataFrame], DataFrame] | None = None) -> None:
     """Insert rows whose key is not stored yet; the first write of a key wins, also inside a batch.
 
     The stored keys are looked up through the index beside the table (``<path>_keys``), so a batch reads what may
-    hold its keys and not all of them.  A key with nulls is a key like any other.
+    hold its keys and not all of them.  A key with nulls is a key like any other.  ``layout`` orders the rows for writing.
     """
     index = KeyIndex(df.sparkSession, f"{path.rstrip('/')}_keys", path, keys)
     index.catch_up()
@@ -45,7 +50,7 @@ def append_new(df: DataFrame, path: str, keys: list[str], order: list[Column], p
         a, b = key_hash(keys)
         known = index.stored(df.select(*keys)).select(F.col("a").alias("_a"), F.col("b").alias("_b"))
         rows = rows.withColumns({"_a": a, "_b": b}).join(known, ["_a", "_b"], "left_anti").drop("_a", "_b")
-    writer = rows.write.mode("append")
+    writer = (rows if layout is None else layout(rows)).write.mode("append")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -80,10 +80,15 @@ def late_report_batch(kept: str, late: str, ts: str, start: Column, end: Column)
 
 def counted_batch(metrics: str, batch):
     """``batch`` with a row (batch_id, input_rows) written to the folder ``metrics`` for every micro-batch; a repeated
-    batch replaces its own row, and no number of batches is too large."""
+    batch replaces its own row, and no number of batches is too large.
+
+    The rows are counted as they pass through ``batch``'s first action, so ``batch`` must act on what it is given.
+    """
     def write(df: DataFrame, batch_id: int) -> None:
-        batch(df, batch_id)
-        df.agg(F.count("*").alias("input_rows")).write.mode("overwrite").parquet(f"{metrics}/batch_id={batch_id}")
+        seen = Observation(f"batch {batch_id}")
+        batch(df.observe(seen, F.count("*").alias("input_rows")), batch_id)
+        row = df.sparkSession.createDataFrame([(int(seen.get["input_rows"]),)], "input_rows bigint")
+        row.write.mode("overwrite").parquet(f"{metrics}/batch_id={batch_id}")
     return write
 
 

@@ -17,8 +17,8 @@ def test_json_must_be_an_array(spark, tmp_path):
     (tmp_path / "ok.json").write_text('[{"title": "a", "url": "u"},\n {"title": "b"}]')
     (tmp_path / "bad.json").write_text('{"title": "a"}')
     assert scans.json_records(spark, str(tmp_path / "ok.json")).count() == 2
-    with pytest.raises(ValueError):
-        scans.json_records(spark, str(tmp_path / "bad.json"))
+    with pytest.raises(Exception, match="does not hold a JSON array"):
+        scans.json_records(spark, str(tmp_path / "bad.json")).count()
     with pytest.raises(AnalysisException):
         scans.json_records(spark, str(tmp_path / "missing.json"))
 
