@@ -5,8 +5,8 @@ give only part of the candidates here; the others come from bands of minimal shi
 share with a probability of 0.9996.  No candidate is a link before the Jaccard similarity of its two texts' distinct
 shingles is known to reach the threshold; groups are the components over such links.
 
-A band that many texts share is linked to its first text.  What that leaves apart is then compared pair by pair, so nothing
-is lost, and a family of near copies costs a star, not its square.
+The texts of a band that many share are compared with the one in their middle.  A band that this leaves in several groups is
+then searched whole, block by block, inside tasks that emit a spanning forest; so nothing is lost and no pairs are written.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ WIDTH = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 5       # 1 - (1 - 0.8**5)**20 = 0.9996
 SMALL = 8                 # texts of a band that are compared pair by pair at once
+BLOCK = 1024              # texts of a large band in one block; two blocks are searched by one task
 SALT_ROWS = 64            # pairs of a band's first text that one copy of it is joined with
 
 _RNG = np.random.default_rng(20)
@@ -85,6 +86,32 @@ def _shingle_sets(width: int):
     return run
 
 
+def _forest(similarity: float):
+    """Links of a spanning forest over one cell's texts: from text to similar text, each reached once, through their common shingles."""
+    def run(cell: pa.Table) -> pa.Table:
+        ids, lists = cell["id"], cell["shingles"].combine_chunks()
+        codes = np.asarray(lists.flatten().dictionary_encode().indices).astype(np.int64)
+        size = np.diff(np.asarray(lists.offsets)).astype(np.int64)
+        holders = np.repeat(np.arange(len(size)), size)[np.argsort(codes, kind="stable")]
+        first = np.concatenate([[0], np.cumsum(np.bincount(codes))])
+        own = np.concatenate([[0], np.cumsum(size)])
+        waiting, a, b = np.ones(len(size), dtype=bool), [], []
+        for root in range(len(size)):
+            front = [root] if waiting[root] else []
+            waiting[root] = False
+            while front and waiting.any():
+                s = front.pop()
+                shared = np.bincount(np.concatenate([holders[first[c]:first[c + 1]] for c in codes[own[s]:own[s + 1]].tolist()]), minlength=len(size))
+                at = np.flatnonzero(waiting & (shared > 0))
+                at = at[shared[at] / (size[s] + size[at] - shared[at]) >= similarity]
+                waiting[at] = False
+                front += at.tolist()
+                a += [s] * len(at)
+                b += at.tolist()
+        return pa.table({"a": ids.take(pa.array(a, pa.int64())), "b": ids.take(pa.array(b, pa.int64()))})
+    return run
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The (a, b) of ``pairs`` (a, b, parts) whose shingle sets reach ``similarity``.
 
@@ -111,9 +138,13 @@ def groups(texts: DataFrame, *, similarity: float = SIMILARITY, width: int = WID
     one = cut_lineage(signed.where("fp is not null"), "near-signatures")
     one_each = one.select("id", "fp", "bands").dropDuplicates(["id"])
     bands = cut_lineage(one_each.select("id", F.posexplode("bands").alias("band", "value")), "near-bands")
-    sizes = bands.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
+    sizes = bands.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
     sized = lookup_join(bands, cut_lineage(sizes.withColumn("_n", F.col("n")), "near-sizes"), ["band", "value"], count_col="_n")
-    sized = cut_lineage(sized, "near-sized")
+    # The text that shares its bands with most others stands in the middle of a family: the others are compared with it.
+    weights = sized.groupBy("id").agg(F.sum("n").alias("weight"))
+    sized = cut_lineage(sized.join(weights, "id"), "near-weighed")
+    middle = sized.where(F.col("n") > SMALL).groupBy("band", "value").agg(F.max_by("id", F.struct("weight", "id")).alias("first"), F.count("*").alias("_n"))
+    sized = cut_lineage(lookup_join(sized.drop("weight"), cut_lineage(middle, "near-middles"), ["band", "value"], count_col="_n", how="left"), "near-sized")
     few, many = sized.where(F.col("n") <= SMALL), sized.where(F.col("n") > SMALL)
     stars = many.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("parts"))
     single = F.lit(1).alias("parts")
@@ -135,18 +166,17 @@ def groups(texts: DataFrame, *, similarity: float = SIMILARITY, width: int = WID
     links = cut_lineage(_verified(pairs, sets, similarity), "near-links")
     found = cut_lineage(connected_components(links), "near-groups")
 
-    # A band of many texts that its star left in several components: all but the largest are compared with all others.
+    # A band of many texts that its star left in several components is searched whole, in pairs of blocks.
     placed = many.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    main = placed.groupBy("band", "value").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.mode("component", True).alias("main")).where("low <> high")
-    main = cut_lineage(main.select("band", "value", "main"), "near-apart")
-    if main.isEmpty():
+    apart = placed.groupBy("band", "value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    apart = cut_lineage(apart.select("band", "value"), "near-apart")
+    if apart.isEmpty():
         return found
-    apart = cut_lineage(placed.join(main, ["band", "value"]).select("band", "value", "main", "id", "component", "n"), "near-placed")
-    rest = apart.where("component <> main").select("band", "value", F.col("id").alias("a"), F.col("component").alias("ca"))
-    others = apart.select("band", "value", F.col("id").alias("b"), F.col("component").alias("cb"), "main", F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("parts"))
-    crossed = rest.join(others, ["band", "value"]).where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))))
-    more = _verified(crossed.select("a", "b", "parts"), sets, similarity)
-    return connected_components(links.unionByName(more))
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = many.join(apart, ["band", "value"]).withColumns({"mine": F.pmod(F.xxhash64("id"), parts).cast("int"), "other": F.explode(F.sequence(F.lit(0), parts - 1))})
+    cells = dealt.select("band", "value", "id", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q")).join(sets, "id")
+    more = cells.groupBy("band", "value", "p", "q").applyInArrow(_forest(similarity), "a string, b string")
+    return connected_components(cut_lineage(links.unionByName(more.distinct()), "near-links"))
 
 
 def keep_one(docs: DataFrame, *, similarity: float = SIMILARITY, width: int = WIDTH, bits: int = 6, key: str = "doc_id", text: str = "text") -> DataFrame:
