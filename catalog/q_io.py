@@ -268,7 +268,7 @@ def _(spark, sf):
                               "error_message": F.when(bad, F.lit("read failed"))})
     path = scratch_path(spark, "runs")
     for part in (started, ended):
-        part.drop("d", "n").write.mode("append").parquet(path)
+        sinks.log_run(spark, path, part.drop("d", "n"))
     return sinks.latest_runs(spark.read.parquet(path)).select("run_id", "status", "source_count")
 
 

@@ -13,7 +13,7 @@ from strandline.functions import text, times, urls
 from strandline.operators import aggregate, classify, filters, intervals, joins
 from strandline.plans import ingest
 from strandline.runtime import scratch_path
-from strandline.sources import dated, sinks, trigrams
+from strandline.sources import dated, scans, sinks, trigrams
 
 LO, HI = "2024-06-01 00:00:00", "2024-09-01 00:00:00"
 PRIORITIES = ["critical", "high", "medium", "low", "background", "odd"]
@@ -107,8 +107,8 @@ def _(spark, sf):
 def _(spark, sf):
     s = sources(spark, sf)
     wanted = F.substring(F.sha2(F.lit("doc:42"), 256), 1, 36)
-    key = s.where("position = 42").select(F.coalesce(F.col("id"), wanted).alias("id"))
-    return s.join(F.broadcast(key), "id", "left_semi").select("position", "title")
+    key = s.where("position = 42").select(F.coalesce(F.col("id"), wanted)).first()
+    return filters.lookup_by_key(s, "id", key[0] if key else None).select("position", "title")
 
 
 def snapshots(spark, sf):
@@ -297,12 +297,14 @@ def _(spark, sf):
   SELECT s.position, r.source_type, r.trust_tier, r.enabled FROM sources s JOIN (
     SELECT publisher, mode(source_type ORDER BY source_type) AS st, min(source_type) AS source_type, min(trust_tier) AS trust_tier, length(publisher) > 4 AS enabled FROM sources GROUP BY publisher) r USING (publisher)) WHERE enabled""", ["sources"])
 def _(spark, sf):
-    """The registry is a table the user supplies; here it is derived from the publishers."""
+    """The registry is a file the user supplies; here it is derived from the publishers."""
     s = sources(spark, sf)
     registry = s.groupBy("publisher").agg(
         F.min("source_type").alias("source_type"), F.min("trust_tier").alias("trust_tier")).withColumns({
             "retrieval_method": F.lit("rss"), "enabled": F.length("publisher") > 4})
-    return joins.stamp_from_registry(s.drop("source_type", "trust_tier"), registry).select(
+    path = scratch_path(spark, "registry")
+    registry.write.json(path)
+    return joins.stamp_from_registry(s.drop("source_type", "trust_tier"), scans.feed_registry(spark, path).select(*registry.columns)).select(
         "position", "source_type", "trust_tier", "retrieval_method")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline import vocab
 from strandline.functions import times
+from strandline.runtime import cut_lineage
 
 # metric name -> column of the enriched frame
 SCALAR_METRICS = {
@@ -187,10 +188,10 @@ def metric_members(df: DataFrame) -> DataFrame:
 
 
 def share(df: DataFrame, key: Column, name: str) -> DataFrame:
-    """Count and share of the total per key."""
-    counts = df.groupBy(key.alias(name)).agg(F.count("*").alias("count"))
-    total = F.sum("count").over(Window.partitionBy(F.lit(1)))
-    return counts.withColumn("share", F.col("count") / total)
+    """Count and share of the total per key; the counts are written once, so any number of keys is added up in many tasks."""
+    counts = cut_lineage(df.groupBy(key.alias(name)).agg(F.count("*").alias("count")), "share")
+    total = counts.agg(F.sum("count")).first()[0]
+    return counts.withColumn("share", F.col("count") / F.lit(total))
 
 
 def priority_bar(df: DataFrame) -> DataFrame:

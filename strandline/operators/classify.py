@@ -9,6 +9,7 @@ from strandline import vocab
 from strandline.functions import rules, text, times, urls
 from strandline.functions.rules import blank, flags, ladder, points, text_length
 from strandline.operators.skew import hot_join
+from strandline.runtime import cut_lineage
 
 REVIEW_FLAGS = ["missing_publisher", "possible_non_english", "date_before_2020", "minimal_text", "no_publish_date"]
 BLOCKING_FLAGS = ["missing_title", "missing_url", "unsafe_url", "duplicate_id", "duplicate_content"]
@@ -221,9 +222,14 @@ def type_change_stats(df: DataFrame) -> DataFrame:
 
 def join_known(df: DataFrame, known: DataFrame) -> DataFrame:
     """duplicate_of by stored id, else by stored content hash; null ids and hashes are never known.
-    ``known``: (kind, value), distinct.  Boilerplate shares one content hash, so hot hashes are looked up apart."""
-    ids = known.where("kind = 'id'").select(F.col("value").alias("id"), F.lit(True).alias("_by_id"))
-    hashes = known.where("kind = 'content_hash'").select(F.col("value").alias("content_hash"), F.lit(True).alias("_by_hash"))
+    ``known``: (kind, value), distinct.  The known keys that the batch has are found first, from its keys alone, so its
+    other columns are joined with those and not with all that is known.  Boilerplate shares one content hash, so hot hashes
+    are looked up apart."""
+    def met(kind: str, mark: str) -> DataFrame:
+        mine = df.select(F.col("id" if kind == "id" else "content_hash").alias("value")).distinct()
+        found = known.where(F.col("kind") == kind).join(mine, "value", "left_semi")
+        return cut_lineage(found.select(F.col("value").alias(kind), F.lit(True).alias(mark)), "known-keys")
+    ids, hashes = met("id", "_by_id"), met("content_hash", "_by_hash")
     out = hot_join(df.join(ids, "id", "left"), hashes, ["content_hash"], how="left")
     return (out.withColumn("duplicate_kind", F.when(F.col("_by_id"), F.lit("duplicate_id"))
                            .when(F.col("_by_hash"), F.lit("duplicate_content")))

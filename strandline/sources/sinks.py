@@ -142,8 +142,12 @@ def json_archive(df: DataFrame, root: str, date_key: str, run_id: str) -> None:
     df.write.mode("overwrite").json(f"{root}/{date_key}/latest")
 
 
-def log_run(spark: SparkSession, path: str, rows: list[dict]) -> None:
-    spark.createDataFrame(rows, schemas.RUN_LOG).write.mode("append").parquet(path)
+def log_run(spark: SparkSession, path: str, rows: list[dict] | DataFrame) -> None:
+    """Append states of runs to the log; columns that ``rows`` lacks are null."""
+    log = rows if isinstance(rows, DataFrame) else spark.createDataFrame(rows, schemas.RUN_LOG)
+    shape = spark.createDataFrame([], schemas.RUN_LOG).schema
+    log.select(*[(F.col(f.name) if f.name in log.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in shape]) \
+        .write.mode("append").parquet(path)
 
 
 def latest_runs(log: DataFrame, limit: int | None = None) -> DataFrame:
