@@ -15,6 +15,7 @@ One writer at a time, as for the table itself.
 from __future__ import annotations
 
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -148,7 +149,7 @@ class KeyIndex:
         """Take in the table's files that the index does not cover; returns how many there were."""
         if not path_exists(self.spark, self.table):
             return 0
-        files = self.spark.read.parquet(self.table).inputFiles()
+        files = [unquote(f) for f in self.spark.read.parquet(self.table).inputFiles()]  # Spark names them as URLs
         covered = {r[0] for r in self._of_version("files", FILES).collect()}  # names of the table's files
         missing = sorted(set(files) - covered)
         if not missing:

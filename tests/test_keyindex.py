@@ -80,3 +80,11 @@ def test_a_writer_that_stopped_half_way(spark, tmp_path):
     index.catch_up()
     assert found(index, spark, [12, 17, 501]) == [12, 17]
     assert len(subfolders(spark, path + "_keys/parts")) <= 3
+
+
+def test_partition_names_that_need_escapes(spark, tmp_path):
+    path = str(tmp_path / "t t")
+    rows = spark.createDataFrame([(1, "a b:c/%é"), (2, "x={y}")], "id long, part string")
+    for _ in range(3):
+        sinks.append_new(rows, path, ["id"], [F.asc("id")], ["part"])
+    assert sorted((r["id"], r["part"]) for r in spark.read.parquet(path).collect()) == [(1, "a b:c/%é"), (2, "x={y}")]
