@@ -17,7 +17,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("bpe", stages.bpe_stage),
 ]
 
-# The classifier, SimHash and BPE stages have no SQL form; tests/llm/test_pipeline.py holds the brute-force version.
+# The classifier, SimHash and BPE stages have no SQL form; tests/llm/test_llm_pipeline.py holds the brute-force version.
 ORACLE_SQL = None
 
 
