@@ -41,7 +41,7 @@ class Codec:
     """One tokenizer in one process: the merges as ranks where they are proven to agree, else the library itself.
 
     The rank encoder is used for text whose characters all lie below U+0250 and that holds no special
-    token; there both were compared character by character (tests/llm/test_bpe.py).
+    token; there both were compared character by character (tests/llm/test_llm_bpe.py).
     """
 
     def __init__(self, json_path: str, ranks_path: str):
