@@ -188,11 +188,11 @@ def _(spark, sf):
 
 @query("search_indexed", "SELECT position FROM prioritised WHERE contains(lower(title), 'tion') OR contains(lower(publisher), 'tion') OR len(list_filter(tags, lambda t: contains(lower(t), 'tion'))) > 0", ["prioritised"])
 def _(spark, sf):
-    """The same substring search through stored trigram lists, built in two batches, the second of which comes twice."""
+    """The same substring search through stored trigram lists, built in two batches, the second of which holds all rows."""
     path = scratch_path(spark, "trigrams")
     rows = prioritised(spark, sf).select("position", "title", "publisher", "tags")
-    for rest in (0, 1, 1):
-        trigrams.add(rows.where(F.col("position") % 2 == rest), path)
+    for batch in (rows.where("position % 2 = 0"), rows):
+        trigrams.add(batch, path)
     return trigrams.search(spark, path, " TION").select(F.col("key").alias("position"))
 
 
