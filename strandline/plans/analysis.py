@@ -9,6 +9,7 @@ from strandline.operators import classify, graph, score, taxonomy
 from strandline.operators.skew import HOT_ROWS
 from strandline.runtime import cut_lineage
 
+TEXTS = ["full_text", "clean_text", "raw_text", "raw_html"]
 CLUSTER_COLUMNS = ["cluster_id", "cluster_size", "representative_title", "is_multi_source", "is_representative", "cluster_theme"]
 
 
@@ -22,13 +23,18 @@ def enrich(df: DataFrame, as_of: Column, *, whole_word: bool = False) -> DataFra
 def two_pass_score(df: DataFrame, as_of: Column, *, hot_rows: int = HOT_ROWS) -> DataFrame:
     """score -> cluster -> score again, where members that do not represent their cluster lose points.
 
-    The enriched rows are written once and only position, id, title, category and score are clustered; the clusters
-    are joined back on the unique position, and columns that nobody asks for are neither read again nor shuffled.
+    The enriched rows are written once, without their texts, and only position, id, title, category and score are
+    clustered.  Clusters and texts are joined back on the unique position; columns that nobody asks for are neither read
+    again nor shuffled.
     """
-    first = cut_lineage(enrich(df, as_of), "first-pass")
+    first = enrich(df, as_of)
+    texts = [c for c in TEXTS if c in first.columns]
+    columns = first.columns
+    first = cut_lineage(first.drop(*texts), "first-pass")
     slim = first.select("position", "id", "title", "category", "rawfact_score")
     clusters = graph.cluster_records(slim, F.col("rawfact_score"), hot_rows=hot_rows).select("position", *CLUSTER_COLUMNS)
-    return score.rawfact_score(first.join(clusters, "position"), as_of)
+    both = first.join(clusters, "position").join(df.select("position", *texts), "position")
+    return score.rawfact_score(both.select(*columns, *CLUSTER_COLUMNS), as_of)
 
 
 def rawfact_counts(df: DataFrame) -> DataFrame:
