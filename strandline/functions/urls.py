@@ -125,10 +125,13 @@ def curated_publisher(url: Column) -> Column:
 
 
 def infer_date(url: Column, as_of: Column) -> Column:
-    """First plausible date in the path or query: 2020 or later, not after ``as_of``."""
+    """First plausible date in the path or query: 2020 or later, not after ``as_of``.
+
+    A month counts only where no day follows it: a day outside the range is not taken for the first of its month.
+    """
     found = [
         F.regexp_replace(F.regexp_extract(url, r"/(\d{4}/\d{2}/\d{2})/", 1), "/", "-"),
-        F.concat(F.regexp_replace(F.regexp_extract(url, r"/(\d{4}/\d{2})/", 1), "/", "-"), F.lit("-01")),
+        F.concat(F.regexp_replace(F.regexp_extract(url, r"/(\d{4}/\d{2})/(?!\d{2}/)", 1), "/", "-"), F.lit("-01")),
         F.regexp_extract(url, r"-(\d{4}-\d{2}-\d{2})[-/.]", 1),
         F.regexp_extract(url, r"[?&](?:date|d)=(\d{4}-\d{2}-\d{2})", 1),
     ]
