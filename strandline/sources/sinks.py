@@ -59,8 +59,12 @@ def append_versions(df: DataFrame, path: str, order: list[Column]) -> None:
     append_new(df.where(F.coalesce("content_hash", F.lit("")) != ""), path, ["source_id", "content_hash"], order)
 
 
-def _bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
-    return df.withColumn(BUCKET, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+def _columns(key: str | list[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def _bucketed(df: DataFrame, key: str | list[str], buckets: int) -> DataFrame:
+    return df.withColumn(BUCKET, F.pmod(F.xxhash64(*_columns(key)), F.lit(buckets)).cast("int"))
 
 
 def _overwrite_buckets(df: DataFrame, path: str) -> None:
@@ -72,29 +76,31 @@ def _by_content(df: DataFrame) -> list[Column]:
     return [F.xxhash64(*df.columns)]
 
 
-def replace_by_key(df: DataFrame, path: str, key: str, buckets: int = 64, order: list[Column] | None = None) -> None:
-    """Insert or replace rows by key.  Of rows of one batch with the same key the first by ``order`` is stored.  The
+def replace_by_key(df: DataFrame, path: str, key: str | list[str], buckets: int = 64, order: list[Column] | None = None) -> None:
+    """Insert or replace rows by key, a column or several.  Of rows of one batch with the same key the first by ``order`` is stored.  The
     merged buckets are materialised before they are overwritten."""
-    new = _bucketed(first_per_key(df, [key], order or _by_content(df)), key, buckets)
+    keys = _columns(key)
+    new = _bucketed(first_per_key(df, keys, order or _by_content(df)), keys, buckets)
     stored = read_table(df.sparkSession, path)
     if stored is None:
         _overwrite_buckets(new, path)
         return
     touched = F.broadcast(new.select(BUCKET).distinct())
-    old = stored.join(touched, BUCKET, "left_semi").join(new.select(key), key, "left_anti")
+    old = stored.join(touched, BUCKET, "left_semi").join(new.select(*keys), keys, "left_anti")
     merged = old.unionByName(new, allowMissingColumns=True)
     _overwrite_buckets(cut_lineage(merged, "replace"), path)
 
 
-def update_by_key(df: DataFrame, path: str, key: str, columns: list[str], buckets: int = 64, order: list[Column] | None = None) -> None:
+def update_by_key(df: DataFrame, path: str, key: str | list[str], columns: list[str], buckets: int = 64, order: list[Column] | None = None) -> None:
     """Update ``columns`` of stored rows from ``df``; null values keep the old ones.  Of rows of one batch with the
     same key the first by ``order`` counts."""
     stored = read_table(df.sparkSession, path)
     if stored is None:
         return
-    new = _bucketed(first_per_key(df, [key], order or _by_content(df)), key, buckets).select(key, BUCKET, *[F.col(c).alias(f"_new_{c}") for c in columns])
+    keys = _columns(key)
+    new = _bucketed(first_per_key(df, keys, order or _by_content(df)), keys, buckets).select(*keys, BUCKET, *[F.col(c).alias(f"_new_{c}") for c in columns])
     touched = F.broadcast(new.select(BUCKET).distinct())
-    joined = stored.join(touched, BUCKET, "left_semi").join(new.drop(BUCKET), key, "left")
+    joined = stored.join(touched, BUCKET, "left_semi").join(new.drop(BUCKET), keys, "left")
     merged = joined.withColumns({c: F.coalesce(f"_new_{c}", c) for c in columns}).select(*stored.columns)
     _overwrite_buckets(cut_lineage(merged, "update"), path)
 
@@ -127,12 +133,12 @@ def append_links(links: DataFrame, path: str, buckets: int = 64, *, hot_rows: in
     return len(touched)
 
 
-def enrichment_update(df: DataFrame, path: str, columns: list[str], buckets: int = 64) -> None:
+def enrichment_update(df: DataFrame, path: str, columns: list[str], buckets: int = 64, key: str | list[str] = "id") -> None:
     """Write back rows stamped with the current taxonomy version."""
-    update_by_key(df.where(F.col("taxonomy_version") == vocab.TAXONOMY_VERSION), path, "id", columns, buckets)
+    update_by_key(df.where(F.col("taxonomy_version") == vocab.TAXONOMY_VERSION), path, key, columns, buckets)
 
 
-def create_keyed(df: DataFrame, path: str, key: str, buckets: int = 64) -> None:
+def create_keyed(df: DataFrame, path: str, key: str | list[str], buckets: int = 64) -> None:
     _overwrite_buckets(_bucketed(df, key, buckets), path)
 
 
