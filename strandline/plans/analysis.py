@@ -10,7 +10,7 @@ from strandline.operators.skew import HOT_ROWS
 from strandline.runtime import cut_lineage
 
 TEXTS = ["full_text", "clean_text", "raw_text", "raw_html"]
-CLUSTER_COLUMNS = ["cluster_id", "cluster_size", "representative_title", "is_multi_source", "is_representative", "cluster_theme"]
+CLUSTER_COLUMNS = ["cluster_id", "component", "cluster_size", "representative_title", "is_multi_source", "is_representative", "cluster_theme"]
 
 
 def enrich(df: DataFrame, as_of: Column, *, whole_word: bool = False) -> DataFrame:
@@ -42,15 +42,15 @@ def rawfact_counts(df: DataFrame) -> DataFrame:
     return df.agg(
         F.count("*").alias("total"), F.count_if(F.col("evidence_card").isNotNull()).alias("evidence_cards"),
         *[F.count_if(p == b).alias(b) for b in ("must_read", "high", "medium", "low", "archive_only")],
-        F.count_distinct("cluster_id").alias("clusters"),
-        F.count_distinct(F.when(F.col("is_multi_source"), F.col("cluster_id"))).alias("multi_source_clusters"))
+        F.count_distinct("component").alias("clusters"),
+        F.count_distinct(F.when(F.col("is_multi_source"), F.col("component"))).alias("multi_source_clusters"))
 
 
 def synthesis_counts(df: DataFrame, claims: DataFrame) -> DataFrame:
     p = F.col("rawfact_priority")
     whole = df.agg(F.count("*").alias("total_sources"), F.count_if(p.isin("must_read", "high")).alias("high_priority"),
                    F.count_if(F.col("evidence_card").isNotNull()).alias("evidence_cards"),
-                   F.count_distinct(F.when(F.col("is_multi_source"), F.col("cluster_id"))).alias("clusters"))
+                   F.count_distinct(F.when(F.col("is_multi_source"), F.col("component"))).alias("clusters"))
     said = claims.agg(F.count_if(F.col("kind") == "insight").alias("insights"),
                       F.count_if(F.col("kind") == "early_signal").alias("early_signals"))
     both = whole.unionByName(said, allowMissingColumns=True)
