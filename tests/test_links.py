@@ -92,3 +92,17 @@ def test_a_bucket_that_loses_all_its_rows_is_gone(spark, tmp_path):
     sinks.append_links(spark.createDataFrame([(1, 6)], "a long, b long"), path, 1000)
     assert stored(spark, path) == {1: 1, 5: 1, 6: 1}
     assert spark.read.parquet(path).count() == 3
+
+
+def test_signatures_bound_the_shared_tokens_and_lose_no_pair(spark):
+    rng = random.Random(11)
+    sets = [sorted(rng.sample([f"w{i}" for i in range(60)], rng.choice([1, 2, 5, 20, 50]))) for _ in range(120)]
+    df = spark.createDataFrame([(str(i), s) for i, s in enumerate(sets)], "set_id string, tokens array<string>")
+    sig = {r["set_id"]: r["sig"] for r in similarity._ordered(df, [], 1, 1_000_000).collect()}
+    found = {tuple(sorted((int(r["set_a"]), int(r["set_b"])))) for r in similarity.similar_sets(df, [], threshold=0.35).collect()}
+    for i, a in enumerate(sets):
+        for j in range(i):
+            apart = sum(bin((x ^ y) & (1 << 64) - 1).count("1") for x, y in zip(sig[str(i)], sig[str(j)]))
+            shared = len(set(a) & set(sets[j]))
+            assert 2 * shared <= len(a) + len(sets[j]) - apart
+            assert ((j, i) in found) == (shared / (len(a) + len(sets[j]) - shared) >= 0.35)
