@@ -65,13 +65,21 @@ def normalize_sample(df: DataFrame) -> DataFrame:
     return dedupe.dedupe_by_id(out)
 
 
-def clean_sources(df: DataFrame) -> DataFrame:
-    """Add cleaned columns to rows not stamped with the current cleaning version."""
+def clean_sources(df: DataFrame, *, body_cleaned: bool = False) -> DataFrame:
+    """Add cleaned columns to rows not stamped with the current cleaning version.
+
+    ``body_cleaned``: ``full_text`` is ``raw_text`` cleaned, as ``normalize_source`` leaves it; only bodies from which code
+    marks are taken are then cleaned again.
+    """
     done = F.coalesce(_opt(df, "cleaning_version") == vocab.CLEANING_VERSION, F.lit(False))
     df = df.withColumn("_raw", F.expr(_sql(df, "raw_text", _sql(df, "full_text"))))
     df = df.withColumn("_plain", text.unfenced(F.col("_raw")))
     raw = F.col("_raw")
-    df = df.withColumn("_clean", text.clean_plaintext("CASE WHEN _plain <> '' THEN _plain ELSE _raw END"))
+    if body_cleaned:
+        clean = F.when((F.col("_plain") == "") | (F.col("_plain") == raw), F.col("full_text")).otherwise(text.clean_plaintext("_plain"))
+    else:
+        clean = text.clean_plaintext("CASE WHEN _plain <> '' THEN _plain ELSE _raw END")
+    df = df.withColumn("_clean", clean)
     new = {
         "clean_text": F.col("_clean"), "full_text": F.col("_clean"), "title": text.clean_text(_sql(df, "title")), "raw_text": raw,
         "publisher": text.clean_text(_sql(df, "publisher")), "author": text.clean_text(_sql(df, "author")),
@@ -121,7 +129,7 @@ def ingest_batch(raw: DataFrame, as_of: Column, window: tuple[Column, Column] |
 
 def _judged(raw: DataFrame, as_of: Column, window: tuple[Column, Column] | None) -> DataFrame:
     """Rows cleaned, ranked and judged one by one: window, acceptance, validity."""
-    cleaned = clean_sources(normalize_source(raw, as_of)).withColumn("clean_text_hash", F.sha2("full_text", 256))
+    cleaned = clean_sources(normalize_source(raw, as_of), body_cleaned=True).withColumn("clean_text_hash", F.sha2("full_text", 256))
     if window is not None:
         cleaned = filters.published_window(cleaned, *window)
     else:
