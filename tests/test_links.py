@@ -9,6 +9,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from catalog import q_dedupe
 from strandline.operators import graph, similarity
 from strandline.runtime import cut_lineage
 from strandline.sources import sinks
@@ -106,3 +107,25 @@ def test_signatures_bound_the_shared_tokens_and_lose_no_pair(spark):
             shared = len(set(a) & set(sets[j]))
             assert 2 * shared <= len(a) + len(sets[j]) - apart
             assert ((j, i) in found) == (shared / (len(a) + len(sets[j]) - shared) >= 0.35)
+
+
+def test_titles_are_cut_once_and_long_titles_are_linked(spark, tmp_path):
+    """The links read what was written of the titles, not the documents again; titles of more tokens than a signature has bits link too."""
+    words = [f"word{i:04d}" for i in range(1200)]
+    texts = [" ".join(words[:600]), " ".join(words[100:700]), " ".join(words[600:]), "short title", "title short", "other words"]
+    docs = [(i * len(graph.vocab.CATEGORIES), t + "\nbody", "en", "s", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    links = q_dedupe.title_links(spark, str(tmp_path))
+    assert not any("documents.parquet" in f for f in links.inputFiles())
+    step = len(graph.vocab.CATEGORIES)
+    assert {(min(r), max(r)) for r in links.collect()} == {(0, step), (3 * step, 4 * step)}
+
+
+@pytest.mark.parametrize("light", [0, 64])
+def test_saturated_signatures_lose_no_link(spark, light):
+    rows = [(k, [f"t{i}" for i in range(k * 150, k * 150 + 600)]) for k in range(8)]
+    df = spark.createDataFrame(rows, "set_id bigint, tokens array<string>")
+    got = {(r["set_a"], r["set_b"]) for r in similarity.spanning_links(df, [], threshold=0.35, light_rows=light).collect()}
+    assert got <= {(a, b) for a in range(8) for b in (a + 1, a + 2) if b < 8 and (600 - 150 * (b - a)) / (600 + 150 * (b - a)) >= 0.35}
+    assert parts_of(range(8), got) == dict.fromkeys(range(8), 0)
