@@ -223,8 +223,10 @@ def convergence_edges(df: DataFrame, array: str = "recurring_themes") -> DataFra
     """Category pairs that share a value of ``array``: weight and the shared values.
 
     Only the distinct (category, value) pairs are joined; both sides come from
-    controlled vocabularies.
+    controlled vocabularies.  The two columns are written once: a filter on them would otherwise be pushed
+    into what derives them, which is then worked out again for each of its uses, and for each side of the join.
     """
+    df = cut_lineage(df.select("category", array), "convergence")
     pairs = df.select("category", F.explode(array).alias("theme")).where(present(F.col("theme"))).distinct()
     a = pairs.select(F.col("category").alias("from"), "theme")
     b = pairs.select(F.col("category").alias("to"), "theme")
