@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strandline import vocab
 from strandline.functions import rules, times
 from strandline.functions.rules import points
+from strandline.runtime import cut_lineage
 
 HML = ("high", "medium", "low")
 
@@ -289,3 +290,15 @@ def validate_card(raw: Column, *, limits: dict[str, int] | None = None) -> Colum
 def feed_evidence(df: DataFrame) -> DataFrame:
     wanted = F.col("feed_priority").isin("must_read", "high")
     return df.withColumn("evidence_card", F.when(wanted, _card(df, False)))
+
+
+def feed_cards(df: DataFrame, keys: tuple[str, ...] = ("position", "url")) -> DataFrame:
+    """The must_read and high rows alone, with their card.
+
+    Priorities are written once by ``keys`` and looked up: a filter on them would be pushed into what derives them,
+    which is then worked out again for each of its uses.
+    """
+    wanted = cut_lineage(df.select(*keys, "feed_priority"), "feed-priority").where(F.col("feed_priority").isin("must_read", "high"))
+    wanted = wanted.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return df.join(wanted, same, "left_semi").withColumn("evidence_card", _card(df, False))
